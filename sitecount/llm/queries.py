@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import quality_rules
+from . import pii, quality_rules, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op6_pii": pii.query,
+    "op8_token_counts": token_counts.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,

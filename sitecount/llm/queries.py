@@ -1,12 +1,13 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import mixing, pii, quality_rules, secret_scan, substring_dedup, token_counts
+from . import minhash_dedup, mixing, pii, quality_rules, secret_scan, substring_dedup, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_secret_scan": secret_scan.query,
     "op5_mixing": mixing.query,
     "op6_pii": pii.query,
+    "op7_minhash_dedup": minhash_dedup.query,
     "op8_token_counts": token_counts.query,
     "op9_substring_dedup": substring_dedup.query,
 }
@@ -14,5 +15,6 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_secret_scan": secret_scan.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_minhash_dedup": minhash_dedup.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
 }

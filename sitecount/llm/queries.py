@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, minhash_dedup, mixing, pii, quality_rules, secret_scan, substring_dedup, token_counts
+from . import decontamination, minhash_dedup, mixing, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_quality_rules": quality_rules.query,
     "op3_secret_scan": secret_scan.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op5_mixing": mixing.query,
     "op6_pii": pii.query,
     "op7_minhash_dedup": minhash_dedup.query,

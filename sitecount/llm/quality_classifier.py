@@ -5,8 +5,8 @@ Each labeller votes good, bad or nothing on a document. Votes are counted by pat
 on that table estimates how often each labeller votes what on good and on bad documents, and gives each pattern a posterior.
 
 The scorer is a logistic regression on hashed features of words (the word, its ending and its shape), averaged over a
-document's words, and one of how many of them differ. A document's score is the mean of its words' scores and that of its variety, passed
-through the logistic function. It is fitted to posteriors on
+document's words, and one of how many of them repeat the one before. A document's score is the mean of its words' scores and that of its
+echoes, passed through the logistic function. It is fitted to posteriors on
 a bounded sample, ``SAMPLE`` documents at most in expectation, picked by a hash of the id, of which only hashed features reach the driver.
 All documents are scored, whole.
 
@@ -38,8 +38,14 @@ def _vote(good: bool, bad: bool) -> int:
     return -1 if bad else int(good)
 
 
+def echoes(words: list[bytes]) -> float:
+    """The part of the words that equal the one before."""
+    return sum(map(bytes.__eq__, words, words[1:])) / len(words)
+
+
 def votes(text: bytes) -> tuple[int, ...]:
     """1 for good, -1 for bad, 0 for nothing, of each labeller."""
+    cased = text.split()
     words = text.lower().split()
     n = len(words)
     if not n:
@@ -51,19 +57,23 @@ def votes(text: bytes) -> tuple[int, ...]:
     mean = sum(map(len, words)) / n
     ended = sum(1 for x in lines if x.rstrip()[-1:] in b".!?") / len(lines)
     again = 1 - len(set(lines)) / len(lines)
-    different = min(1, len(set(words)) / min(n, 200))  # long texts repeat words anyway
+    twice = echoes(words)
+    loud = sum(1 for w in cased if w.isupper() and len(w) > 1) / n
     return (
-        _vote(marked < 0.01, marked > 0.3),
-        _vote(n >= 20 and bars == 0, bars > 0.1),
+        _vote(False, marked > 0.3),
+        _vote(False, bars > 0.1),
         _vote(n >= 10 and stops > 0.1, n >= 20 and stops < 0.02),
         _vote(n >= 10 and 3 <= mean <= 8, n >= 10 and mean > 11),
         _vote(ended > 0.5, n >= 20 and ended < 0.05),
-        _vote(len(lines) >= 3 and again == 0, len(lines) >= 4 and again > 0.4),
-        _vote(n >= 20 and different > 0.5, n >= 20 and different < 0.2),
+        _vote(False, len(lines) >= 4 and again > 0.4),
+        _vote(False, n >= 10 and twice > 0.2),
+        _vote(False, n >= 10 and loud > 0.4),
     )
 
 
-LABELLERS = 7
+LABELLERS = 8
+#: Those that vote on bad documents only: that they don't vote says something too. Of the others, only votes count.
+ONE_SIDED = (0, 1, 5, 6, 7)
 
 
 def code(found: tuple[int, ...]) -> int:
@@ -82,12 +92,13 @@ def decode(pattern: int) -> list[int]:
 
 
 def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[dict[int, float], np.ndarray]:
-    """The posterior of being good by pattern, and P(vote | class) as [labeller, class, vote + 1]. Starts at the majority of votes."""
+    """The posterior of being good by pattern, and P(vote | class) as [labeller, class, vote + 1]. Starts at a weighted majority of votes."""
     patterns = sorted(counts)
     v = np.array([decode(p) for p in patterns]).reshape(-1, LABELLERS) + 1
     n = np.array([counts[p] for p in patterns], dtype=float)
-    good = 1 / (1 + np.exp(-2.0 * (v - 1).sum(axis=1)))
-    table = np.full((LABELLERS, 2, 3), 1 / 3)
+    sided = np.isin(np.arange(LABELLERS), ONE_SIDED)
+    good = 1 / (1 + np.exp(-1.0 - 2.0 * ((v - 1) * np.where(sided, 3, 1)).sum(axis=1)))
+    table = np.full((LABELLERS, 2, 3), 1.0)
     for _ in range(rounds):
         w = np.stack([(1 - good) * n, good * n])
         prior = (w.sum(axis=1) + 1) / (n.sum() + 2)
@@ -95,26 +106,27 @@ def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[dict
             for c in range(2):
                 seen = np.bincount(v[:, j], weights=w[c], minlength=3) + 0.1
                 table[j, c] = seen / seen.sum()
+                if not sided[j]:
+                    table[j, c] = [seen[0] / (seen[0] + seen[2]), 1, seen[2] / (seen[0] + seen[2])]
         log = np.log(prior)[:, None] + np.array([[np.log(table[j, c][v[:, j]]) for j in range(LABELLERS)] for c in range(2)]).sum(axis=1)
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return dict(zip(patterns, good.tolist(), strict=True)), table
 
 
-_SHAPE = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
+_SHAPE = ((re.compile(rb"[A-Z]{2,}"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 
 
 def features(word: bytes) -> tuple[int, int, int]:
-    """Buckets of a lower-cased word, its ending and its shape."""
-    shape = word[:64]
+    """Buckets of a word in lower case, its ending and its shape."""
+    shape, low = word[:64], word.lower()
     for pattern, letter in _SHAPE:
         shape = pattern.sub(letter, shape)
-    return tuple(xxhash.xxh64_intdigest(kind + x) % FEATURES for kind, x in ((b"w", word), (b"e", word[-3:]), (b"s", shape)))
+    return tuple(xxhash.xxh64_intdigest(kind + x) % FEATURES for kind, x in ((b"w", low), (b"e", low[-3:]), (b"s", shape)))
 
 
-def variety(words: list[bytes]) -> int:
-    """A bucket for how many of the words differ, in tenths, of texts by order of length."""
-    n = len(words)
-    return xxhash.xxh64_intdigest(b"v%d %d" % (10 * len(set(words)) // max(1, min(n, 200)), min(3, n // 20))) % FEATURES
+def echo(words: list[bytes]) -> int:
+    """A bucket for the part of the words that equal the one before, in twentieths."""
+    return xxhash.xxh64_intdigest(b"r%d" % min(10, int(20 * echoes(words)))) % FEATURES
 
 
 def fit_scorer(rows: list[tuple[list[int], list[float]]], target: np.ndarray, rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, float]:
@@ -159,12 +171,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pattern, buckets, values = [], [], []
         for t in batch.column(0).to_pylist():
-            words = t.lower().split() if t else []
+            words = t.split() if t else []
             if not words:
                 continue
             seen = Counter(k for w in words for k in features(w))
             pattern.append(code(votes(t)))
-            buckets.append([*seen, variety(words)])
+            buckets.append([*seen, echo(words)])
             values.append([*(c / len(words) for c in seen.values()), 1.0])
         yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["pattern", "buckets", "v"])
 
@@ -192,8 +204,8 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
-                words = t.lower().split() if t else []
-                z = sum(map(scorer.__getitem__, words)) / len(words) + float(light[variety(words)]) + bias if words else -50.0
+                words = t.split() if t else []
+                z = sum(map(scorer.__getitem__, words)) / len(words) + float(light[echo(words)]) + bias if words else -50.0
                 out.append(round(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))), 6) if words else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([x >= 0.5 for x in out], pa.bool_())], names=["id", "score", "kept"])
 

@@ -118,7 +118,7 @@ def candidates(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]
     contexts = alive.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "place")).alias("one"))
     contexts = written(contexts, "contexts")
     settled = alive.join(contexts.where("n > 1").select("seed", "context"), ["seed", "context"]).select("a", "b", "place")
-    open_seeds = contexts.where("n = 1").select("seed").distinct()
+    open_seeds = written(contexts.where("n = 1").select("seed").distinct(), "open")  # a plain table, so that AQE can split a hot seed in the join
     lists = contexts.join(open_seeds, "seed", "left_semi").groupBy(F.col("one.a").alias("a"), F.col("one.b").alias("b")).agg(F.collect_list(F.struct(F.col("one.place").alias("place"), "seed", "n")).alias("open"))
     spread = _spread(docs.join(lists, ["a", "b"]), size)
     return settled, spread

@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import decontamination, minhash_dedup, mixing, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts
+from . import decontamination, minhash_dedup, mixing, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, token_counts, tool_calls
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_minhash_dedup": minhash_dedup.query,
     "op8_token_counts": token_counts.query,
     "op9_substring_dedup": substring_dedup.query,
+    "op10_tool_calls": tool_calls.query,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
@@ -19,4 +20,5 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op7_minhash_dedup": minhash_dedup.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op10_tool_calls": tool_calls.ORACLE,
 }

@@ -116,7 +116,9 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_judged"))
-    return score(packed, rules, text="_judged").where("kept").select("_row.*")
+    # the place keeps the filter above the projections: pushed below them, it would evaluate the counts again for every element they are used for
+    judged = score(packed, rules, text="_judged").select("_row", "kept", F.monotonically_increasing_id().alias("_place"))
+    return judged.where(F.col("kept") & (F.col("_place") >= 0)).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -58,19 +58,23 @@ class Walks:
         rng = np.random.default_rng(size)
         self.size, steps = size, 2 * size
         self.odd = rng.integers(0, 1 << 63, (REPETITIONS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.taken = [frozenset(rng.choice(steps, min(SAMPLES, steps), replace=False).tolist()) for _ in range(REPETITIONS)]
+        taken = [rng.choice(steps, min(SAMPLES, steps), replace=False).tolist() for _ in range(REPETITIONS)]
+        self.taken = [np.flatnonzero([j in t for t in taken]) for j in range(1 + max(map(max, taken)))]
 
-    def keys(self, h: np.ndarray, starts: np.ndarray, repetition: int) -> np.ndarray:
-        """A key for the window at each start; words past the window or the text count as one symbol, 0."""
+    def keys(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A key for each repetition and the window at each start; words past the window or the text count as one symbol, 0.
+
+        All repetitions walk at once.
+        """
         end = np.minimum(starts + self.size, len(h))
         padded = np.append(h, np.uint64(0))
-        at, key = starts.copy(), np.full(len(starts), repetition + 1, dtype=np.uint64)
-        taken = self.taken[repetition]
-        for j in range(max(taken) + 1):
+        at = np.repeat(starts[None], REPETITIONS, axis=0)
+        key = np.repeat(np.arange(1, REPETITIONS + 1, dtype=np.uint64)[:, None], len(starts), axis=1)
+        for j, rows in enumerate(self.taken):
             word = padded[np.where(at < end, at, len(h))]
-            if j in taken:
-                key = fmix(key * _GRAM[0] + word)
-            at = at + ((word * self.odd[repetition, j]) >> np.uint64(63)).astype(np.int64)
+            if len(rows):
+                key[rows] = fmix(key[rows] * _GRAM[0] + word[rows])
+            at += ((word * self.odd[:, j, None]) >> np.uint64(63)).view(np.int64)
         return key
 
 
@@ -116,9 +120,9 @@ class Index:
             need = max(1, min(n - 2 - 3 * allowed(n) for n in lengths))
             walks = Walks(size)
             zero = np.zeros(1, dtype=np.int64)
+            of_items = np.concatenate([walks.keys(items[k][1], zero) for k in members], axis=1)
             looked = []
-            for r in range(REPETITIONS):
-                keys = np.array([walks.keys(items[k][1], zero, r)[0] for k in members], dtype=np.uint64)
+            for keys in of_items:
                 order = np.argsort(keys, kind="stable")
                 looked.append((keys[order], np.array(members)[order]))
             self.classes.append((walks, max(lengths), allowed(max(lengths)), need, looked))
@@ -145,8 +149,7 @@ class Index:
             np.add.at(step, np.maximum(last - longest - edits, 0), 1)
             np.add.at(step, np.minimum(first + edits + 1, len(h)), -1)
             starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            for r, (keys, members) in enumerate(looked):
-                own = walks.keys(h, starts, r)
+            for own, (keys, members) in zip(walks.keys(h, starts), looked, strict=True):
                 lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
                 for k in np.flatnonzero(hi > lo).tolist():
                     for m in members[lo[k] : hi[k]].tolist():

@@ -42,8 +42,9 @@ def reasons(config: Tiers) -> list[tuple[str, Column]]:
         ("duplicate", flag.bitwiseAND(1024) != 0),
         ("secondary", flag.bitwiseAND(256) != 0),
         ("low_mapq", F.col("mapq") < config.min_mapq),
-        ("missing_tags", _tag("NS").isNull() | _tag("Zf").isNull() | _tag("Yf").isNull()),
+        ("missing_tags", _tag("NS").isNull() | ((_tag("NS") <= config.max_sub) & (_tag("Zf").isNull() | _tag("Yf").isNull()))),
         ("mismatches", _tag("NS") > config.max_sub),
+        ("conversion", ~((_tag("Zf") <= config.max_unc) & (_tag("Yf") >= config.min_con))),
         ("no_sequence", query_length(F.col("seq")) == 0),
     ]
 
@@ -62,34 +63,30 @@ def skip_counters(reads: DataFrame, config: Tiers = Tiers()) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_reads"), F.count(F.when(F.col("why").isNull(), 1)).alias("used"), *each)
 
 
-def observations(reads: DataFrame, reference: DataFrame, config: Tiers) -> DataFrame:
-    """The best base of each read name at each target position: tid, contig, pos, s, ref, motif, base (in the molecule's letters) and converted."""
+def observations(reads: DataFrame, config: Tiers) -> DataFrame:
+    """The best base, by quality, then file order, of each read name at each position: tid, contig, pos, s and base (in the molecule's letters).
+    Trimmed bases and those of low quality don't compete."""
     df = reads.withColumn("s", strand(F.col("flag"))).where(skip_reason(config).isNull()).withColumn("ok", F.lit(True))
-    well = (_tag("Zf") <= config.max_unc) & (_tag("Yf") >= config.min_con)
-    rows = positions(df.withColumn("well", well)).where(F.col("kind") == BASE)
+    rows = positions(df).where(F.col("kind") == BASE)
     left, right = F.when(F.col("s") == 1, config.trim_end).otherwise(config.trim_start), F.when(F.col("s") == 1, config.trim_start).otherwise(config.trim_end)
     rows = rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right)).withColumn("bq", F.coalesce(F.get("qual", F.col("qpos")), F.lit(0))).where(F.col("bq") >= config.min_baseq)
-    code = base_index(F.col("seq"), F.col("qpos")) * 4 + F.col("s") * 2 + F.col("well").cast("int")
-    order = F.shiftleft(F.col("bq").cast("bigint"), 45).bitwiseOR(F.shiftleft(F.lit((1 << 38) - 1) - F.col("ord").cast("bigint"), 5)).bitwiseOR(code.cast("bigint"))
+    code = base_index(F.col("seq"), F.col("qpos")) * 2 + F.col("s")
+    order = F.shiftleft(F.col("bq").cast("bigint"), 44).bitwiseOR(F.shiftleft(F.lit((1 << 38) - 1) - F.col("ord").cast("bigint"), 5)).bitwiseOR(code.cast("bigint"))
     best = rows.groupBy("tid", "contig", "rpos", "qname").agg(F.max(order).alias("p"))
     code = F.col("p").bitwiseAND(31).cast("int")
-    out = best.select("tid", "contig", F.col("rpos").cast("long").alias("pos"), F.shiftright(code, 1).bitwiseAND(1).alias("s"), F.shiftright(code, 2).alias("b"), (code.bitwiseAND(1) == 1).alias("well"))
-    letter = F.substring(F.lit("ACGTN"), F.col("b") + 1, F.lit(1))
-    out = out.withColumn("base", F.when(F.col("s") == 1, complement(letter)).otherwise(letter))
-    return out
+    letter = F.substring(F.lit("ACGTN"), F.shiftright(code, 1) + 1, F.lit(1))
+    s = code.bitwiseAND(1)
+    return best.select("tid", "contig", F.col("rpos").cast("long").alias("pos"), s.alias("s"), F.when(s == 1, complement(letter)).otherwise(letter).alias("base"))
 
 
 def tiers(reads: DataFrame, reference: DataFrame, config: Tiers = Tiers()) -> DataFrame:
-    """chrom, pos (from 1), strand, motif, u0..u2, m0..m2, o0..o2 and mutation_rate. Tier 1 holds well converted reads, tier 2 and 0 are empty,
-    as the counted reads are all of good quality; reads that aren't converted well are not counted."""
-    seen = observations(reads, reference, config).where("well")
+    """chrom, pos (from 1), strand, motif, u0..u2, m0..m2, o0..o2 and mutation_rate, at positions whose reference letter is ``ref_base``, on either strand.
+    All that is counted is of tier 1: bases of low quality and badly converted reads are gone before."""
     kind = lambda test: F.count(F.when(test, 1))
     base = F.col("base")
     zero = F.lit(0).cast("long")
-    grouped = seen.groupBy("tid", "contig", "pos", "s").agg(kind(base == config.ref_base).alias("u1"), kind(base == config.mut_base).alias("m1"), kind(~base.isin(config.ref_base, config.mut_base)).alias("o1"))
-    sited = with_reference(grouped.where("u1 + m1 > 0"), reference, "pos", config.pad)
-    local = F.when(F.col("s") == 1, complement(F.col("ref"))).otherwise(F.col("ref"))
-    sited = sited.where(local == config.ref_base)
+    grouped = observations(reads, config).groupBy("tid", "contig", "pos", "s").agg(kind(base == config.ref_base).alias("u1"), kind(base == config.mut_base).alias("m1"), kind(~base.isin(config.ref_base, config.mut_base)).alias("o1"))
+    sited = with_reference(grouped.where("u1 + m1 > 0"), reference, "pos", config.pad).where(F.col("ref") == config.ref_base)
     motif = F.when(F.col("s") == 1, reverse_complement(F.col("motif"))).otherwise(F.col("motif"))
     return sited.select(
         F.col("contig").alias("chrom"), (F.col("pos") + 1).alias("pos"), F.when(F.col("s") == 1, "-").otherwise("+").alias("strand"), motif.alias("motif"),

@@ -49,12 +49,12 @@ def positions(reads: DataFrame) -> DataFrame:
 
     ``reads`` has ``ok``, whether it passes the flag gates; all positions of one that doesn't are of kind FAIL. Bases past the end of the sequence are left out.
     """
-    each = reads.withColumn("qlen", query_length(F.col("seq"))).withColumn("_x", F.explode(stretches(F.col("cigar"))))
-    both = F.col("_x.op").isin(*CONSUMES_BOTH)
-    kind = F.when(~F.col("ok"), FAIL).when(both, BASE).when(F.col("_x.op") == DELETION, DEL).otherwise(REF_SKIP)
-    many = F.when(F.col("ok") & both, F.least(F.col("_x.len"), F.col("qlen") - F.col("_x.q"))).otherwise(F.col("_x.len"))
+    each = reads.withColumn("qlen", query_length(F.col("seq"))).select("*", F.inline(stretches(F.col("cigar"))).alias("_op", "_q", "_r", "_len"))
+    both = F.col("_op").isin(*CONSUMES_BOTH)
+    kind = F.when(~F.col("ok"), FAIL).when(both, BASE).when(F.col("_op") == DELETION, DEL).otherwise(REF_SKIP)
+    many = F.when(F.col("ok") & both, F.least(F.col("_len"), F.col("qlen") - F.col("_q"))).otherwise(F.col("_len"))
     each = each.withColumn("kind", kind).withColumn("_n", many).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return each.withColumn("rpos", F.col("pos") + F.col("_x.r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_x.q") + F.col("_k"))).drop("_x", "_n", "_k")
+    return each.withColumn("rpos", F.col("pos") + F.col("_r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_q") + F.col("_k"))).drop("_op", "_q", "_r", "_len", "_n", "_k")
 
 
 def base_index(seq: Column, qpos: Column) -> Column:

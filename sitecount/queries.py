@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived, oracles
+from .operators import legacy, tags
 from .plans import emit
 from .plans.pileup import Config, gated, routed, site_table, winners
 
@@ -136,11 +137,76 @@ register("bed_points", lambda spark, d: emit.composition(table(spark, d, Config(
 
 
 def _mutation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.legacy import mutation_rate
-
-    return mutation_rate(table(spark, sf_dir, Config()), "A", "G")
+    return legacy.mutation_rate(table(spark, sf_dir, Config()), "A", "G")
 
 
 _U, _M = "CASE WHEN s = 1 THEN t ELSE a END", "CASE WHEN s = 1 THEN c ELSE g END"
 register("mutation_rate", _mutation_rate, f"""WITH {oracles.sites()} SELECT contig AS chrom, pos + 1 AS pos, CASE WHEN s = 1 THEN '-' ELSE '+' END AS strand, {_U} AS u, {_M} AS m, depth - ({_U}) - ({_M}) AS o,
 CASE WHEN ({_U}) + ({_M}) = 0 THEN NULL ELSE ({_M})::DOUBLE / (({_U}) + ({_M})) END AS mutation_rate FROM t WHERE local = 'A'""")
+
+
+# conversion tiers and tags
+_LEGACY_OK = "flag & 1284 = 0 AND ns <= 1 AND zf <= 3 AND yf >= 1"
+_LOCAL = "CASE WHEN s = 1 THEN substr('TGCA', (b + 1)::INT, 1) ELSE substr('ACGT', (b + 1)::INT, 1) END"
+
+
+def _tier_sql(shown: str, pad: int = 15) -> str:
+    motif = " || ".join(oracles.ref_base(f"pos + ({d})") for d in range(-pad, pad + 1))
+    return f"""WITH {oracles.entries(excluded=0)},
+w AS (SELECT *, {_LOCAL} AS letter FROM e WHERE kind = 0 AND {_LEGACY_OK} AND qpos >= 2 AND 30 - qpos > 2 AND bq >= 20 QUALIFY row_number() OVER (PARTITION BY cid, rpos, qname ORDER BY bq DESC, rid) = 1),
+g AS (SELECT contig, cid, rpos AS pos, s, ref, count(*) FILTER (letter = 'A') AS u1, count(*) FILTER (letter = 'G') AS m1, count(*) FILTER (letter NOT IN ('A', 'G')) AS o1 FROM w WHERE ref = 'A' GROUP BY ALL),
+h AS (SELECT *, {motif} AS forward FROM g WHERE u1 + m1 > 0),
+v AS (SELECT contig AS chrom, pos + 1 AS pos, CASE WHEN s = 1 THEN '-' ELSE '+' END AS strand, CASE WHEN s = 1 THEN translate(reverse(forward), 'ACGT', 'TGCA') ELSE forward END AS motif,
+  0::BIGINT AS u0, u1, 0::BIGINT AS u2, 0::BIGINT AS m0, m1, 0::BIGINT AS m2, 0::BIGINT AS o0, o1, 0::BIGINT AS o2, m1::DOUBLE / (u1 + m1) AS mutation_rate FROM h)
+SELECT {shown} FROM v"""
+
+
+def _tiers(save_rest: bool) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return legacy.tiers(derived.reads(spark, sf_dir), derived.reference(spark)).select(*legacy.headers(save_rest))
+
+    return run
+
+
+for _name, _rest in (("legacy_tiers", False), ("legacy_save_rest", True)):
+    register(_name, _tiers(_rest), _tier_sql(", ".join(legacy.headers(_rest))))
+register(
+    "legacy_skip_counters",
+    lambda spark, d: legacy.skip_counters(derived.reads(spark, d), legacy.Tiers(strand="forward", min_mapq=5)),
+    f"""WITH {oracles.READS}, r AS (SELECT *, {oracles._STRAND} AS s FROM reads), y AS (SELECT CASE WHEN s <> 0 THEN 'wrong_strand' WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 1024 <> 0 THEN 'duplicate' WHEN flag & 256 <> 0 THEN 'secondary'
+      WHEN mapq < 5 THEN 'low_mapq' WHEN ns IS NULL THEN 'missing_tags' WHEN ns > 1 THEN 'mismatches' WHEN NOT (zf <= 3 AND yf >= 1) THEN 'conversion' END AS why FROM r)
+SELECT count(*) AS total_reads, count(*) FILTER (why IS NULL) AS used, """
+    + ", ".join(f"count(*) FILTER (why = '{w}') AS {w}" for w in ("wrong_strand", "unmapped", "duplicate", "secondary", "low_mapq", "missing_tags", "mismatches", "conversion", "no_sequence"))
+    + " FROM y",
+)
+
+REGION = ("c2", 100, 300)
+_ALT = f"""{{entries}}, a AS (SELECT rid, count(*) FILTER (letter = 'C') AS alt_ref, count(*) FILTER (letter = 'T') AS alt_mut FROM (SELECT *, {_LOCAL} AS letter FROM e WHERE kind = 0 AND ({{only}})) WHERE letter IN ('C', 'T') GROUP BY rid)"""
+_BY_REGION = _ALT.format(entries=oracles.entries(excluded=0), only="cid = 2 AND rpos >= 100 AND rpos < 300 AND CASE WHEN s = 1 THEN translate(ref, 'ACGT', 'TGCA') ELSE ref END = 'C'")
+_BY_BASE = _ALT.format(entries=oracles.entries(excluded=0), only="qpos >= 2 AND 30 - qpos > 2 AND bq >= 20")
+
+
+def _by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.alternative_counts(derived.reads(spark, sf_dir), derived.reference(spark), "C", "T", REGION)
+
+
+def _by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.alternative_counts_by_base(derived.reads(spark, sf_dir), "C", "T")
+
+
+def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = derived.reads(spark, sf_dir)
+    out = tags.tagged(reads, _by_base(spark, sf_dir), swapped=True)
+    value = lambda t: F.try_element_at("tags", F.lit(t))["i"].alias(t.lower())
+    return out.select("ord", F.coalesce(value("NS"), F.lit(-1)).alias("ns"), value("Yc"), value("Zc"))
+
+
+register("alt_tags_region", _by_region, f"WITH {_BY_REGION} SELECT rid AS ord, alt_ref, alt_mut FROM a")
+register("alt_tags_noref", _by_base, f"WITH {_BY_BASE} SELECT rid AS ord, alt_ref, alt_mut FROM a")
+register("ns_adjust", _adjusted, f"WITH {_BY_BASE} SELECT r.rid AS ord, CASE WHEN ns IS NOT NULL THEN greatest(ns - coalesce(alt_mut, 0), 0) ELSE -1 END AS ns, coalesce(alt_ref, 0) AS yc, coalesce(alt_mut, 0) AS zc FROM reads AS r LEFT JOIN a ON r.rid = a.rid")
+register(
+    "tag_stats",
+    lambda spark, d: tags.tag_stats(tags.tagged(derived.reads(spark, d), _by_region(spark, d))),
+    f"""WITH {_BY_REGION} SELECT count(*) AS total_reads, count(*) AS reads_with_yc, count(*) AS reads_with_zc, sum(coalesce(alt_mut, 0))::BIGINT AS total_yc, sum(coalesce(alt_ref, 0))::BIGINT AS total_zc,
+count(*) FILTER (coalesce(alt_mut, 0) > 0 OR coalesce(alt_ref, 0) > 0) AS reads_with_alternatives FROM reads AS r LEFT JOIN a ON r.rid = a.rid""",
+)

@@ -95,7 +95,7 @@ templated("router_drop", _SLOT_LINE, _SLOT_SQL, Config(read_filter="mapq >= 50 a
 counted("site_depth_min", Config(site_filter="depth >= 12"), site_filter="depth >= 12")
 counted("site_alt_min", Config(site_filter="ref == 'A' and (c + g + t) > 0"), site_filter="ref = 'A' AND c + g + t > 0")
 counted("site_base_strand", Config(site_filter="base == 'T' and strand == '-'"), site_filter="local = 'T' AND s = 1")
-counted("site_motif", Config(site_filter="motif =~ '^.[AC]G'", motif_pad=1), site_filter="regexp_matches(motif, '^.[AC]G')", pad=1)
+counted("site_motif", Config(site_filter="motif =~ '^[AC].[GT]'", motif_pad=1), site_filter="regexp_matches(motif, '^[AC].[GT]')", pad=1)
 counted("strandless_site_filter", Config(site_filter="depth >= 12"), emit.strandless, oracles.strandless, site_filter="depth >= 12")
 counted("best_alt", Config(), emit.alleles, oracles.alleles)
 counted("allele_table", Config(site_filter="depth >= 5", excluded=0), emit.alleles, oracles.alleles, site_filter="depth >= 5", excluded=0)

@@ -191,6 +191,7 @@ class BamSource(DataSource):
 
 def read_bam(spark: SparkSession, path: str, step: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(reads, contigs) of a BAM file."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses readers that take filters without it
     spark.dataSource.register(BamSource)
     with open(path, "rb") as f:
         contigs = read_header(Stream(f))

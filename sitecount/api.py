@@ -64,6 +64,8 @@ def count_sites(spark: SparkSession, reads: str, reference: str, config: Config
     rows, contigs = open_reads(spark, reads)
     if config.region is not None and contigs.where(F.col("contig") == config.region[0]).isEmpty():
         raise RegionError(f"unknown contig {config.region[0]!r}")
+    if rows.rdd.getNumPartitions() > 1:  # places in a file of several parts exceed 32 bits
+        config = dataclasses.replace(config, wide_order=True)
     sets = {k: read_intervals(spark, v) for k, v in (("include", include), ("exclude", exclude)) if v}
     return site_table(rows, read_reference(spark, reference), config, **sets)
 

@@ -71,9 +71,9 @@ def observations(reads: DataFrame, config: Tiers) -> DataFrame:
     left, right = F.when(F.col("s") == 1, config.trim_end).otherwise(config.trim_start), F.when(F.col("s") == 1, config.trim_start).otherwise(config.trim_end)
     rows = rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right)).withColumn("bq", F.coalesce(F.get("qual", F.col("qpos")), F.lit(0))).where(F.col("bq") >= config.min_baseq)
     code = base_index(F.col("seq"), F.col("qpos")) * 2 + F.col("s")
-    order = F.shiftleft(F.col("bq").cast("bigint"), 44).bitwiseOR(F.shiftleft(F.lit((1 << 38) - 1) - F.col("ord").cast("bigint"), 5)).bitwiseOR(code.cast("bigint"))
+    order = F.struct("bq", (-F.col("ord")).alias("early"), code.alias("code"))
     best = rows.groupBy("tid", "contig", "rpos", "qname").agg(F.max(order).alias("p"))
-    code = F.col("p").bitwiseAND(31).cast("int")
+    code = F.col("p.code")
     letter = F.substring(F.lit("ACGTN"), F.shiftright(code, 1) + 1, F.lit(1))
     s = code.bitwiseAND(1)
     return best.select("tid", "contig", F.col("rpos").cast("long").alias("pos"), s.alias("s"), F.when(s == 1, complement(letter)).otherwise(letter).alias("base"))

@@ -26,7 +26,8 @@ CODE_BITS = 7
 
 @dataclass(frozen=True)
 class Config:
-    """What to count. ``strand`` is both, forward or reverse; ``region`` is (contig, start, end) from 0; ``dedup`` turns mate overlap off."""
+    """What to count. ``strand`` is both, forward or reverse; ``region`` is (contig, start, end) from 0; ``dedup`` turns mate overlap off;
+    ``wide_order`` is for reads whose ``ord`` exceeds 32 bits: their best base is the largest of a struct."""
 
     required: int = 0
     excluded: int = DEFAULT_EXCLUDED
@@ -37,6 +38,7 @@ class Config:
     max_depth: int = 0
     dedup: bool = True
     motif_pad: int = 0
+    wide_order: bool = False
 
 
 def gated(reads: DataFrame, config: Config) -> DataFrame:
@@ -95,19 +97,27 @@ def _capped(rows: DataFrame, config: Config) -> DataFrame:
     return rows.withColumn("_place", place).where(F.col("_place") <= config.max_depth).drop("_place")
 
 
+def _code(base: Column) -> Column:
+    """What is counted: group, base and strand, or an event and its strand."""
+    return F.when(F.col("kind") == BASE, F.col("slot") * 16 + base * 2 + F.col("s")).otherwise(64 + (F.col("kind") - 1) * 2 + F.col("s"))
+
+
 def packed(base: Column) -> Column:
     """The number whose maximum is the best base of a read name at a position; its low bits say what is counted."""
     long = lambda c: c.cast("bigint")
-    code = F.when(F.col("kind") == BASE, F.col("slot") * 16 + base * 2 + F.col("s")).otherwise(64 + (F.col("kind") - 1) * 2 + F.col("s"))
     first = F.when(F.col("flag").bitwiseAND(64) != 0, 1).otherwise(0)
     best = F.shiftleft(long(F.col("mapq")), 49).bitwiseOR(F.shiftleft(long(first), 48)).bitwiseOR(F.shiftleft(long(base_quality() + 1), 39)).bitwiseOR(F.shiftleft(F.lit(_ORD) - long(F.col("ord")), CODE_BITS))
-    return F.when(F.col("kind") == BASE, best).otherwise(F.lit(0).cast("bigint")).bitwiseOR(long(code))
+    return F.when(F.col("kind") == BASE, best).otherwise(F.lit(0).cast("bigint")).bitwiseOR(long(_code(base)))
 
 
-def winners(rows: DataFrame, dedup: bool = True) -> DataFrame:
+def winners(rows: DataFrame, dedup: bool = True, wide: bool = False) -> DataFrame:
     """(tid, contig, rpos, code), one for each read name at a position, and for each event."""
     base = base_index(F.col("seq"), F.coalesce("qpos", F.lit(0)))
-    keyed = rows.select("tid", "contig", "rpos", F.when(F.col("kind") == BASE, F.col("qname")).otherwise(F.concat_ws("\0", F.lit(""), "kind", "ord")).alias("name"), "ord", packed(base).alias("p"))
+    name = F.when(F.col("kind") == BASE, F.col("qname")).otherwise(F.concat_ws("\0", F.lit(""), "kind", "ord"))
+    if wide and dedup:
+        best = F.struct("mapq", F.col("flag").bitwiseAND(64).alias("first"), base_quality().alias("bq"), (-F.col("ord")).alias("early"), _code(base).cast("int").alias("code"))
+        return rows.groupBy("tid", "contig", "rpos", name.alias("name")).agg(F.max(best).alias("best")).select("tid", "contig", "rpos", "best.code")
+    keyed = rows.select("tid", "contig", "rpos", name.alias("name"), packed(base).alias("p"))
     if dedup:
         keyed = keyed.groupBy("tid", "contig", "rpos", "name").agg(F.max("p").alias("p"))
     return keyed.select("tid", "contig", "rpos", F.col("p").bitwiseAND((1 << CODE_BITS) - 1).cast("int").alias("code"))
@@ -116,7 +126,7 @@ def winners(rows: DataFrame, dedup: bool = True) -> DataFrame:
 def sites(reads: DataFrame, reference: DataFrame | None, config: Config) -> DataFrame:
     """(tid, contig, pos, s, 20 counts by base and group, del, ref_skip, fail), a row for each position and strand with anything to count."""
     rows = routed(gated(reads, config), reference, config)
-    counted = winners(rows, config.dedup).groupBy("tid", "contig", "rpos", "code").agg(F.count(F.lit(1)).alias("n"))
+    counted = winners(rows, config.dedup, config.wide_order).groupBy("tid", "contig", "rpos", "code").agg(F.count(F.lit(1)).alias("n"))
     is_base, kind = F.col("code") < 64, F.shiftright(F.col("code"), 1)
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     columns = [total(is_base & (F.col("code").bitwiseAND(62) == g * 16 + b * 2)).alias(f"{BASES[b].lower()}{g}") for b in range(5) for g in range(SLOTS)]

@@ -71,9 +71,3 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise InputError(f"{path} has no contigs in its header")
     return parse(lines, contigs), contigs
 
-
-def numbered(reads: DataFrame) -> DataFrame:
-    """``ord`` as small whole numbers by contig, in the old order, where a file is split into many parts and its offsets exceed 32 bits."""
-    from pyspark.sql import Window
-
-    return reads.withColumn("ord", F.row_number().over(Window.partitionBy("tid").orderBy("pos", "ord")).cast("long"))

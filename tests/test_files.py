@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from sitecount.api import Output, count_sites, format_duration, formatted, open_reads, run, write_parts
 from sitecount.cli import main
 from sitecount.plans import emit
-from sitecount.plans.pileup import Config
+from sitecount.plans.pileup import Config, site_table
 from sitecount.plans.regions import parse_region
 from sitecount.schema import ExpressionError, InputError, RegionError
 from sitecount.sources.bam import read_bam
-from sitecount.sources.fasta import missing_contigs, read_index, read_intervals
+from sitecount.sources.fasta import missing_contigs, read_index, read_intervals, read_reference
 
 OVERLAP = [
     read("f1", 99, 5, "A" * 25, mpos=20, tlen=40), read("f1", 147, 20, "A" * 25, mpos=5, tlen=-40), read("f5", 16, 33, "A" * 25),
@@ -60,6 +60,8 @@ def test_overlap_counts_once_and_formats_agree(spark, files):
     depth = {(r[1], r[2]): r[4] for r in got[0]}
     assert all(depth[p, "+"] == 1 for p in range(6, 46)) and min(p for p, _ in depth) == 6 and max(p for p, _ in depth) == 80
     assert all(depth[p, "-"] == 1 for p in range(34, 59))
+    reads, reference = open_reads(spark, files["sam"])[0].withColumn("ord", F.col("ord") + (1 << 40)), read_reference(spark, files["fa"])
+    assert rows(emit.composition(site_table(reads, reference, Config(wide_order=True)))) == got[0]
     for side, sign in (("forward", "+"), ("reverse", "-")):
         assert {r[2] for r in rows(emit.composition(count_sites(spark, files["sam"], files["fa"], Config(strand=side))))} == {sign}
 

@@ -10,9 +10,10 @@ rounds, and a round only looks at pairs whose documents aren't yet known to be c
 
 1. each document with the least one of its buckets that shares most buckets with it;
 2. within buckets that still hold several components, each document with one drawn by a hash of the bucket;
-3. within buckets that still do, every pair across components.
+3. within buckets that still do, every pair across components. Where one of them is large, the pairs aren't written out: the large
+   component's sets are dealt into blocks of bounded size, and each document that shares a bucket with it meets each block once.
 
-The last round leaves no bucket-sharing pair across components untested, whatever the first two missed; they only make it short. Pairs
+The last round leaves no bucket-sharing pair across components untested, whatever the first two missed; they only make it short. Single pairs
 first pass the size ratio and the similarity estimated from the registers, corrected for chance collisions, with a margin of six
 standard deviations; what passes is confirmed on full sets. At a similarity of 0.8 a pair shares no bucket with probability
 (1 - 0.8 ** 6) ** 42, about 3 in a million.
@@ -39,6 +40,10 @@ REGISTERS = BANDS * ROWS
 PERCENT = 80
 #: Ids from here on are made of hashes.
 MADE = 1 << 62
+#: Documents from which on a component counts as large; weight (hashes, and some for each document) of a block; documents that meet a block in one group.
+LARGE, BLOCK, ROW_WEIGHT, GUESTS = 64, 60_000, 128, 512
+#: Columns of a matrix at a time.
+COLUMNS = 1 << 14
 
 
 class Shingles:
@@ -159,6 +164,76 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return texts.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of a shares with each of b, by matrix products over some columns at a time."""
+    every = np.concatenate([*a, *b])
+    _, column = np.unique(every, return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    out = np.zeros((len(a), len(b)))
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        m = np.zeros((len(a) + len(b), COLUMNS), dtype=np.float32)
+        m[row[here], column[here] - low] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
+
+
+def met_in_blocks(there: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``there`` (key, node, c) without the rows of large components, and links (x, y) of documents with large components that share a bucket with them: at least
+    one for each two components that are linked."""
+    whole = labels.join(sketches.select("node", "n"), "node")
+    large = whole.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("many"), F.sum(F.col("n") + ROW_WEIGHT).alias("weight")).where(F.col("many") >= LARGE)
+    large = written(large.select("c", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "large")
+    hosts = there.join(large, "c").select("key", F.col("c").alias("host")).distinct()
+    flagged = there.join(large.select("c", F.lit(True).alias("big")), "c", "left")
+    guests = flagged.join(hosts, "key").where(F.col("big").isNull() & (F.col("c") != F.col("host")) | F.col("big") & (F.col("c") < F.col("host")))
+    guests = written(guests.select("node", "c", "host").distinct(), "guests")
+    plan = guests.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("chunks")).join(large.select(F.col("c").alias("host"), "blocks"), "host")
+    plan = written(plan, "hosts")
+    inside = labels.join(plan, F.col("component") == F.col("host")).select("host", "node", F.col("component").alias("c"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"))
+    outside = guests.join(plan, "host").select("host", "node", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"))
+    rows = inside.unionByName(outside)
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+
+    wanted = guests.select("node").unionByName(labels.join(plan, F.col("component") == F.col("host")).select("node")).distinct()
+    sets = written(docs.join(wanted.hint("merge"), "node").select("node", "t").mapInArrow(as_sets, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+
+    def compared(hosts: list, guests: list) -> list[tuple[int, int]]:
+        a, b = ([np.frombuffer(x[2], dtype=np.uint64) for x in side] for side in (hosts, guests))
+        both = shared_counts(a, b)
+        total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
+        found = {}
+        for i, j in np.argwhere((both > 0) & (100 * both >= percent * total)).tolist():
+            found.setdefault((hosts[i][1], guests[j][1]), (hosts[i][0], guests[j][0]))
+        return list(found.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group, the host's first."""
+        group, sides = None, ([], [])
+
+        def done():
+            links = compared(*sides) if sides[0] and sides[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
+
+        for batch in batches:
+            for host, block, chunk, side, node, c, hashes in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (host, block, chunk) != group:
+                    if group is not None:
+                        yield done()
+                    group, sides = (host, block, chunk), ([], [])
+                sides[side].append((node, c, hashes))
+        if group is not None:
+            yield done()
+
+    full = rows.join(sets, "node").select("host", "block", "chunk", "side", "node", "c", "hashes")
+    links = full.repartition("host", "block", "chunk").sortWithinPartitions("host", "block", "chunk", "side").mapInArrow(run, "x long, y long")
+    return flagged.where("big IS NULL").select("key", "node", "c"), written(links, "links")
+
+
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after more links; ``labels`` has the nodes that were linked before."""
     if labels is None:
@@ -194,8 +269,10 @@ def classes(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFra
         mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.xxhash64("key", "node")).alias("drawn")).where("lo < hi").select("key", "drawn")
         if last:  # 3
             there = written(named.join(mixed.select("key"), "key"), "mixed")
-            other = there.select("key", F.col("node").alias("y"), F.col("c").alias("d"))
-            pairs = there.join(other, "key").where("c < d").select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
+            small, links = met_in_blocks(there, labels, reps, docs, size, percent)
+            other = small.select("key", F.col("node").alias("y"), F.col("c").alias("d"))
+            pairs = small.join(other, "key").where("c < d").select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
+            labels = _merged(labels, links)
         else:  # 2
             there = written(named.join(mixed, "key"), "mixed")
             lead = there.where(F.xxhash64("key", "node") == F.col("drawn")).select("key", F.col("node").alias("x"), F.col("c").alias("d"))

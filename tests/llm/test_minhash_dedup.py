@@ -52,6 +52,29 @@ def test_components_and_sizes_match_brute_force(spark):
         assert got == groups(rows, size)
 
 
+def test_large_components_met_in_blocks(spark, monkeypatch):
+    """Copies at different distances from a base, of which many are linked with nothing: all pairs meet in blocks, and links agree with brute force."""
+    monkeypatch.setattr(md, "LARGE", 4)
+    monkeypatch.setattr(md, "BLOCK", 700)
+    monkeypatch.setattr(md, "GUESTS", 5)
+    rnd = random.Random(6)
+    rows = []
+    for base in ([f"w{rnd.randrange(300)}" for _ in range(60)] for _ in range(2)):
+        for _ in range(45):
+            copy = list(base)
+            for _ in range(rnd.choice((0, 1, 2, 4, 5, 6, 7))):
+                copy[rnd.randrange(60)] = f"w{rnd.randrange(300)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in md.label(docs, 2).collect()) == groups(rows, 2)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60_000, n).astype(np.uint64)) for n in sizes] for sizes in ((1, 500, 30_000), (30_000, 10, 700, 1)))
+    assert md.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_kept_rows_nulls_repeats_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, "a"), (1, text, "a"), (2, text + " x", "b"), (None, text, "c"), (None, "lonely words here", None), (5, None, "d"), (6, None, "d"), (7, "other text of its own", "e")]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions.language import parse, unescape
 from .functions.template import pieces
+from .operators.legacy import Tiers, headers, tiers
+from .operators.tags import alternative_counts, alternative_counts_by_base, sam_lines, tagged
 from .plans import emit
 from .plans.pileup import Config, site_table
 from .plans.regions import parse_region
@@ -82,14 +84,14 @@ def formatted(sites: DataFrame, output: Output) -> tuple[DataFrame, list[str]]:
     return rows, [emit.header(rows)]
 
 
-def write_lines(rows: DataFrame, head: list[str], path: str | None) -> int:
+def write_lines(rows: DataFrame, head: list[str], path: str | None, ordered: bool = False) -> int:
     """Stream the ordered rows to one file, or standard output; the driver holds one partition at a time. Returns how many rows were written."""
     out = open(path, "w", encoding="utf-8") if path else sys.stdout  # noqa: SIM115
     n = 0
     try:
         for line in head:
             print(line, file=out)
-        for row in emit.lines(rows).toLocalIterator(prefetchPartitions=True):
+        for row in (rows if ordered else emit.lines(rows)).toLocalIterator(prefetchPartitions=True):
             print(row.line, file=out)
             n += 1
     finally:
@@ -109,6 +111,30 @@ def run(spark: SparkSession, reads: str, reference: str, out: str | None = None,
     return {"rows": write_lines(rows, head, out), "seconds": time.time() - began, "output": out}
 
 
+def run_tiers(spark: SparkSession, reads: str, reference: str, out: str | None = None, config: Tiers = Tiers(), save_rest: bool = False, region: str | None = None) -> dict:
+    """Conversion tiers of a file, by contig name and position, with a header."""
+    began = time.time()
+    rows = tiers(open_reads(spark, reads)[0], read_reference(spark, reference), config)
+    if region:
+        contig, start, end = parse_region(region)
+        rows = rows.where((F.col("chrom") == contig) & (F.col("pos") > start) & (F.col("pos") <= end))
+    shown = headers(save_rest)
+    ordered = rows.orderBy("chrom", "pos", F.col("strand") == "-").select(F.concat_ws("\t", *[F.col(c).cast("string") for c in shown]).alias("line"))
+    return {"rows": write_lines(ordered, ["\t".join(shown)], out, ordered=True), "seconds": time.time() - began, "output": out}
+
+
+def tag_reads(spark: SparkSession, reads: str, out: str, ref_base: str, mut_base: str, reference: str | None = None, region: str | None = None) -> DataFrame:
+    """Write the reads as SAM lines with the tags Yc and Zc: counted at the reference's letters, or without a reference by the bases alone. Returns the tagged reads."""
+    rows, _ = open_reads(spark, reads)
+    if reference is None:
+        counts, swapped = alternative_counts_by_base(rows, ref_base, mut_base), True
+    else:
+        counts, swapped = alternative_counts(rows, read_reference(spark, reference), ref_base, mut_base, parse_region(region) if region else None), False
+    got = tagged(rows, counts, swapped)
+    sam_lines(got).write.text(out)
+    return got
+
+
 def write_parts(rows: DataFrame, path: str) -> None:
     """The same rows as a folder of text files in order, for results that no single writer should pass."""
     keys = [k for k in ("tid", "pos", "s", "strand") if k in rows.columns]

@@ -72,6 +72,15 @@ def reverse_complement(letters: Column) -> Column:
     return F.translate(F.reverse(letters), "ATGCatgc", "TACGtacg")
 
 
+def padded_slice(seq: Column, start: Column, end: Column) -> Column:
+    """Letters from start (from 0) up to end, with N outside of the sequence."""
+    size = F.length(seq)
+    left = F.repeat(F.lit("N"), F.greatest(F.least(end, F.lit(0)) - start, F.lit(0)))
+    low, high = F.greatest(start, F.lit(0)), F.least(end, size)
+    right = F.repeat(F.lit("N"), F.greatest(end - F.greatest(start, size), F.lit(0)))
+    return F.concat(left, F.when(high > low, F.substring(seq, low + 1, high - low)).otherwise(""), right)
+
+
 def read_scope(bases: bool = True) -> dict[str, tuple[str, Column]]:
     """The variables of read expressions over columns of reads, or of their bases (``ref`` needs a column of that name)."""
     c = F.col

@@ -158,3 +158,21 @@ def test_metamorphic(spark, files):
     total = lambda df: df.agg(F.sum(sum((F.col(f"{b}{k}") for b in "acgtn" for k in range(4)), F.lit(0)))).first()[0]
     parts = sum(total(count_sites(spark, files["t_bam"], files["t_fa"], Config(read_filter="mapq % 4", region=parse_region(r)))) for r in ("chrT:1-5", "chrT:6-12"))
     assert total(whole) == parts == total(emit.collapsed(whole))
+
+
+def test_tiers_tags_and_letters_from_files(spark, files):
+    from sitecount.api import run_tiers, tag_reads
+    from sitecount.operators.tags import tag_stats
+    from sitecount.plans.bases import padded_slice, reverse_complement
+
+    out = str(files["dir"] / "tiers.tsv")
+    assert run_tiers(spark, files["t_bam"], files["t_fa"], out)["rows"] == 3
+    lines = open(out).read().splitlines()
+    assert lines[0] == "chrom\tpos\tstrand\tmotif\tu0\tu1\tu2\tm0\tm1\tm2\tmutation_rate"
+    # two good reads on plus, p_hi and p_g (G at 5); on minus, m_hi's bases are neither letter
+    assert [x.split("\t")[:3] + x.split("\t")[5:9] for x in lines[1:3]] == [["chrT", "5", "+", "1", "0", "0", "1"], ["chrT", "6", "+", "2", "0", "0", "0"]]
+    got = tag_reads(spark, files["t_bam"], str(files["dir"] / "tagged"), "C", "T", files["t_fa"])
+    assert tag_stats(got).first().total_reads == 7 and spark.read.text(str(files["dir"] / "tagged")).where("value LIKE '%Yc:i:%'").count() == 7
+    one = spark.createDataFrame([("ATGCGATCG",)], "seq string")
+    c = lambda a, b: padded_slice(F.col("seq"), F.lit(a), F.lit(b))
+    assert tuple(one.select(reverse_complement(F.lit("ATGC")), c(-2, 3), c(7, 12), c(-5, -2), c(20, 22), c(2, 4)).first()) == ("GCAT", "NNATG", "CGNNN", "NNN", "NN", "GC")

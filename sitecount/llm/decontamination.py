@@ -1,14 +1,10 @@
-"""Benchmark decontamination: windows of documents within a small edit distance of a benchmark item, over words.
+"""Benchmark decontamination: runs of a document within a small edit distance of a benchmark item, over words.
 
-Items are grouped by length into classes a quarter apart, and a document's windows have the length of the class. The CGK random walk
-embeds a window: at each step it writes the word that its pointer is at, and moves on if a random bit of step and word says so.
-Windows a few edits apart fall back into step, so that their embeddings agree in most coordinates. Each of
-``REPETITIONS`` walks samples ``SAMPLES`` coordinates into a key; an item and a window that agree in a key are candidates. With p the part of
-agreeing coordinates, a pair is missed with probability (1 - p ** SAMPLES) ** REPETITIONS: below 0.1 % where p is 0.7. Exact
-copies are never missed. Candidates are confirmed by exact edit distance (with the best start and end near the window).
-
-Windows are only embedded where the q-gram lemma leaves room for a hit: an item of L words and a window within e edits share at least
-L - 2 - 3e runs of three words, so a window with fewer of any item's runs can't be one.
+Candidates come from the q-gram lemma: an item of L words and a run within e edits share at least L - 2 - 3e runs of three words, so
+the run holds as many starts of the item's own. Each document's runs of three words are looked up among those of all items, and an item
+is a candidate wherever enough of its own stand close enough together to lie in one run of at most L + e words. That is counted for each item, so
+nothing within the bound is missed, however long the item and whichever edits it has. Candidates are confirmed by exact
+edit distance (with the best start and end).
 
 Items travel in blocks of bounded size (``BLOCK_WORDS``); documents are scanned once for each block, whole, without a shuffle. An item
 allows ``floor(L / 5)`` edits, fewer where L < 10; items of under ``LEAST_ITEM`` words are not searched for. Null and empty texts have no hits.
@@ -25,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, fmix
+from .common import WordHash
 
-LEAST_ITEM, REPETITIONS, SAMPLES = 5, 16, 2
-#: Words of a block of items.
-BLOCK_WORDS = 500_000
+LEAST_ITEM = 5
+#: Words of a block of items; pairs of a place in a text and an item that are counted at once.
+BLOCK_WORDS, AT_ONCE = 500_000, 2_000_000
 _GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _BITS = 20
 
@@ -43,41 +39,6 @@ def grams(h: np.ndarray) -> np.ndarray:
     return h[:-2] * _GRAM[0] + h[1:-1] * _GRAM[1] + h[2:] * _GRAM[2] if len(h) >= 3 else h[:0]
 
 
-def least_length(words: int) -> int:
-    """The shortest length in the class of an item of so many words."""
-    low = LEAST_ITEM
-    while (up := max(low + 1, low * 5 // 4)) <= words:
-        low = up
-    return low
-
-
-class Walks:
-    """The random walks over windows of ``size`` words."""
-
-    def __init__(self, size: int):
-        rng = np.random.default_rng(size)
-        self.size, steps = size, 2 * size
-        self.odd = rng.integers(0, 1 << 63, (REPETITIONS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        taken = [rng.choice(steps, min(SAMPLES, steps), replace=False).tolist() for _ in range(REPETITIONS)]
-        self.taken = [np.flatnonzero([j in t for t in taken]) for j in range(1 + max(map(max, taken)))]
-
-    def keys(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A key for each repetition and the window at each start; words past the window or the text count as one symbol, 0.
-
-        All repetitions walk at once.
-        """
-        end = np.minimum(starts + self.size, len(h))
-        padded = np.append(h, np.uint64(0))
-        at = np.repeat(starts[None], REPETITIONS, axis=0)
-        key = np.repeat(np.arange(1, REPETITIONS + 1, dtype=np.uint64)[:, None], len(starts), axis=1)
-        for j, rows in enumerate(self.taken):
-            word = padded[np.where(at < end, at, len(h))]
-            if len(rows):
-                key[rows] = fmix(key[rows] * _GRAM[0] + word[rows])
-            at += ((word * self.odd[:, j, None]) >> np.uint64(63)).view(np.int64)
-        return key
-
-
 def distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each end in ``text`` (0 to its length), the least edit distance of the item to a run of words that ends there."""
     steps = np.arange(len(text) + 1)
@@ -108,70 +69,65 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
         self.table = np.zeros(1 << _BITS, dtype=bool)
-        every = [grams(h) for _, h in items] or [np.zeros(0, dtype=np.uint64)]
-        self.grams = np.unique(np.concatenate(every))
+        every = [np.unique(grams(h)) for _, h in items]
+        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *every])
+        order = np.argsort(flat, kind="stable")
+        self.grams, first = np.unique(flat[order], return_index=True)
+        #: The items of gram k are owners[first[k] : first[k + 1]].
+        self.first = np.append(first, len(flat))
+        self.owners = np.repeat(np.arange(len(items)), list(map(len, every)))[order]
         self.table[self.grams >> np.uint64(64 - _BITS)] = True
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for k, (_, h) in enumerate(items):
-            by_size[least_length(len(h))].append(k)
-        self.classes = []
-        for size, members in sorted(by_size.items()):
-            lengths = [len(items[k][1]) for k in members]
-            need = max(1, min(n - 2 - 3 * allowed(n) for n in lengths))
-            walks = Walks(size)
-            zero = np.zeros(1, dtype=np.int64)
-            of_items = np.concatenate([walks.keys(items[k][1], zero) for k in members], axis=1)
-            looked = []
-            for keys in of_items:
-                order = np.argsort(keys, kind="stable")
-                looked.append((keys[order], np.array(members)[order]))
-            self.classes.append((walks, max(lengths), allowed(max(lengths)), need, looked))
-
-    def candidates(self, h: np.ndarray) -> dict[int, list[int]]:
-        """Window starts by item."""
-        out: dict[int, set[int]] = defaultdict(set)
+        words = np.array([len(h) for _, h in items], dtype=np.int64)
+        edits = np.array([allowed(n) for n in words.tolist()], dtype=np.int64)
+        self.need, self.reach = words - 2 - 3 * edits, words + edits
+        self.longest = int(self.reach.max(initial=0))
+
+    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, low, high): every run within the bound lies in one of the ranges of its item, which don't touch."""
         g = grams(h)
         maybe = np.flatnonzero(self.table[g >> np.uint64(64 - _BITS)])
         if not len(maybe):
-            return {}
-        hits = maybe[self.grams[np.minimum(np.searchsorted(self.grams, g[maybe]), len(self.grams) - 1)] == g[maybe]]
-        if not len(hits):
-            return {}
-        for walks, longest, edits, need, looked in self.classes:
-            if len(hits) < need:
-                continue
-            # windows [s - edits, s + longest + edits) with enough hits: s near a run of hits
-            enough = hits[need - 1 :] - hits[: len(hits) - need + 1] <= longest + 2 * edits
-            if not enough.any():
-                continue
-            first, last = hits[: len(hits) - need + 1][enough], hits[need - 1 :][enough]
-            step = np.zeros(len(h) + 1, dtype=np.int64)
-            np.add.at(step, np.maximum(last - longest - edits, 0), 1)
-            np.add.at(step, np.minimum(first + edits + 1, len(h)), -1)
-            starts = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-            for own, (keys, members) in zip(walks.keys(h, starts), looked, strict=True):
-                lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-                for k in np.flatnonzero(hi > lo).tolist():
-                    for m in members[lo[k] : hi[k]].tolist():
-                        out[m].add(int(starts[k]))
-        return {m: sorted(s) for m, s in out.items()}
+            return
+        gram = np.minimum(np.searchsorted(self.grams, g[maybe]), len(self.grams) - 1)
+        true = self.grams[gram] == g[maybe]
+        hits, gram = maybe[true], gram[true]
+        many = self.first[gram + 1] - self.first[gram]
+        total, a, found = np.append(0, np.cumsum(many)), 0, []
+        while a < len(hits):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + AT_ONCE, "right")) - 1)
+            c = int(np.searchsorted(hits, hits[b - 1] + self.longest))  # where runs that begin before b can end
+            place = np.arange(total[a], total[c]) - np.repeat(total[a:c] - self.first[gram[a:c]], many[a:c])
+            owner, at = self.owners[place], np.repeat(hits[a:c], many[a:c])
+            order = np.argsort(owner, kind="stable")
+            owner, at = owner[order], at[order]
+            last = np.arange(len(owner)) + self.need[owner] - 1
+            i = np.flatnonzero((last < len(owner)) & (at <= hits[b - 1]))
+            j = last[i]
+            i, j = (x[(owner[j] == owner[i]) & (at[j] - at[i] <= self.reach[owner[i]] - 3)] for x in (i, j))
+            if len(i):
+                m = owner[i]
+                found.append((m, np.maximum(at[j] + 3 - self.reach[m], 0), np.minimum(at[i] + self.reach[m], len(h))))
+            a = b
+        if not found:
+            return
+        m, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 1:
+            order = np.lexsort((low, m))
+            m, low, high = m[order], low[order], high[order]
+        new = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (low[1:] > high[:-1])))
+        for k, end in zip(new.tolist(), [*new[1:].tolist(), len(m)], strict=True):
+            yield int(m[k]), int(low[k]), int(high[end - 1])
 
     def find(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, distance) of the hits, one for each stretch of neighbouring candidates, in words."""
         out = []
-        for m, starts in self.candidates(h).items():
+        for m, low, high in self.candidates(h):
             ident, item = self.items[m]
-            edits, a = allowed(len(item)), 0
-            for k in range(1, len(starts) + 1):
-                if k < len(starts) and starts[k] - starts[k - 1] <= len(item):
-                    continue
-                low, high = max(0, starts[a] - edits), min(len(h), starts[k - 1] + len(item) + 2 * edits)
-                a = k
-                row = distances(item, h[low:high])
-                end = int(row.argmin())
-                if row[end] <= edits:
-                    back = anchored(item[::-1], h[low : low + end][::-1])
-                    out.append((ident, low + end - int(back.argmin()), low + end, int(row[end])))
+            row = distances(item, h[low:high])
+            end = int(row.argmin())
+            if row[end] <= allowed(len(item)):
+                back = anchored(item[::-1], h[low : low + end][::-1])
+                out.append((ident, low + end - int(back.argmin()), low + end, int(row[end])))
         return sorted(out)
 
 

@@ -69,3 +69,36 @@ def test_rows_kept_and_odd_inputs(spark):
     kept = dc.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert dc.leaks(docs.limit(0), bench).count() == 0 and dc.leaks(docs, bench.limit(0)).count() == 0 and dc.clean(docs, bench.limit(0)).count() == 6
+
+
+def planted(sizes):
+    """Items, and texts that hold one of each with as many edits as it allows: mixed ones, insertions, deletions."""
+    rnd = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    hashes = WordHash()
+    h = lambda ws: hashes.of([w.encode() for w in ws])
+    pick = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items, texts = [pick(n) for n in sizes], []
+    for i, ws in enumerate(items):
+        edits = dc.allowed(len(ws))
+        gone = set(rnd.sample(range(len(ws)), edits))
+        wider = list(ws)
+        for _ in range(edits):
+            wider.insert(rnd.randrange(len(wider) + 1), rnd.choice(vocabulary))
+        for copy in (changed(rnd, ws, edits, vocabulary), wider, [w for k, w in enumerate(ws) if k not in gone]):
+            texts.append((i, h(pick(90) + copy + pick(90))))
+    return [(i, h(ws)) for i, ws in enumerate(items)], texts
+
+
+def test_no_long_passage_within_the_bound_is_missed():
+    items, texts = planted([59, 100, 200, 400] * 4)
+    index = dc.Index(items)
+    assert [[x[0] for x in index.find(t)] for _, t in texts] == [[i] for i, _ in texts]
+
+
+def test_texts_counted_in_parts_have_the_same_hits(monkeypatch):
+    items, texts = planted([6, 15, 40, 100])
+    text = np.concatenate([t for _, t in texts])
+    whole = dc.Index(items).find(text)
+    monkeypatch.setattr(dc, "AT_ONCE", 20)
+    assert dc.Index(items).find(text) == whole and {x[0] for x in whole} == {0, 1, 2, 3}

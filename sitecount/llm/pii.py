@@ -173,13 +173,13 @@ def signs(tape: Tape) -> Tape:
 
 def hidden(source: str) -> dict[str, list[Span]]:
     """Spans of the source that hold an identifier only after rewriting."""
-    low = source.lower()
     odd = not source.isascii() and HOMOGLYPH.search(source) is not None
-    signed = "dot" in low or "at" in low and BRACKET_AT.search(source) is not None or "plus" in low or "@" in low and BRACKET_AT.search(source) is not None
-    if not (odd or signed or any(w in low for w in SPELLED)):
-        return {}
-    tape = Tape(source, [], [], [])
-    if not odd and not SPELLED_RUN.search(source) and not BRACKET_AT.search(source) and not BRACKET_DOT.search(source) and not BARE.search(source) and not PLUS.search(source):
+    low = source.lower() if source.isascii() else None  # a word that a pattern needs; beyond ASCII, more letters than its own match it
+    has = lambda *words: low is None or any(w in low for w in words)
+    if not (
+        odd or BRACKET_AT.search(source) or BRACKET_DOT.search(source) or has(*SPELLED) and SPELLED_RUN.search(source)
+        or has("dot") and BARE.search(source) or has("plus") and PLUS.search(source)
+    ):
         return {}
     tape = signs(spelled_digits(homoglyphs(Tape.of(source))))
     if not any(tape.changed):

@@ -59,3 +59,32 @@ def test_query_rows(spark):
     assert got == [(1, 1, 1, 0, 0, hashlib.sha256(b"email:0:6,ip:7:15").hexdigest(), "email:0:6,ip:7:15", 0), (2, 0, 0, 0, 0, none, "", 0), (2, 0, 0, 0, 0, none, "", 0), (3, 0, 0, 0, 0, none, "email:0:12", 1)]
     assert pii.find(docs.limit(0)).count() == 0
     assert pii.mask("a@b.co x", pii.scan("a@b.co x")[1]) == "<email> x"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail admin@corp[.]com today", "email", "admin@corp[.]com"),
+        ("host 10[.]0[.]0[.]1 up", "ip", "10[.]0[.]0[.]1"),
+        ("mail admin@corp (dot) com today", "email", "admin@corp (dot) com"),
+        ("mail admin[@]corp.com today", "email", "admin[@]corp.com"),
+        ("mail admin {at} corp.com today", "email", "admin {at} corp.com"),
+        ("mail admin at corp dot com today", "email", "admin at corp dot com"),
+        ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+        ("host one zero zero.0.0.1 up", "ip", "one zero zero.0.0.1"),
+        ("mail аdmin@corp.com today", "email", "аdmin@corp.com"),
+    ],
+)
+def test_each_rewrite_alone(text, kind, found):
+    _, every = pii.scan(text)
+    assert found in [text[a:b] for a, b in every[kind]]
+
+
+@pytest.mark.parametrize("parts", [["a", "@", "b", ".", "[", "]", " ", "at", "com"], ["10", "1", ".", "(.)", " [.] ", "one ", "two "], ["plus ", "44", " 20 7946", "0958", "dot", " dot ", "ſix ", "é"]])
+def test_no_text_is_left_out_before_the_rewrites(parts):
+    rnd = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 14)))
+        tape = pii.signs(pii.spelled_digits(pii.homoglyphs(pii.Tape.of(t))))
+        want = {k: got for k, found in pii.detect(tape.text).items() if (got := [(tape.start[a], tape.end[b - 1]) for a, b in found if any(tape.changed[a:b])])}
+        assert pii.hidden(t) == want, t

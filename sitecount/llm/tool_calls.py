@@ -9,8 +9,9 @@ Only conversations in which some call depends on a later one are levelled: calls
 one, round by round, so the rounds are as many as the longest chain there. What never gets a level is on a cycle, and marked so.
 
 Canonical JSON has sorted keys and no spaces; numbers are as Spark's variant type writes them. Text that isn't valid JSON is plain, not an
-error. Null text is an empty message; a null role is empty; rows with a null conversation aren't linked. Of several results for a call the first one (turn,
-then text) counts, the others are orphans; likewise the first of several calls with an id. A dependency on an id that isn't there is reported as missing
+error. Null text is an empty message; a null role is empty; calls and results with a null conversation or id aren't linked, and are rows of their own. Of several
+results for a call the first one (turn, then text) counts, and so does the first of several calls with an id; the others are rows with the status
+``duplicate``, in the registered query and where they are asked for, and ``n_ignored`` counts them. What a call message says besides its calls is a message. A dependency on an id that isn't there is reported as missing
 and doesn't delay the call. Repeated rows (same conversation and turn) are separate messages, of which the first by text counts in links. An empty table gives no rows.
 """
 
@@ -70,7 +71,8 @@ _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant
 
 
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls (conv_id, turn, place, id, name, arguments JSON, depends_on), results (conv_id, turn, id, content JSON) and plain messages (conv_id, turn, role, text)."""
+    """Calls (conv_id, turn, place, id, name, arguments JSON, depends_on), results (conv_id, turn, id, content JSON) and messages (conv_id, turn, role, content JSON): plain ones, and
+    what a call message says besides its calls, if it says something or makes none."""
     text = F.coalesce("text", F.lit(""))
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
     maybe = F.col("text").startswith("{") & (F.contains("text", F.lit('"tool_calls"')) | F.contains("text", F.lit('"tool_call_id"')))
@@ -78,8 +80,12 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     is_call, is_result = F.col("m.tool_calls").isNotNull(), F.col("m.tool_call_id").isNotNull()
     calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("place", "c"))
     calls = calls.select("conv_id", "turn", "place", "c.id", "c.name", F.to_json("c.arguments").alias("arguments"), "c.depends_on")
-    results = rows.where(~F.coalesce(is_call, F.lit(False)) & is_result).select("conv_id", "turn", F.col("m.tool_call_id").alias("id"), F.to_json("m.content").alias("content"))
-    plain = rows.where(~F.coalesce(is_call, F.lit(False)) & ~F.coalesce(is_result, F.lit(False))).select("conv_id", "turn", "role", "text")
+    said = F.to_json("m.content")
+    results = rows.where(is_result).select("conv_id", "turn", F.col("m.tool_call_id").alias("id"), said.alias("content"))
+    is_call, is_result = F.coalesce(is_call, F.lit(False)), F.coalesce(is_result, F.lit(False))
+    speaks = is_call & ~is_result & ((F.coalesce(said, F.lit("null")) != "null") | (F.size("m.tool_calls") == 0))
+    content = F.when(is_call, F.coalesce(said, F.lit("null"))).otherwise(quoted(F.col("text")))
+    plain = rows.where(~is_call & ~is_result | speaks).select("conv_id", "turn", "role", content.alias("content"))
     return calls, results, plain
 
 
@@ -124,19 +130,54 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substring(whole, 6, F.length(whole) - 6))
 
 
+KEY = ["conv_id", "id"]
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with their rank by ``order`` among those of the same key, and how many those are. ``salt`` spreads rows without a key, and is 0 for others."""
+    salt = F.when(F.col("conv_id").isNull() | F.col("id").isNull(), F.xxhash64(F.lit(1), *order)).otherwise(F.lit(0).cast("long"))
+    same = Window.partitionBy(*KEY, "salt")
+    return rows.withColumn("salt", salt).withColumn("rank", F.row_number().over(same.orderBy(*order))).withColumn("same", F.count(F.lit(1)).over(same))
+
+
+def waits(lone: DataFrame, first: DataFrame, levelled: DataFrame) -> DataFrame:
+    """``lone`` calls, on which nothing can depend, with the level (null on what is on a cycle) that puts each after its dependencies, and missing ones."""
+    there = first.join(levelled.select(*KEY, "level"), KEY).select("conv_id", F.col("id").alias("on"), F.struct("turn", "place").alias("on_at"), F.col("level").alias("on_level"), F.lit(True).alias("there"))
+    edges = lone.select("row", "conv_id", F.struct("turn", "place").alias("at"), F.explode(F.array_distinct("depends_on")).alias("on")).join(there, ["conv_id", "on"], "left")
+    after = F.col("on_level") + F.when(F.col("on_at") < F.col("at"), 0).otherwise(1)
+    found = edges.groupBy("row").agg(
+        F.max(after).alias("level"),
+        F.coalesce(F.bool_or(F.col("there") & F.col("on_level").isNull()), F.lit(False)).alias("stuck"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("there").isNull(), F.col("on")))), ",").alias("missing"),
+    )
+    level = F.when(F.coalesce("stuck", F.lit(False)), F.lit(None).cast("int")).otherwise(F.coalesce("level", F.lit(0)))
+    return lone.join(found, "row", "left").withColumn("level", level).withColumn("missing", F.coalesce("missing", F.lit("")))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """Calls and orphan results: conv_id, level, turn, place, kind, id, status and json."""
-    key = ["conv_id", "id"]
-    pick = F.struct("turn", "place", "name", "arguments", "depends_on")
-    first = calls.where("conv_id IS NOT NULL AND id IS NOT NULL").groupBy(*key).agg(F.min(pick).alias("c"), F.count(F.lit(1)).alias("same"))
-    first = written(first.select(*key, "c.*", "same"), "calls")
-    answer = results.where("conv_id IS NOT NULL AND id IS NOT NULL").groupBy(*key).agg(F.min(F.struct(F.col("turn").alias("result_turn"), F.col("content"))).alias("r"), F.count(F.lit(1)).alias("answers"))
-    both = first.join(answer, key, "full_outer").join(levels(first), key, "left")
+    """Every call and every result that isn't in a call's row: conv_id, level, turn, place, kind, id, status and json."""
+    every = ranked(calls, "turn", "place", "name", "arguments", "depends_on")
+    every = written(every.withColumn("row", F.monotonically_increasing_id()), "calls")
+    keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
+    first = every.where(keyed & (F.col("rank") == 1))
+    lone = every.where(~keyed | (F.col("rank") > 1))
+    levelled = levels(first)
+    answer = ranked(results, "turn", "content").select(*KEY, "salt", F.struct(F.col("turn").alias("result_turn"), "content").alias("r"), F.col("rank").alias("place_among"), F.when(F.col("conv_id").isNull(), 1).otherwise(F.col("same")).alias("answers"))
+    surplus = F.coalesce(F.col("place_among") > 1, F.lit(False)) & F.col("conv_id").isNotNull()
+    called = first.select(*KEY, "salt", "turn", "place", "name", "arguments", "same").join(levelled, KEY, "left")
+    both = called.join(answer, [*KEY, "salt"], "full_outer").withColumn("surplus", surplus)
+    # a later answer to a call is a row of its own, without the call's part
+    for c in ("turn", "place", "name", "arguments", "same", "level", "missing"):
+        both = both.withColumn(c, F.when(~F.col("surplus"), F.col(c)))
+    both = both.select("conv_id", "id", "turn", "place", "name", "arguments", "same", "level", "missing", "r", "answers", "surplus")
+    if not lone.isEmpty():
+        own = waits(lone, first, levelled).select("conv_id", "id", "turn", "place", "name", "arguments", F.lit(1).cast("long").alias("same"), "level", "missing", (keyed & (F.col("rank") > 1)).alias("surplus"))
+        both = both.unionByName(own, allowMissingColumns=True)
     args = F.when(F.col("arguments").startswith("{"), F.from_json("arguments", "map<string,variant>"))
     both = both.withColumn("wrong", F.when(F.col("same").isNotNull(), problems(F.col("name"), args, schemas)))
     called = F.col("same").isNotNull()
     status = (
-        F.when(~called, "orphan_result").when(F.col("level").isNull(), "cycle").when(F.col("wrong") != "", F.concat(F.lit("invalid:"), "wrong"))
+        F.when(F.col("surplus"), "duplicate").when(~called, "orphan_result").when(F.col("level").isNull(), "cycle").when(F.col("wrong") != "", F.concat(F.lit("invalid:"), "wrong"))
         .when(F.col("missing") != "", F.concat(F.lit("missing:"), "missing")).when(F.col("r").isNull(), "no_result").otherwise("ok")
     )
     call = canonical(arguments=F.col("arguments"), id=quoted(F.col("id")), name=quoted(F.col("name")), result=F.col("r.content"))
@@ -149,16 +190,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
         F.when(called, "call").otherwise("result").alias("kind"),
         F.col("id").alias("call_id"),
         status.alias("status"),
-        (F.coalesce("same", F.lit(0)) + F.coalesce("answers", F.lit(0)) - F.when(called, 1).otherwise(0) - F.when(F.col("r").isNotNull(), 1).otherwise(0)).cast("long").alias("n_ignored"),
+        F.when(F.col("surplus"), 0).otherwise(F.coalesce("same", F.lit(0)) + F.coalesce("answers", F.lit(0)) - F.when(called, 1).otherwise(0) - F.when(F.col("r").isNotNull(), 1).otherwise(0)).cast("long").alias("n_ignored"),
         F.when(called, call).otherwise(alone).alias("json"),
     )
 
 
-def format_chat(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row for each call, orphan result and plain message; order by (conv_id, level, turn, place)."""
+def format_chat(messages: DataFrame, schemas: dict = SCHEMAS, duplicates: bool = False) -> DataFrame:
+    """One row for each call, orphan result and message, and with ``duplicates``, as in the registered query, for each later call or result of an
+    id too; order by (conv_id, level, turn, place)."""
     calls, results, plain = parse(messages)
     linked = link(calls, results, schemas)
-    plain = plain.select("conv_id", F.lit(0).alias("level"), "turn", F.lit(-1).alias("place"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), F.lit(0).cast("long").alias("n_ignored"), canonical(content=quoted(F.col("text")), role=quoted(F.col("role"))).alias("json"))
+    if not duplicates:
+        linked = linked.where("status <> 'duplicate'")
+    plain = plain.select("conv_id", F.lit(0).alias("level"), "turn", F.lit(-1).alias("place"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), F.lit(0).cast("long").alias("n_ignored"), canonical(content=F.col("content"), role=quoted(F.col("role"))).alias("json"))
     return linked.unionByName(plain)
 
 
@@ -183,7 +227,7 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))).select("conv_id", "level", "turn", "place", "kind", "call_id", "status", "n_ignored", "json")
+    return format_chat(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), duplicates=True).select("conv_id", "level", "turn", "place", "kind", "call_id", "status", "n_ignored", "json")
 
 
 ORACLE = """

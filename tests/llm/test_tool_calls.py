@@ -53,3 +53,66 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert tc.format_chat(df).count() == 0
     assert tc.format_chat(tc.as_tool_messages(df)).count() == 0
+
+
+def test_calls_and_results_without_a_key_or_with_a_taken_one_are_rows(spark):
+    rows = [
+        (None, 0, "assistant", calls(("a", "g", {}, []))),
+        (None, 1, "tool", result("a", "who")),
+        (1, 0, "assistant", calls(("a", "g", {}, []), (None, "g", {}, ["a", "gone"]), (None, "g", {}, ["a"]))),
+        (1, 0, "assistant", calls(("a", "f", {"x": 7}, []))),
+        (1, 1, "tool", result("a", "first")),
+        (1, 1, "tool", result("a", "second")),
+        (1, 1, "tool", result("a", "second")),
+        (2, 0, "assistant", json.dumps({"content": "let me see", "tool_calls": [{"id": "p", "name": "g", "arguments": {}, "depends_on": []}]})),
+        (2, 1, "assistant", json.dumps({"content": "none", "tool_calls": []})),
+        (2, 2, "assistant", json.dumps({"content": None, "tool_calls": []})),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id or 0, r.turn, r.place, r.kind, r.call_id or "", r.status, r.n_ignored), r.json) for r in tc.format_chat(df, SCHEMAS, duplicates=True).collect())
+    assert [g[0] for g in got] == [
+        (0, 0, 0, "call", "a", "no_result", 0),
+        (0, 1, 0, "result", "a", "orphan_result", 0),
+        (1, 0, 0, "call", "a", "duplicate", 0),
+        (1, 0, 0, "call", "a", "ok", 3),
+        (1, 0, 1, "call", "", "missing:gone", 0),
+        (1, 0, 2, "call", "", "no_result", 0),
+        (1, 1, 0, "result", "a", "duplicate", 0),
+        (1, 1, 0, "result", "a", "duplicate", 0),
+        (2, 0, -1, "message", "", "ok", 0),
+        (2, 0, 0, "call", "p", "no_result", 0),
+        (2, 1, -1, "message", "", "ok", 0),
+        (2, 2, -1, "message", "", "ok", 0),
+    ]
+    texts = {g[0]: g[1] for g in got}
+    assert texts[(1, 0, 0, "call", "a", "ok", 3)] == '{"arguments":{"x":7},"id":"a","name":"f","result":"first"}'
+    assert texts[(1, 0, 0, "call", "a", "duplicate", 0)] == '{"arguments":{},"id":"a","name":"g","result":null}'
+    assert texts[(1, 1, 0, "result", "a", "duplicate", 0)] == '{"content":"second","tool_call_id":"a"}'
+    assert texts[(2, 0, -1, "message", "", "ok", 0)] == '{"content":"let me see","role":"assistant"}'
+
+
+def test_the_query_keeps_turns_without_a_conversation_and_repeated_ones(spark, tmp_path):
+    rows = [
+        (None, 0, "user", "alone"),
+        (None, 2, "user", "later"),
+        (None, 3, "assistant", "said"),
+        (1, 0, "user", "a"),
+        (1, 0, "user", "b"),
+        (1, 0, "user", "b"),
+        (1, 1, "assistant", "c"),
+        (1, 1, "assistant", "d"),
+        (1, 2, "user", "e"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = tc.query(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id or 0, r.turn, r.kind, r.status, r.n_ignored) for r in got) == [
+        (0, 0, "call", "no_result", 0),
+        (0, 2, "call", "missing:t0", 0),
+        (0, 3, "result", "orphan_result", 0),
+        (1, 0, "call", "duplicate", 0),
+        (1, 0, "call", "duplicate", 0),
+        (1, 0, "call", "ok", 3),
+        (1, 1, "result", "duplicate", 0),
+        (1, 2, "call", "no_result", 0),
+    ]
+    assert sorted(word for r in got for word in ("alone", "later", "said", "a", "b", "c", "d", "e") if f':"{word}"' in r.json) == ["a", "alone", "b", "b", "c", "d", "e", "later", "said"]

@@ -63,6 +63,31 @@ def anchored(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
+def passages(item: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, distance) of runs within the item's bound that don't overlap: the nearest one to the item, then those of what is left and right of it.
+
+    Of equally near ones the one at the middle comes first, so that a text of many copies is halved each time.
+    """
+    edits = allowed(len(item))
+    least, todo = len(item) - edits, [(0, len(text))]
+    own = np.unique(grams(item))
+    starts = np.flatnonzero(np.isin(grams(text), own))
+    while todo:
+        low, high = todo.pop()
+        # what is too short, or has too few of the item's grams, holds none
+        if high - low < least or np.searchsorted(starts, high - 2) - np.searchsorted(starts, low) < len(item) - 2 - 3 * edits:
+            continue
+        row = distances(item, text[low:high])
+        ends = np.flatnonzero(row == row.min())
+        if row[ends[0]] > edits:
+            continue
+        middle = int(ends[np.abs(ends - (high - low) // 2).argmin()])
+        end = low + int(ends[np.searchsorted(ends, middle - least, "right")])
+        start = end - int(anchored(item[::-1], text[max(low, end - len(item) - edits) : end][::-1]).argmin())
+        yield start, end, int(row[end - low])
+        todo += [(low, start), (end, high)]
+
+
 class Index:
     """A block of items, ready to be looked up; its size is that of the block."""
 
@@ -119,15 +144,11 @@ class Index:
             yield int(m[k]), int(low[k]), int(high[end - 1])
 
     def find(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, distance) of the hits, one for each stretch of neighbouring candidates, in words."""
+        """(item id, start, end, distance) of the hits, in words; those of an item don't overlap."""
         out = []
         for m, low, high in self.candidates(h):
             ident, item = self.items[m]
-            row = distances(item, h[low:high])
-            end = int(row.argmin())
-            if row[end] <= allowed(len(item)):
-                back = anchored(item[::-1], h[low : low + end][::-1])
-                out.append((ident, low + end - int(back.argmin()), low + end, int(row[end])))
+            out += [(ident, low + a, low + b, d) for a, b, d in passages(item, h[low:high])]
         return sorted(out)
 
 

@@ -102,3 +102,20 @@ def test_texts_counted_in_parts_have_the_same_hits(monkeypatch):
     whole = dc.Index(items).find(text)
     monkeypatch.setattr(dc, "AT_ONCE", 20)
     assert dc.Index(items).find(text) == whole and {x[0] for x in whole} == {0, 1, 2, 3}
+
+
+def test_adjacent_copies_are_hits_of_their_own():
+    rnd = random.Random(3)
+    hashes = WordHash()
+    h = lambda ws: hashes.of([w.encode() for w in ws])
+    item = [f"w{k}" for k in range(30)]
+    index = dc.Index([(7, h(item))])
+    assert index.find(h(item * 2)) == [(7, 0, 30, 0), (7, 30, 60, 0)]
+    assert index.find(h(item * 50)) == [(7, k, k + 30, 0) for k in range(0, 1500, 30)]
+    edited = [*item[:10], "x", *item[11:20], "y", *item[21:]]
+    assert index.find(h(item + edited + item)) == [(7, 0, 30, 0), (7, 30, 60, 2), (7, 60, 90, 0)]
+    text = [w for _ in range(20) for w in (*changed(rnd, item, 3, ["a", "b", "c"]), *["z"] * rnd.randrange(3))]
+    found = index.find(h(text))
+    assert len(found) == 20 and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+    for _, a, b, d in found:
+        assert edit(item, text[a:b]) == d <= dc.allowed(30)

@@ -7,7 +7,7 @@ nothing within the bound is missed, however long the item and whichever edits it
 edit distance (with the best start and end).
 
 Items travel in blocks of bounded size (``BLOCK_WORDS``); documents are scanned once for each block, whole, without a shuffle. An item
-allows ``floor(L / 5)`` edits, fewer where L < 10; items of under ``LEAST_ITEM`` words are not searched for. Null and empty texts have no hits.
+allows ``floor(L / 5)`` edits, fewer where L < 10 and none where L < 6. ``leaks`` reports items by id and leaves out those with a null one; ``clean`` uses them too. Null and empty texts have no hits.
 Repeated rows get the same hits each; repeated items are reported each.
 """
 
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import WordHash
 
-LEAST_ITEM = 5
 #: Words of a block of items; pairs of a place in a text and an item that are counted at once.
 BLOCK_WORDS, AT_ONCE = 500_000, 2_000_000
 _GRAM = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -94,6 +93,12 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
         self.table = np.zeros(1 << _BITS, dtype=bool)
+        #: Items of one or two words have no grams: the items by their first word.
+        self.short: dict[int, list[int]] = defaultdict(list)
+        for k, (_, h) in enumerate(items):
+            if 0 < len(h) < 3:
+                self.short[int(h[0])].append(k)
+        self.heads = np.array(sorted(self.short), dtype=np.uint64)
         every = [np.unique(grams(h)) for _, h in items]
         flat = np.concatenate([np.zeros(0, dtype=np.uint64), *every])
         order = np.argsort(flat, kind="stable")
@@ -149,27 +154,39 @@ class Index:
         for m, low, high in self.candidates(h):
             ident, item = self.items[m]
             out += [(ident, low + a, low + b, d) for a, b, d in passages(item, h[low:high])]
-        return sorted(out)
-
-
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", limit: int = BLOCK_WORDS) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """Items with their word hashes, in blocks; the driver holds one block at a time."""
+        return sorted(out + self.short_hits(h))
+
+    def short_hits(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Hits of items of one or two words, exact and from the left."""
+        out, free = [], defaultdict(int)
+        for at in np.flatnonzero(np.isin(h, self.heads)).tolist() if len(self.heads) else ():
+            for m in self.short[int(h[at])]:
+                ident, item = self.items[m]
+                end = at + len(item)
+                if at >= free[m] and np.array_equal(h[at:end], item):
+                    out.append((ident, at, end, 0))
+                    free[m] = end
+        return out
+
+
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", limit: int = BLOCK_WORDS, nameless: bool = False) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items with their word hashes, in blocks; the driver holds one block at a time. ``nameless`` items, those with a null id, get the id -1."""
     hashes, block, size = WordHash(), [], 0
-    for ident, t in benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text}`").isNotNull()).toLocalIterator():
+    for ident, t in benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).where((F.col(f"`{id_col}`").isNotNull() | F.lit(nameless)) & F.col(f"`{text}`").isNotNull()).toLocalIterator():
         found = t.encode().lower().split()
-        if len(found) < LEAST_ITEM:
+        if not found:
             continue
         if block and size + len(found) > limit:
             yield block
             block, size = [], 0
-        block.append((ident, hashes.of(found)))
+        block.append((-1 if ident is None else ident, hashes.of(found)))
         size += len(found)
     if block:
         yield block
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame) -> Iterable:
-    for block in blocks(benchmark):
+def _indexes(spark: SparkSession, benchmark: DataFrame, nameless: bool = False) -> Iterable:
+    for block in blocks(benchmark, nameless=nameless):
         yield spark.sparkContext.broadcast(Index(block))
 
 
@@ -220,7 +237,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
         return run
 
-    for shared in _indexes(docs.sparkSession, benchmark):
+    for shared in _indexes(docs.sparkSession, benchmark, nameless=True):
         docs = docs.mapInArrow(sift(shared), docs.schema)
     return docs
 

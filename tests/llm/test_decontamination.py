@@ -119,3 +119,12 @@ def test_adjacent_copies_are_hits_of_their_own():
     assert len(found) == 20 and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
     for _, a, b, d in found:
         assert edit(item, text[a:b]) == d <= dc.allowed(30)
+
+
+def test_short_items_and_ones_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e a b"), (2, "p q r s"), (3, "q r s t u"), (4, "A"), (5, "one two three four five six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "a b"), (11, "a"), (12, "q r s"), (13, "p q r s"), (None, "one two three four five six"), (14, "")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.spans) for r in dc.leaks(docs, bench).collect())
+    assert got == [(1, 10, "0:2,5:7"), (1, 11, "0:1,5:6"), (2, 12, "1:4"), (2, 13, "0:4"), (3, 12, "0:3"), (4, 11, "0:1")]
+    assert dc.clean(docs, bench).count() == 0
+    assert [r.doc_id for r in dc.clean(docs, bench.where("item_id IS NULL")).collect() if r.doc_id == 5] == []

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import suppress
 
 import numpy as np
 import xxhash
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 SPACES = "\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch are at most this many; a task then holds few long texts at a time.
+#: Multipliers of the 64-bit finalizer.
 MIX_A, MIX_B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -32,11 +33,13 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one of its own where that is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, one of its own in local mode, as in tests; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint_")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -44,13 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, from a Parquet table in the shared folder: their lineage is cut, and lost executors cost nothing that was done before."""
+    """The rows, from a Parquet table in the shared folder: their lineage is cut, and lost executors cost nothing that was done before.
+
+    The table goes when the session ends, or with ``drop``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "__dict__", {}).get("_table"):
+            fs, at = _hadoop(df.sparkSession, path)
+            with suppress(Exception):  # what can't be deleted now goes with the session
+                fs.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -59,11 +84,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
-
-
 def fmix(x: np.ndarray) -> np.ndarray:
     """The finalizer of a 64-bit hash, over an array."""
     x = x ^ (x >> np.uint64(33))

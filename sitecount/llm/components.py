@@ -1,8 +1,8 @@
 """Connected components of a graph in a table, by alternating large-star and small-star steps.
 
-Each step is a minimum by node (partial aggregates first) and a plain equi-join, so a node with very many edges is pre-aggregated in one
-and split by AQE in the other. The edges shrink to stars within a number of rounds that grows with the logarithm of the largest
-component; every round is written, so a lost executor repeats one round at most.
+Each step is a minimum by node (partial aggregates first) and a plain equi-join of two written tables, so a node with very many edges is
+pre-aggregated in one and split by AQE in the other. The edges shrink to stars within a number of rounds that grows with the logarithm of
+the largest component; every step is written, so a lost executor repeats one step at most.
 """
 
 from __future__ import annotations
@@ -10,20 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    out = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+    drop(least)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Edges run from the larger node u to the smaller one v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    out = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    drop(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -36,7 +40,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("x <> y").select(high.alias("u"), low.alias("v")).distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = written(_small(_large(edges)).distinct(), "edges")
+        large = _large(edges)
+        drop(edges)
+        edges = _small(large)
+        drop(large)
         now = _mark(edges)
         if now == mark:
             break

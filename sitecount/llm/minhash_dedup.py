@@ -5,21 +5,22 @@ each a register keeps the number of leading zeros (6 bits) and the bits after th
 the register of another, picked by a fixed random priority, so that sets with few shingles collide as often as their similarity says.
 ``ROWS`` neighbouring registers make a band; documents that agree in a band share a bucket.
 
-Sets that are equal form a class, and only one row of a class goes on, so exact copies meet nowhere. Candidates are taken in
-rounds, and a round only looks at pairs whose documents aren't yet known to be connected:
-
-1. each document with the least one of its buckets that shares most buckets with it;
-2. within buckets that still hold several components, each document with one drawn by a hash of the bucket;
-3. within buckets that still do, every pair across components. Where one of them is large, the pairs aren't written out: the large
-   component's sets are dealt into blocks of bounded size, and each document that shares a bucket with it meets each block once.
-
-The last round leaves no bucket-sharing pair across components untested, whatever the first two missed; they only make it short. Single pairs
-first pass the size ratio and the similarity estimated from the registers, corrected for chance collisions, with a margin of six
-standard deviations; what passes is confirmed on full sets. At a similarity of 0.8 a pair shares no bucket with probability
+Sets that are equal form a class, which is one node, so exact copies meet nowhere. Candidates are taken in rounds, and a round only
+looks at pairs whose classes aren't yet known to be connected:
+
+1. each class with the least one of its buckets that shares most buckets with it;
+2. within buckets that still hold several components, each class with one drawn by a hash of the bucket;
+3. within buckets that still do, what is left: pairs across components in buckets of at most ``FEW`` classes, and for larger
+   buckets those that an exact filter leaves (``crowded``): classes of overlapping buckets have one of them as pivot, and only pairs
+   that share rare enough differences from it can be linked without both being linked to it.
+
+The last round leaves no bucket-sharing pair across components that could be linked untested, whatever the first two missed; they only make
+it short. Pairs first pass the size ratio and the similarity estimated from the registers, corrected for chance collisions, with a margin
+of six standard deviations; what passes is confirmed on full sets. At a similarity of 0.8 a pair shares no bucket with probability
 (1 - 0.8 ** 6) ** 42, about 3 in a million.
 
-Null or empty texts have an empty set, are linked with nothing and stay. A null id gets a large one made of the text's hash within
-the operator; its component is null unless the group has a true id. Rows that share an id are one document.
+Null or empty texts have an empty set, are linked with nothing and stay. A row is known by its id and text, so that rows that share an id but
+not the text are looked at each, and any id is as good as another; a group's component is its least id, and null if all of its ids are.
 """
 
 from __future__ import annotations
@@ -29,21 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, WordHash, fmix, prefix, windows, written
+from .common import Powers, WordHash, drop, fmix, prefix, windows, written
 from .components import components
 
 BANDS, ROWS, MANTISSA = 42, 6, 10
 REGISTERS = BANDS * ROWS
 PERCENT = 80
-#: Ids from here on are made of hashes.
-MADE = 1 << 62
-#: Documents from which on a component counts as large; weight (hashes, and some for each document) of a block; documents that meet a block in one group.
-LARGE, BLOCK, ROW_WEIGHT, GUESTS = 64, 60_000, 128, 512
-#: Columns of a matrix at a time.
-COLUMNS = 1 << 14
+#: Classes of a bucket up to which its pairs are tested one by one.
+FEW = 16
 
 
 class Shingles:
@@ -91,31 +88,39 @@ class Sketch:
         return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity from rows of registers: the part that agrees, without what agrees by chance."""
-    chance = 1 / (3 * (1 << MANTISSA))
+def estimate(a: np.ndarray, b: np.ndarray, ratio: np.ndarray | float = 1.0) -> np.ndarray:
+    """Similarity from rows of registers: the part that agrees, without what agrees by chance. ``ratio`` is that of the sets' sizes.
+
+    The least hashes of two unlike sets of m and n are about exponential with these rates, so they fall into the same cell of a
+    register, v / 2 ** MANTISSA wide at a hash v up to rounding by powers of two, with probability m n / (m + n) ** 2 / 2 ** MANTISSA / (2 ln 2).
+    """
+    chance = ratio / (1 + ratio) ** 2 / (1 << MANTISSA) / (2 * np.log(2))
     return np.clip(((a == b).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
-def made_id(id_col: str, text: str) -> Column:
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(MADE) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`")), 2))
+def row_key(id_col: str, text: str) -> tuple[Column, Column]:
+    """Two hashes that tell apart all rows but those of equal id and text."""
+    ident, t = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    return F.xxhash64(ident), F.xxhash64(t, ident.isNull())
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, digest, registers) for each row (node, t); an empty set has a null digest."""
+    """(a, b, id, n, digest, registers) for each row (a, b, id, t); an empty set has a null digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketch = Shingles(size), Sketch()
         for batch in batches:
             n, digest, registers = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(3).to_pylist():
                 got = shingles.of(t)
                 n.append(len(got))
                 digest.append(xxhash.xxh3_128_digest(got.tobytes()) if len(got) else None)
                 registers.append(sketch.of(got).tobytes() if len(got) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())], names=["node", "n", "digest", "registers"])
+            made = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["a", "b", "id", "n", "digest", "registers"])
 
-    return docs.mapInArrow(run, "node long, n long, digest binary, registers binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"a long, b long, id {kind}, n long, digest binary, registers binary")
 
 
 def band_keys(registers: Column) -> Column:
@@ -132,106 +137,109 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-            many = np.minimum(REGISTERS, np.asarray(batch.column(4)))
-            margin = 6 * np.sqrt(least * (1 - least) / many)
-            yield batch.select([0, 1]).filter(pa.array(estimate(a, b) >= least - margin))
+            less, more = (np.asarray(batch.column(k)) for k in (4, 5))
+            margin = 6 * np.sqrt(least * (1 - least) / np.minimum(REGISTERS, more))
+            yield batch.select([0, 1]).filter(pa.array(estimate(a, b, less / more) >= least - margin))
 
     own = sketches.select("node", "n", "registers")
     x = own.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("registers").alias("rx"))
     y = own.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("registers").alias("ry"))
     sized = pairs.join(x, "x").join(y, "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    return sized.select("x", "y", "rx", "ry", F.greatest("nx", "ny").alias("n")).mapInArrow(run, "x long, y long")
+    return sized.select("x", "y", "rx", "ry", F.least("nx", "ny").alias("less"), F.greatest("nx", "ny").alias("more")).mapInArrow(run, "x long, y long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (x, y) whose full sets are similar enough. ``docs`` has node and t."""
+def full_sets(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of the classes in ``members``; ``docs`` has a, b and t, ``reps`` a, b and node. The only step that moves texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, known = Shingles(size), None, None
+        shingles = Shingles(size)
         for batch in batches:
-            keep = []
-            for x, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x != last or known is None or known[0] != a:
-                    last, known = x, (a, shingles.of(a))
-                one, two = known[1], shingles.of(b)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
 
-    a = docs.select(F.col("node").alias("x"), F.col("t").alias("tx"))
-    b = docs.select(F.col("node").alias("y"), F.col("t").alias("ty"))
-    texts = pairs.join(b.hint("merge"), "y").join(a.hint("merge"), "x")
-    return texts.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
-
-
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each set of a shares with each of b, by matrix products over some columns at a time."""
-    every = np.concatenate([*a, *b])
-    _, column = np.unique(every, return_inverse=True)
-    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
-    out = np.zeros((len(a), len(b)))
-    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
-        here = (column >= low) & (column < low + COLUMNS)
-        m = np.zeros((len(a) + len(b), COLUMNS), dtype=np.float32)
-        m[row[here], column[here] - low] = 1
-        out += m[: len(a)] @ m[len(a) :].T
+    wanted = written(reps.join(members.select("node").distinct(), "node").select("node", "a", "b"), "wanted")
+    found = docs.join(wanted, ["a", "b"]).select("node", "t").mapInArrow(run, "node long, hashes binary")
+    out = written(found.dropDuplicates(["node"]), "sets")  # equal rows are equal sets
+    drop(wanted)
     return out
 
 
-def met_in_blocks(there: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``there`` (key, node, c) without the rows of large components, and links (x, y) of documents with large components that share a bucket with them: at least
-    one for each two components that are linked."""
-    whole = labels.join(sketches.select("node", "n"), "node")
-    large = whole.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("many"), F.sum(F.col("n") + ROW_WEIGHT).alias("weight")).where(F.col("many") >= LARGE)
-    large = written(large.select("c", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "large")
-    hosts = there.join(large, "c").select("key", F.col("c").alias("host")).distinct()
-    flagged = there.join(large.select("c", F.lit(True).alias("big")), "c", "left")
-    guests = flagged.join(hosts, "key").where(F.col("big").isNull() & (F.col("c") != F.col("host")) | F.col("big") & (F.col("c") < F.col("host")))
-    guests = written(guests.select("node", "c", "host").distinct(), "guests")
-    plan = guests.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("chunks")).join(large.select(F.col("c").alias("host"), "blocks"), "host")
-    plan = written(plan, "hosts")
-    inside = labels.join(plan, F.col("component") == F.col("host")).select("host", "node", F.col("component").alias("c"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"))
-    outside = guests.join(plan, "host").select("host", "node", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"))
-    rows = inside.unionByName(outside)
-
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+def _hashes(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint64)
 
-    wanted = guests.select("node").unionByName(labels.join(plan, F.col("component") == F.col("host")).select("node")).distinct()
-    sets = written(docs.join(wanted.hint("merge"), "node").select("node", "t").mapInArrow(as_sets, "node long, hashes binary").dropDuplicates(["node"]), "sets")
 
-    def compared(hosts: list, guests: list) -> list[tuple[int, int]]:
-        a, b = ([np.frombuffer(x[2], dtype=np.uint64) for x in side] for side in (hosts, guests))
-        both = shared_counts(a, b)
-        total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
-        found = {}
-        for i, j in np.argwhere((both > 0) & (100 * both >= percent * total)).tolist():
-            found.setdefault((hosts[i][1], guests[j][1]), (hosts[i][0], guests[j][0]))
-        return list(found.values())
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group, the host's first."""
-        group, sides = None, ([], [])
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(_hashes(one), _hashes(two), assume_unique=True))
+                keep.append(both > 0 and 800 * both >= percent * (len(one) + len(two) - 8 * both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        def done():
-            links = compared(*sides) if sides[0] and sides[1] else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["x", "y"])
+    x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"h{n}")) for n in "xy")
+    return pairs.join(y, "y").join(x, "x").select("x", "y", "hx", "hy").mapInArrow(run, "x long, y long")
 
-        for batch in batches:
-            for host, block, chunk, side, node, c, hashes in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (host, block, chunk) != group:
-                    if group is not None:
-                        yield done()
-                    group, sides = (host, block, chunk), ([], [])
-                sides[side].append((node, c, hashes))
-        if group is not None:
-            yield done()
 
-    full = rows.join(sets, "node").select("host", "block", "chunk", "side", "node", "c", "hashes")
-    links = full.repartition("host", "block", "chunk").sortWithinPartitions("host", "block", "chunk", "side").mapInArrow(run, "x long, y long")
-    return flagged.where("big IS NULL").select("key", "node", "c"), written(links, "links")
+def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(crowd, node, c, pivot, n, f, guest, probe, index, tokens) for ``members`` (crowd, node, c, pivot).
+
+    With k = (100 - percent) / (100 + percent), sets x and y are linked where their difference has at most k (|x| + |y|) elements. Let dx
+    and dy be their differences from the pivot p. What x and y differ by is dx and dy without what these share, so a link needs
+    |dx & dy| >= (f(x) + f(y)) / 2 with f(x) = |dx| - k |x| (here times 100 + percent). A ``guest`` is not linked to p: f(x) > k |p|. As |y| <= |p| + |dy|, a guest
+    and any other set share at least one difference, and ``probe`` and ``index`` are how many of its rarest differences a set has to be looked up by, as
+    a guest with any other and as any with a guest, for the rarest shared one to be among them.
+    """
+    whole = 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for own, lead in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, p = _hashes(own), _hashes(lead)
+                d = np.setxor1d(x, p, assume_unique=True)
+                f, reach = whole * len(d) - (100 - percent) * len(x), (100 - percent) * len(p)
+                as_guest = max(1, -(-(f - reach) // 200))
+                as_any = max(1, (reach + f) // (2 * whole) + 1)
+                for c, v in zip(cols, (len(x), f, f > reach, max(0, len(d) - as_guest + 1) if f > reach else 0, max(0, len(d) - as_any + 1), d.view(np.int64)), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names=["crowd", "node", "c", "pivot", "n", "f", "guest", "probe", "index", "tokens"])
+
+    pivots = written(members.select("crowd", F.col("pivot").alias("node")).distinct().join(sets, "node").select("crowd", F.col("hashes").alias("lead")), "pivots")
+    both = members.join(sets, "node").join(pivots, "crowd").select("crowd", "node", "c", "pivot", "hashes", "lead")
+    return both.mapInArrow(run, "crowd long, node long, c long, pivot long, n long, f long, guest boolean, probe long, index long, tokens array<long>")
+
+
+def crowded(there: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For ``there`` (key, node, c, many, least): links (x, y) with pivots, and candidates (x, y) across components that hold all other links between nodes that share a key.
+
+    Differences are taken in the order of their frequency in the crowd, so that a pair is met by few rare ones, and a place in that order bounds how many two sets can still share.
+    """
+    crowd = written(components(there.select(F.col("node").alias("x"), F.col("least").alias("y"))), "crowds")
+    weight = there.groupBy("node", "c").agg(F.sum("many").alias("met")).join(crowd, "node").withColumnRenamed("component", "crowd")
+    weight = written(weight, "weights")
+    lead = written(weight.groupBy("crowd").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("best")).select("crowd", (-F.col("best.node")).alias("pivot")), "leads")
+    found = written(differences(weight.join(lead, "crowd").select("crowd", "node", "c", "pivot"), sets, percent), "differences")
+    links = found.where("NOT guest AND node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+    each = found.select("crowd", "node", F.explode("tokens").alias("token"))
+    rarity = written(each.groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
+    # a difference that one set alone has comes first and meets nothing
+    shared = each.join(rarity, ["crowd", "token"])
+    own = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    placed = shared.withColumn("own", own).join(found.select("node", "c", "n", "f", "probe", "index", F.size("tokens").alias("d")), "node")
+    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    placed = placed.withColumn("place", F.col("own") + alone - 1).where(F.col("place") < F.greatest("probe", "index")).withColumn("left", F.col("d") - F.col("place"))
+    placed = written(placed.select("crowd", "token", "node", "c", "n", "f", "left", (F.col("place") < F.col("probe")).alias("probes"), (F.col("place") < F.col("index")).alias("is_met")), "placed")
+    cols = ("node", "c", "n", "f", "left")
+    x, y = (placed.where(side).select("crowd", "token", *[F.col(c).alias(f"{c}_{n}") for c in cols]) for n, side in (("x", "probes"), ("y", "is_met")))
+    enough = F.least("left_x", "left_y") * (2 * (100 + percent)) >= F.col("f_x") + F.col("f_y")
+    able = enough & (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+    on = (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.token") == F.col("y.token")) & able
+    pairs = x.alias("x").join(y.alias("y"), on).select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
+    return links, written(pairs, "pairs")
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -246,63 +254,95 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(tops.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")), "labels")
 
 
-def classes(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, n, digest, one) with ``one``, the least node of the same set, and labels (node, component) of linked ones."""
-    signed = written(signatures(docs, size), "sketches")
-    ones = written(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("one")), "classes")
-    reps = signed.join(ones.select("digest", F.col("one").alias("node")), ["digest", "node"], "left_semi").select("node", "n", "registers")
-    reps = written(reps.dropDuplicates(["node"]), "reps")
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (x, y) of ``left`` (key, node, c) and ``right`` (key, other, d) in different components."""
+    met = left.join(right, "key").where("c <> d")
+    return met.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+
+
+def linked_classes(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others. ``reps`` has node, a, b, n and registers, one row for each class."""
     bands = reps.select("node", F.explode(band_keys(F.col("registers"))).alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least")).where("many > 1")
-    members = written(bands.join(shared.select("key", "least"), "key"), "buckets")
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least")).where("many > 1").select("key", "least"), "shared")
+    members = written(bands.join(shared, "key"), "buckets")
+    sets = full_sets(docs, reps, members, size)
+    made = [shared, members, sets]
 
     def linked(pairs: DataFrame) -> DataFrame:
         able = written(likely(pairs, reps, percent), "likely")
-        return written(confirmed(able, docs, size, percent), "links")
+        out = written(confirmed(able, sets, percent), "links")
+        drop(able)
+        made.append(out)
+        return out
+
+    def mixed() -> DataFrame:
+        """(key, node, c, many, least, drawn) of buckets with several components."""
+        named = written(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "named")
+        keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.xxhash64("key", "node")).alias("drawn"), F.count(F.lit(1)).alias("many"), F.min("node").alias("least"))
+        keys = written(keys.where("lo < hi").drop("lo", "hi"), "mixed")
+        out = written(named.join(keys, "key"), "there")
+        drop(named, keys)
+        made.append(out)
+        return out
 
     # 1: the least of a bucket, of which the one that is met most
     met = members.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("many"))
     first = met.groupBy("node").agg(F.max(F.struct("many", (-F.col("least")).alias("least"))).alias("best"))
     labels = _merged(None, linked(first.select((-F.col("best.least")).alias("x"), F.col("node").alias("y"))))
-    for last in (False, True):
-        named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.xxhash64("key", "node")).alias("drawn")).where("lo < hi").select("key", "drawn")
-        if last:  # 3
-            there = written(named.join(mixed.select("key"), "key"), "mixed")
-            small, links = met_in_blocks(there, labels, reps, docs, size, percent)
-            other = small.select("key", F.col("node").alias("y"), F.col("c").alias("d"))
-            pairs = small.join(other, "key").where("c < d").select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
-            labels = _merged(labels, links)
-        else:  # 2
-            there = written(named.join(mixed, "key"), "mixed")
-            lead = there.where(F.xxhash64("key", "node") == F.col("drawn")).select("key", F.col("node").alias("x"), F.col("c").alias("d"))
-            pairs = there.join(lead, "key").where("c <> d").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        if there.isEmpty():
-            break
-        labels = _merged(labels, linked(pairs))
-    return signed.select("node", "n", "digest").join(ones, "digest", "left").withColumn("one", F.coalesce("one", "node")), labels
+    # 2: one that is drawn
+    there = mixed()
+    if not there.isEmpty():
+        lead = there.where(F.xxhash64("key", "node") == F.col("drawn")).select("key", F.col("node").alias("other"), F.col("c").alias("d"))
+        labels = _merged(labels, linked(_across(there.select("key", "node", "c"), written(lead, "drawn"))))
+        # 3: all that are left
+        there = mixed()
+        few = there.where(F.col("many") <= FEW).select("key", "node", "c")
+        pairs = _across(few, few.select("key", F.col("node").alias("other"), F.col("c").alias("d")))
+        links, more = crowded(there.where(F.col("many") > FEW), sets, percent)
+        labels = _merged(labels, linked(pairs.unionByName(more).distinct()).unionByName(links))
+    drop(*made)
+    return labels
+
+
+def classes(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b, id, n, digest) of ``docs`` (a, b, id, t), and for each digest its group's ``first``: the row (z, id, a, b) with the least id, nulls last, and the hashes of the row."""
+    signed = written(signatures(docs, size), "sketches")
+    head = F.struct(F.col("id").isNull().alias("z"), "id", "a", "b")
+    ones = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(head).alias("first"))
+    ones = written(ones.withColumn("node", F.monotonically_increasing_id()), "classes")
+    at = ones.select("digest", "node", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
+    reps = written(signed.join(at, ["digest", "a", "b"]).select("node", "a", "b", "n", "registers").dropDuplicates(["node"]), "reps")
+    labels = linked_classes(reps, docs, size, percent)
+    drop(reps)
+    tops = ones.join(labels, "node").groupBy("component").agg(F.min("first").alias("top"))
+    named = ones.join(labels.join(tops, "component").select("node", "top"), "node", "left")
+    return signed.drop("registers"), named.select("digest", F.coalesce("top", "first").alias("first"))
 
 
 def group(docs: DataFrame, size: int, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: node, n_shingles and component (a node)."""
-    rows = docs.select(made_id(id_col, text).alias("node"), F.col(f"`{text}`").cast("binary").alias("t"))
-    signed, labels = classes(rows, size, percent)
-    return signed.join(labels.select(F.col("node").alias("one"), "component"), "one", "left").select("node", F.col("n").alias("n_shingles"), F.coalesce("component", "one").alias("component"))
+    """One row per row: a, b, id, n_shingles and ``first``, the group's row with the least id (null for an empty set)."""
+    a, b = row_key(id_col, text)
+    rows = docs.select(a.alias("a"), b.alias("b"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("t"))
+    signed, firsts = classes(rows, size, percent)
+    return signed.join(written(firsts, "firsts"), "digest", "left").select("a", "b", "id", F.col("n").alias("n_shingles"), "first")
 
 
 def label(docs: DataFrame, size: int, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: the id, n_shingles, component_id (the least id that is reachable) and kept."""
-    true = lambda c: F.when(F.col(c) < MADE, F.col(c))
+    """One row per row: the id, n_shingles, component_id (the least id that is reachable) and kept. Of a group without ids one row's text is kept."""
     got = group(docs, size, percent, id_col, text)
-    return got.select(true("node").alias(id_col), "n_shingles", true("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    alone = F.col("first").isNull()
+    is_first = F.when(F.col("id").isNotNull(), F.col("id") == F.col("first.id")).otherwise((F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b")))
+    return got.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id"), (alone | F.coalesce(is_first, F.lit(False))).alias("kept"))
 
 
 def keep(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row of each group, with the columns of ``docs``; rows without words all stay."""
-    got = group(docs, size, percent).where("node = component OR n_shingles = 0").select(F.col("node").alias("_node"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), made_id("doc_id", "text").alias("_node"))
-    both = packed.join(got, "_node")
-    one = both.where("NOT _empty").dropDuplicates(["_node"])
+    first = (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))
+    got = group(docs, size, percent).where(F.col("first").isNull() | first).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("first").isNull().alias("_empty")).distinct()
+    a, b = row_key("doc_id", "text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), a.alias("_a"), b.alias("_b"))
+    both = packed.join(got, ["_a", "_b"])
+    one = both.where("NOT _empty").dropDuplicates(["_a", "_b"])
     return one.unionByName(both.where("_empty")).select("_row.*")
 
 

@@ -52,11 +52,9 @@ def test_components_and_sizes_match_brute_force(spark):
         assert got == groups(rows, size)
 
 
-def test_large_components_met_in_blocks(spark, monkeypatch):
-    """Copies at different distances from a base, of which many are linked with nothing: all pairs meet in blocks, and links agree with brute force."""
-    monkeypatch.setattr(md, "LARGE", 4)
-    monkeypatch.setattr(md, "BLOCK", 700)
-    monkeypatch.setattr(md, "GUESTS", 5)
+def test_crowded_buckets(spark, monkeypatch):
+    """Copies at different distances from a base, of which many are linked with nothing: links agree with brute force."""
+    monkeypatch.setattr(md, "FEW", 3)
     rnd = random.Random(6)
     rows = []
     for base in ([f"w{rnd.randrange(300)}" for _ in range(60)] for _ in range(2)):
@@ -69,10 +67,36 @@ def test_large_components_met_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in md.label(docs, 2).collect()) == groups(rows, 2)
 
 
-def test_shared_counts():
-    rng = np.random.default_rng(3)
-    a, b = ([np.unique(rng.integers(0, 60_000, n).astype(np.uint64)) for n in sizes] for sizes in ((1, 500, 30_000), (30_000, 10, 700, 1)))
-    assert md.shared_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+def test_crowd_filter_loses_no_link(spark):
+    """Of one crowd, links with the pivot and candidates hold every link across components, and few other pairs."""
+    rnd = random.Random(9)
+    for percent in (60, 80, 95):
+        base = [rnd.getrandbits(63) for _ in range(120)]
+        sets = []
+        for k in range(160):
+            s = set(base) if (k + 1) % 8 else set(rnd.sample(base, 50)) | {rnd.getrandbits(63) for _ in range(30)}
+            for _ in range(rnd.choice((0, 3, 8, 10, 12, 14, 20, 30))):
+                s.discard(rnd.choice(base))
+                s.add(rnd.choice((rnd.getrandbits(63), rnd.randrange(40))))
+            sets.append(sorted(s))
+        table = spark.createDataFrame([(k, np.array(s, dtype=np.uint64).tobytes()) for k, s in enumerate(sets)], "node long, hashes binary")
+        there = spark.createDataFrame([(key, k, k, 160, 0) for k in range(160) for key in (1, 2)], "key long, node long, c long, many long, least long")
+        links, pairs = (sorted(map(tuple, x.collect())) for x in md.crowded(there, table, percent))
+        true = [(x, y) for x in range(160) for y in range(x + 1, 160) if 100 * len(set(sets[x]) & set(sets[y])) >= percent * len(set(sets[x]) | set(sets[y]))]
+        reach = {0} | {y for _, y in links}
+        assert all((min(p), max(p)) in true for p in links)
+        assert all((x, y) in pairs or x in reach and y in reach for x, y in true)
+        assert len(set(pairs) - set(true)) < 0.2 * 160 * 159 / 2
+
+
+def test_large_and_shared_ids(spark):
+    """Ids of any size are ids, and rows of one id with different texts are looked at each."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    big = 5_000_000_000_000_000_000
+    rows = [(big, one), (big + 1, one + " x"), (-7, two), (3, two + " y"), (9, one), (9, two), (None, "some text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in md.label(docs, 2).collect())
+    assert got == sorted([(str(big), 59, "9", False), (str(big + 1), 60, "9", False), ("-7", 59, "-7", True), ("3", 60, "-7", False), ("9", 59, "9", True), ("9", 59, "-7", False), ("None", 1, "None", True)])
 
 
 def test_kept_rows_nulls_repeats_and_empty_tables(spark):

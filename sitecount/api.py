@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import dataclasses
 import gzip
 import os
 import sys
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,8 +65,6 @@ def count_sites(spark: SparkSession, reads: str, reference: str, config: Config
     rows, contigs = open_reads(spark, reads)
     if config.region is not None and contigs.where(F.col("contig") == config.region[0]).isEmpty():
         raise RegionError(f"unknown contig {config.region[0]!r}")
-    if rows.rdd.getNumPartitions() > 1:  # places in a file of several parts exceed 32 bits
-        config = dataclasses.replace(config, wide_order=True)
     sets = {k: read_intervals(spark, v) for k, v in (("include", include), ("exclude", exclude)) if v}
     return site_table(rows, read_reference(spark, reference), config, **sets)
 
@@ -104,7 +101,7 @@ def run(spark: SparkSession, reads: str, reference: str, out: str | None = None,
     """Count a file and write the rows in contig, position and strand order. Returns a summary: rows, seconds and the output's path."""
     began = time.time()
     if region:
-        config = dataclasses.replace(config, region=parse_region(region))
+        config = replace(config, region=parse_region(region))
     if not Path(reference.removeprefix("file://")).exists() and "://" not in reference.removeprefix("file://"):
         raise InputError(f"{reference}: no such file")
     rows, head = formatted(count_sites(spark, reads, reference, config, include, exclude), output)

@@ -1,7 +1,7 @@
 """An alignment view over the events table: reads and a reference defined by whole-number arithmetic on ``event_id``.
 
-Each event is a read of 30 bases; two neighbouring ids are mates. Five CIGAR shapes, four contigs of 500 letters. The SQL twin is in
-``oracles.READS`` and ``oracles.ENTRIES``.
+Each event is a read of 30 bases; two neighbouring ids are mates that know each other's place. Five CIGAR shapes, four contigs of 500 letters, some
+unreadable bases. The SQL twin is in ``oracles.READS`` and ``oracles.entries``.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ def _ref_index(p: Column, cid: Column) -> Column:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("rid")
     ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("rid"))
+    # a few bytes become a read: spread them before they grow, as one file's part holds very many
+    ids = ids.repartition(spark.sparkContext.defaultParallelism)
     ids = ids.withColumn("frag", F.floor(r / 2)).withColumn("mate", r % 2)
     frag, mate = F.col("frag"), F.col("mate")
     single = frag % 7 == 0
@@ -43,8 +45,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     def letter(q: Column) -> Column:
         at = F.coalesce(*[F.when(r % 5 == k, f(q)) for k, f in shift.items()])
         index = (_ref_index(F.greatest(F.col("pos") + at, F.lit(0)), F.col("cid")) + F.when((r * 7 + q * 3) % 11 == 0, 1).otherwise(0)) % 4
-        return F.substring(F.lit("ACGT"), (index + 1).cast("int"), F.lit(1))
+        return F.when((r * 5 + q) % 97 == 0, "N").otherwise(F.substring(F.lit("ACGT"), (index + 1).cast("int"), F.lit(1)))
 
+    paired = ~single
+    there = ((frag * 37) % 400 + (1 - mate) * (frag % 41)).cast("int")
     places = F.sequence(F.lit(0), F.lit(READ - 1))
     none = F.lit(None)
     tag = lambda v: F.struct(F.lit("i").alias("t"), v.cast("long").alias("i"), none.cast("double").alias("f"), none.cast("string").alias("s"))
@@ -58,10 +62,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pos",
         ((r * 13) % 61).cast("int").alias("mapq"),
         shape.alias("cigar"),
-        F.lit(-1).alias("mtid"),
-        F.lit("").alias("mcontig"),
-        F.lit(-1).alias("mpos"),
-        F.lit(0).alias("tlen"),
+        F.when(paired, F.col("cid")).otherwise(-1).cast("int").alias("mtid"),
+        F.when(paired, F.concat(F.lit("c"), "cid")).otherwise("").alias("mcontig"),
+        F.when(paired, there).otherwise(-1).alias("mpos"),
+        F.when(paired, (1 - 2 * mate) * (frag % 41 + READ)).otherwise(0).cast("int").alias("tlen"),
         F.array_join(F.transform(places, letter), "").alias("seq"),
         F.transform(places, lambda q: ((r * 31 + q * 17) % 40 + 2).cast("int")).alias("qual"),
         tags.alias("tags"),

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bases import BASE, base_index, complement, positions, query_length, reverse_complement, strand
+from ..plans.pileup import best_by_name, depth, total, with_rivals
 from ..plans.reference import with_reference
 
+#: Bits of what is counted; ranks in file order of reads of one name stay below ``LAST``.
+CODE_BITS, LAST = 4, (1 << 32) - 1
+
 
 @dataclass(frozen=True)
 class Tiers:
@@ -64,25 +68,24 @@ def skip_counters(reads: DataFrame, config: Tiers = Tiers()) -> DataFrame:
 
 
 def observations(reads: DataFrame, config: Tiers) -> DataFrame:
-    """The best base, by quality, then file order, of each read name at each position: tid, contig, pos, s and base (in the molecule's letters).
+    """The best base, by quality, then file order, of each read name at each position: tid, contig, pos, s, base (in the molecule's letters) and n, how many.
     Trimmed bases and those of low quality don't compete."""
-    df = reads.withColumn("s", strand(F.col("flag"))).where(skip_reason(config).isNull()).withColumn("ok", F.lit(True))
+    df = with_rivals(reads.withColumn("s", strand(F.col("flag"))).where(skip_reason(config).isNull()).withColumn("ok", F.lit(True)))
     rows = positions(df).where(F.col("kind") == BASE)
     left, right = F.when(F.col("s") == 1, config.trim_end).otherwise(config.trim_start), F.when(F.col("s") == 1, config.trim_start).otherwise(config.trim_end)
     rows = rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right)).withColumn("bq", F.coalesce(F.get("qual", F.col("qpos")), F.lit(0))).where(F.col("bq") >= config.min_baseq)
-    code = base_index(F.col("seq"), F.col("qpos")) * 2 + F.col("s")
-    order = F.struct("bq", (-F.col("ord")).alias("early"), code.alias("code"))
-    best = rows.groupBy("tid", "contig", "rpos", "qname").agg(F.max(order).alias("p"))
-    code = F.col("p.code")
-    letter = F.substring(F.lit("ACGTN"), F.shiftright(code, 1) + 1, F.lit(1))
-    s = code.bitwiseAND(1)
-    return best.select("tid", "contig", F.col("rpos").cast("long").alias("pos"), s.alias("s"), F.when(s == 1, complement(letter)).otherwise(letter).alias("base"))
+    code = base_index(F.col("letter")) * 2 + F.col("s")
+    order = F.shiftleft(F.col("bq").cast("bigint"), 40).bitwiseOR(F.shiftleft(F.lit(LAST) - F.col("rank").cast("bigint"), CODE_BITS)).bitwiseOR(code.cast("bigint"))
+    best = best_by_name(rows, code, order, CODE_BITS)
+    letter = F.substring(F.lit("ACGTN"), F.shiftright("code", 1) + 1, F.lit(1))
+    s = F.col("code").bitwiseAND(1)
+    return best.select("tid", "contig", F.col("rpos").cast("long").alias("pos"), s.alias("s"), F.when(s == 1, complement(letter)).otherwise(letter).alias("base"), "n")
 
 
 def tiers(reads: DataFrame, reference: DataFrame, config: Tiers = Tiers()) -> DataFrame:
     """chrom, pos (from 1), strand, motif, u0..u2, m0..m2, o0..o2 and mutation_rate, at positions whose reference letter is ``ref_base``, on either strand.
     All that is counted is of tier 1: bases of low quality and badly converted reads are gone before."""
-    kind = lambda test: F.count(F.when(test, 1))
+    kind = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     base = F.col("base")
     zero = F.lit(0).cast("long")
     grouped = observations(reads, config).groupBy("tid", "contig", "pos", "s").agg(kind(base == config.ref_base).alias("u1"), kind(base == config.mut_base).alias("m1"), kind(~base.isin(config.ref_base, config.mut_base)).alias("o1"))
@@ -102,8 +105,6 @@ def headers(save_rest: bool = False) -> list[str]:
 
 def mutation_rate(sites: DataFrame, ref_base: str, mut_base: str) -> DataFrame:
     """u, m and o in the strand's letters at its ``ref_base`` positions, and m / (u + m), null where both are 0."""
-    from ..plans.pileup import depth, total
-
     def local(letter: str) -> Column:
         other = {"A": "T", "C": "G", "G": "C", "T": "A"}[letter]
         return F.when(F.col("s") == 1, total(other)).otherwise(total(letter))

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.bases import BASE, base_index, complement, positions, strand
+from ..plans.bases import BASE, complement, positions, strand
 from ..plans.reference import with_reference
 
 
-def _letters(b: Column) -> Column:
-    return F.substring(F.lit("ACGTN"), b + 1, F.lit(1))
-
-
 def _aligned(reads: DataFrame) -> DataFrame:
     rows = positions(reads.withColumn("s", strand(F.col("flag"))).withColumn("ok", F.lit(True))).where(F.col("kind") == BASE)
-    letter = _letters(base_index(F.col("seq"), F.col("qpos")))
+    letter = F.when(F.col("letter").isin("A", "C", "G", "T"), F.col("letter")).otherwise("N")
     return rows.withColumn("letter", F.when(F.col("s") == 1, complement(letter)).otherwise(letter))
 
 

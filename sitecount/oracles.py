@@ -8,7 +8,8 @@ reads AS (SELECT *, 'c' || cid AS contig, 65 AS u FROM (
     CASE WHEN (event_id // 2) % 7 = 0 THEN 0 WHEN event_id % 2 = 0 THEN 65 ELSE 129 END + 16 * ((event_id // 2 + event_id % 2) % 2)
       + CASE WHEN event_id % 23 = 0 THEN 1024 ELSE 0 END + CASE WHEN event_id % 29 = 0 THEN 512 ELSE 0 END + CASE WHEN event_id % 31 = 0 THEN 256 ELSE 0 END AS flag,
     CASE WHEN (event_id // 2) % 7 = 0 THEN 'q' || (event_id // 2) || '_' || (event_id % 2) ELSE 'q' || (event_id // 2) END AS qname,
-    CASE WHEN event_id % 10 = 9 THEN NULL ELSE event_id % 4 END AS ns, event_id % 3 AS yf, event_id % 6 AS zf, event_id % 5 AS shape
+    CASE WHEN event_id % 10 = 9 THEN NULL ELSE event_id % 4 END AS ns, event_id % 3 AS yf, event_id % 6 AS zf, event_id % 5 AS shape,
+    (event_id // 2) % 7 <> 0 AS paired, ((event_id // 2) * 37) % 400 + (1 - event_id % 2) * ((event_id // 2) % 41) AS there, (1 - 2 * (event_id % 2)) * ((event_id // 2) % 41 + 30) AS apart
   FROM events)),
 ops(shape, kind, q0, r0, len) AS (VALUES (0,0,0,0,30),(1,0,5,0,25),(2,0,0,0,10),(2,1,NULL,10,2),(2,0,10,12,20),(3,0,0,0,10),(3,0,13,10,17),(4,0,0,0,12),(4,2,NULL,12,4),(4,0,12,16,18))"""
 
@@ -30,7 +31,7 @@ def entries(excluded: int = 1796, required: int = 0, strand: str = "both", where
     return f"""{READS},
 r AS (SELECT *, {_STRAND} AS s, (flag & {required}) = {required} AND (flag & {excluded}) = 0 AS ok FROM reads),
 x AS (SELECT r.*, CASE WHEN ok THEN o.kind ELSE 3 END AS kind, o.q0 + k AS qpos, pos + o.r0 + k AS rpos FROM r JOIN ops AS o ON r.shape = o.shape, (SELECT unnest(range(30)) AS k) WHERE k < o.len AND {side}),
-e AS (SELECT *, ({ref_index("rpos")} + CASE WHEN (rid * 7 + qpos * 3) % 11 = 0 THEN 1 ELSE 0 END) % 4 AS b, (rid * 31 + qpos * 17) % 40 + 2 AS bq,
+e AS (SELECT *, CASE WHEN (rid * 5 + qpos) % 97 = 0 THEN 4 ELSE ({ref_index("rpos")} + CASE WHEN (rid * 7 + qpos * 3) % 11 = 0 THEN 1 ELSE 0 END) % 4 END AS b, (rid * 31 + qpos * 17) % 40 + 2 AS bq,
         {ref_base("rpos")} AS ref, CASE WHEN (flag & 16) <> 0 THEN 30 - qpos ELSE qpos END AS dist5, CASE WHEN (flag & 16) <> 0 THEN qpos ELSE 30 - qpos END AS dist3
       FROM x WHERE rpos < 500 AND ({where}) {capped})"""
 

@@ -45,22 +45,24 @@ def stretches(cigar: Column) -> Column:
 
 
 def positions(reads: DataFrame) -> DataFrame:
-    """A row for each reference position of each read, with ``kind``, ``rpos``, ``qpos`` (null without a base) and the read's columns.
+    """A row for each reference position of each read, with ``kind``, ``rpos``, ``qpos`` (null without a base), ``letter`` (upper case, empty without a base) and the read's columns.
 
     ``reads`` has ``ok``, whether it passes the flag gates; all positions of one that doesn't are of kind FAIL. Bases past the end of the sequence are left out.
+    Each stretch of the sequence is cut into letters once, so the work is linear in a read's length.
     """
     each = reads.withColumn("qlen", query_length(F.col("seq"))).select("*", F.inline(stretches(F.col("cigar"))).alias("_op", "_q", "_r", "_len"))
     both = F.col("_op").isin(*CONSUMES_BOTH)
     kind = F.when(~F.col("ok"), FAIL).when(both, BASE).when(F.col("_op") == DELETION, DEL).otherwise(REF_SKIP)
-    many = F.when(F.col("ok") & both, F.least(F.col("_len"), F.col("qlen") - F.col("_q"))).otherwise(F.col("_len"))
-    each = each.withColumn("kind", kind).withColumn("_n", many).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return each.withColumn("rpos", F.col("pos") + F.col("_r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_q") + F.col("_k"))).drop("_op", "_q", "_r", "_len", "_n", "_k")
+    each = each.withColumn("kind", kind).where((F.col("kind") != BASE) | (F.col("qlen") > F.col("_q")))
+    own = F.split(F.upper(F.substring(F.col("seq"), F.col("_q") + 1, F.col("_len"))), "")
+    each = each.withColumn("_letters", F.when(F.col("kind") == BASE, own).otherwise(F.array_repeat(F.lit(""), F.col("_len"))))
+    each = each.select("*", F.posexplode("_letters").alias("_k", "letter"))
+    return each.withColumn("rpos", F.col("pos") + F.col("_r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_q") + F.col("_k"))).drop("_op", "_q", "_r", "_len", "_letters", "_k")
 
 
-def base_index(seq: Column, qpos: Column) -> Column:
-    """0 to 3 for ACGT as stored, 4 for anything else."""
-    at = F.call_function("instr", F.lit("ACGT"), F.upper(F.substring(seq, qpos + 1, F.lit(1))))
-    return F.when(at > 0, at - 1).otherwise(4).cast("int")
+def base_index(letter: Column) -> Column:
+    """0 to 3 for ACGT, 4 for anything else."""
+    return F.when(letter == "A", 0).when(letter == "C", 1).when(letter == "G", 2).when(letter == "T", 3).otherwise(4)
 
 
 def complement(letters: Column) -> Column:
@@ -119,7 +121,7 @@ def read_scope(bases: bool = True) -> dict[str, tuple[str, Column]]:
         "library": ("str", F.coalesce(F.try_element_at("tags", F.lit("LB"))["s"], F.lit(""))),
     }
     if bases:
-        letter = F.upper(F.substring(c("seq"), c("qpos") + 1, F.lit(1)))
+        letter = c("letter")
         reverse = c("flag").bitwiseAND(16) != 0
         far = c("qlen") - c("qpos")
         one |= {

@@ -1,9 +1,10 @@
 """Counting: gates, filter and router, mate overlap, aggregation by site and strand, and the site filter.
 
-One generator unnests the reads. The first aggregate takes, for each position and read name, the best base as the largest of packed whole numbers
-(mapping quality, first read, base quality, earliest read; below them what is counted), so that it stays a hash aggregate with a partial
-step before the shuffle. Events (deletions, skips, rejected reads) have keys of their own and pass through it. The second counts
-by position and code, the third lays the codes out as columns.
+Reads of one name meet once, as reads: a window over (contig, name) gives each its rank in file order and the stretch where another one may
+cover the same positions. One generator unnests the reads. The first aggregate counts what lies outside of that stretch by position
+and code, combined before the shuffle; only inside of it are bases keyed by name, too, and the best one is the largest of packed whole numbers
+(mapping quality, first read, base quality, earliest read; below them what is counted), so that all stays one hash aggregate. Events (deletions,
+skips, rejected reads) never compete. The second counts by position and code, the third lays the codes out as columns.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ CODE_BITS = 7
 
 @dataclass(frozen=True)
 class Config:
-    """What to count. ``strand`` is both, forward or reverse; ``region`` is (contig, start, end) from 0; ``dedup`` turns mate overlap off;
-    ``wide_order`` is for reads whose ``ord`` exceeds 32 bits: their best base is the largest of a struct."""
+    """What to count. ``strand`` is both, forward or reverse; ``region`` is (contig, start, end) from 0; ``dedup`` turns mate overlap off."""
 
     required: int = 0
     excluded: int = DEFAULT_EXCLUDED
@@ -38,7 +38,6 @@ class Config:
     max_depth: int = 0
     dedup: bool = True
     motif_pad: int = 0
-    wide_order: bool = False
 
 
 def gated(reads: DataFrame, config: Config) -> DataFrame:
@@ -97,36 +96,56 @@ def _capped(rows: DataFrame, config: Config) -> DataFrame:
     return rows.withColumn("_place", place).where(F.col("_place") <= config.max_depth).drop("_place")
 
 
-def _code(base: Column) -> Column:
+def with_rivals(reads: DataFrame) -> DataFrame:
+    """Reads with ``rank``, their place in file order among those of their name and contig, and the stretch ``[rival_from, rival_to)`` outside of which no other of these has a base.
+
+    Two reads tell each other's stretch; of three and more, each takes its own as a whole.
+    """
+    name = Window.partitionBy("tid", "qname", "ok").orderBy("ord")
+    every = name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = reads.withColumn("_end", F.col("pos") + reference_length(F.col("cigar")))
+    out = out.withColumns({"rank": F.row_number().over(name), "_n": F.count(F.lit(1)).over(every), "_pos": F.sum("pos").over(every), "_ends": F.sum("_end").over(every)})
+    low = F.when(F.col("_n") == 2, F.col("_pos") - F.col("pos")).otherwise(F.col("pos"))
+    high = F.when(F.col("_n") == 1, F.col("pos")).when(F.col("_n") == 2, F.col("_ends") - F.col("_end")).otherwise(F.col("_end"))
+    return out.withColumns({"rival_from": low.cast("int"), "rival_to": high.cast("int")}).drop("_end", "_n", "_pos", "_ends")
+
+
+def _code() -> Column:
     """What is counted: group, base and strand, or an event and its strand."""
-    return F.when(F.col("kind") == BASE, F.col("slot") * 16 + base * 2 + F.col("s")).otherwise(64 + (F.col("kind") - 1) * 2 + F.col("s"))
+    return F.when(F.col("kind") == BASE, F.col("slot") * 16 + base_index(F.col("letter")) * 2 + F.col("s")).otherwise(64 + (F.col("kind") - 1) * 2 + F.col("s"))
 
 
-def packed(base: Column) -> Column:
+def packed() -> Column:
     """The number whose maximum is the best base of a read name at a position; its low bits say what is counted."""
     long = lambda c: c.cast("bigint")
     first = F.when(F.col("flag").bitwiseAND(64) != 0, 1).otherwise(0)
-    best = F.shiftleft(long(F.col("mapq")), 49).bitwiseOR(F.shiftleft(long(first), 48)).bitwiseOR(F.shiftleft(long(base_quality() + 1), 39)).bitwiseOR(F.shiftleft(F.lit(_ORD) - long(F.col("ord")), CODE_BITS))
-    return F.when(F.col("kind") == BASE, best).otherwise(F.lit(0).cast("bigint")).bitwiseOR(long(_code(base)))
-
-
-def winners(rows: DataFrame, dedup: bool = True, wide: bool = False) -> DataFrame:
-    """(tid, contig, rpos, code), one for each read name at a position, and for each event."""
-    base = base_index(F.col("seq"), F.coalesce("qpos", F.lit(0)))
-    name = F.when(F.col("kind") == BASE, F.col("qname")).otherwise(F.concat_ws("\0", F.lit(""), "kind", "ord"))
-    if wide and dedup:
-        best = F.struct("mapq", F.col("flag").bitwiseAND(64).alias("first"), base_quality().alias("bq"), (-F.col("ord")).alias("early"), _code(base).cast("int").alias("code"))
-        return rows.groupBy("tid", "contig", "rpos", name.alias("name")).agg(F.max(best).alias("best")).select("tid", "contig", "rpos", "best.code")
-    keyed = rows.select("tid", "contig", "rpos", name.alias("name"), packed(base).alias("p"))
+    best = F.shiftleft(long(F.col("mapq")), 49).bitwiseOR(F.shiftleft(long(first), 48)).bitwiseOR(F.shiftleft(long(base_quality() + 1), 39))
+    return best.bitwiseOR(F.shiftleft(F.lit(_ORD) - long(F.col("rank")), CODE_BITS)).bitwiseOR(long(_code()))
+
+
+def best_by_name(rows: DataFrame, code: Column, best: Column, bits: int) -> DataFrame:
+    """(tid, contig, rpos, code, n): how often a code wins at a position. Bases of one name compete by ``best``, a whole number whose low ``bits`` are the code; events don't.
+    Rows of a position and code aren't summed up yet."""
+    place = ["tid", "contig", "rpos"]
+    rival = (F.col("kind") == BASE) & (F.col("rpos") >= F.col("rival_from")) & (F.col("rpos") < F.col("rival_to"))
+    keyed = rows.select(*place, F.when(rival, F.col("qname")).alias("name"), F.when(~rival, code).alias("code"), F.when(rival, best).alias("p"))
+    won = keyed.groupBy(*place, "name", "code").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
+    own = F.col("p").bitwiseAND((1 << bits) - 1).cast("int")
+    return won.select(*place, F.coalesce("code", own).alias("code"), F.when(F.col("p").isNull(), F.col("n")).otherwise(1).cast("long").alias("n"))
+
+
+def winners(rows: DataFrame, dedup: bool = True) -> DataFrame:
+    """(tid, contig, rpos, code, n) of routed rows, whose reads have rivals if ``dedup`` is set."""
     if dedup:
-        keyed = keyed.groupBy("tid", "contig", "rpos", "name").agg(F.max("p").alias("p"))
-    return keyed.select("tid", "contig", "rpos", F.col("p").bitwiseAND((1 << CODE_BITS) - 1).cast("int").alias("code"))
+        return best_by_name(rows, _code(), packed(), CODE_BITS)
+    return rows.groupBy("tid", "contig", "rpos", _code().alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sites(reads: DataFrame, reference: DataFrame | None, config: Config) -> DataFrame:
     """(tid, contig, pos, s, 20 counts by base and group, del, ref_skip, fail), a row for each position and strand with anything to count."""
-    rows = routed(gated(reads, config), reference, config)
-    counted = winners(rows, config.dedup, config.wide_order).groupBy("tid", "contig", "rpos", "code").agg(F.count(F.lit(1)).alias("n"))
+    own = gated(reads, config)
+    rows = routed(with_rivals(own) if config.dedup else own, reference, config)
+    counted = winners(rows, config.dedup).groupBy("tid", "contig", "rpos", "code").agg(F.sum("n").alias("n"))
     is_base, kind = F.col("code") < 64, F.shiftright(F.col("code"), 1)
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     columns = [total(is_base & (F.col("code").bitwiseAND(62) == g * 16 + b * 2)).alias(f"{BASES[b].lower()}{g}") for b in range(5) for g in range(SLOTS)]

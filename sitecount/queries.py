@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import derived, oracles
 from .operators import legacy, tags
 from .plans import emit
-from .plans.pileup import Config, gated, routed, site_table, winners
+from .plans.pileup import Config, gated, routed, site_table, winners, with_rivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ def counted(name: str, config: Config, form: Callable = emit.composition, oracle
 counted("composition", Config())
 counted("composition_strandless", Config(), emit.strandless, oracles.strandless)
 counted("composition_indels", Config(), events=True)
-counted("composition_zero_depth", Config(site_filter="depth == 0 and fail + del + ref_skip > 0"), events=True, site_filter="depth = 0 AND fail + del + ref_skip > 0")
+counted("composition_zero_depth", Config(read_filter="mapq == 60", site_filter="depth == 0 and fail + del + ref_skip > 0"), events=True, slot="CASE WHEN mapq = 60 THEN 0 END", site_filter="depth = 0 AND fail + del + ref_skip > 0")
 counted("strandless_indels", Config(), emit.strandless, oracles.strandless, events=True)
 counted("no_dedup_depth", Config(dedup=False), dedup=False)
 counted("flag_required", Config(required=65), required=65)
@@ -67,7 +67,11 @@ for _name, _expression, _sql in (
      "list_value(0, 5, 0, 0, 0)[shape + 1] + 2 * list_value(0, 0, 1, 1, 0)[shape + 1] + list_value(1, 2, 3, 3, 3)[shape + 1] + 2 * list_value(30, 25, 32, 27, 34)[shape + 1] + 1 - 1 + list_value(1, 1, 1, 1, 1)[shape + 1] - list_value(0, 5, 0, 0, 0)[shape + 1] > 64"),
     ("expr_qual_stats", "smin(qual) <= 3 and smax(qual) >= 40 and slen(seq) == 30 and avg(qual) > 20.5",
      "list_min(list_transform(range(30), lambda q: (rid * 31 + q * 17) % 40 + 2)) <= 3 AND list_max(list_transform(range(30), lambda q: (rid * 31 + q * 17) % 40 + 2)) >= 40 AND list_sum(list_transform(range(30), lambda q: (rid * 31 + q * 17) % 40 + 2)) / 30.0 > 20.5"),
-    ("expr_seq_nprop", "n5(10) == 0 and n3(5) < 0.1 and #seq == length", "TRUE"),
+    ("expr_seq_nprop", "n5(20) == 0 and n3(12) * 30 < 1 and #seq == length", "list_sum(list_transform(list_concat(range(20), range(18, 30)), lambda q: CASE WHEN (rid * 5 + q) % 97 = 0 THEN 1 ELSE 0 END)) = 0"),
+    ("expr_mate", "mtid == tid and mrname == rname and mpos > pos and tlen >= 40 or is_paired == 0 and mtid < 0", "(paired AND there > pos AND apart >= 40) OR NOT paired"),
+    ("expr_sides", "is_reverse + r1 * 2 + r2 * 4 + is_paired >= 4 and library == ''", "CASE WHEN (flag & 16) <> 0 THEN 1 ELSE 0 END + CASE WHEN paired THEN CASE WHEN mate = 0 THEN 3 ELSE 5 END ELSE 0 END >= 4"),
+    ("expr_logs", "log(mapq + 1) > 2 and log(bq, 2) < 5 and pow(bq, 2) > 100", "ln(mapq + 1) > 2 AND ln(bq) / ln(2) < 5 AND bq * bq > 100"),
+    ("expr_unreadable", "base == 'N' or bq > 38", "b = 4 OR bq > 38"),
     ("expr_arith", "(mapq * 3 - bq) // 4 % 5 >= 2 and bq / 2 > 7.25 and -mapq % 7 ~= 0", "(((floor((mapq * 3 - bq) / 4.0)::BIGINT % 5) + 5) % 5) >= 2 AND bq / 2.0 > 7.25 AND (mapq % 7) <> 0"),
     ("expr_math", "sqrt(mapq) > 4 and round(bq / 4) >= 5 and int(mapq / 7) ~= 3 and math.max(bq, mapq) >= 30 and exp(0) == 1", "sqrt(mapq) > 4 AND floor(bq / 4.0 + 0.5) >= 5 AND trunc(mapq / 7.0) <> 3 AND greatest(bq, mapq) >= 30"),
     ("expr_base_strand", "base == 'A' or base == 'G'", "CASE WHEN s = 1 THEN b IN (3, 1) ELSE b IN (0, 2) END"),
@@ -110,8 +114,9 @@ templated("template_float_text", "{pos}\\t{depth / 3}\\t{sqrt(depth)}\\t{2 ^ dep
 
 
 def _dedup_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routed(gated(derived.reads(spark, sf_dir), Config()), None, Config())
-    return winners(rows).where("code < 64").groupBy("contig", F.col("rpos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("winners"), F.sum(F.col("code").bitwiseAND(1).cast("long")).alias("minus"), F.sum(F.shiftright("code", 1).cast("long")).alias("base_sum"))
+    rows = routed(with_rivals(gated(derived.reads(spark, sf_dir), Config())), None, Config())
+    n = F.col("n")
+    return winners(rows).where("code < 64").groupBy("contig", F.col("rpos").cast("long").alias("pos")).agg(F.sum(n).alias("winners"), F.sum(F.col("code").bitwiseAND(1) * n).alias("minus"), F.sum(F.shiftright("code", 1) * n).alias("base_sum"))
 
 
 register("dedup_winner", _dedup_winner, f"""WITH {oracles.entries()}, w AS (SELECT * FROM e WHERE kind = 0 QUALIFY row_number() OVER (PARTITION BY cid, rpos, qname ORDER BY mapq DESC, (flag & 64) DESC, bq DESC, rid) = 1)

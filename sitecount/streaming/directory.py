@@ -17,5 +17,5 @@ def stream_reads(spark: SparkSession, path: str) -> DataFrame:
 def running_counts(reads: DataFrame, config: Config = Config()) -> DataFrame:
     """Counts of bases by position and strand so far, for the complete or update mode. Mates aren't matched across files, so they count twice where they overlap."""
     rows = positions(gated(reads, config)).where(F.col("kind") == BASE)
-    rows = rows.withColumn("b", base_index(F.col("seq"), F.col("qpos")))
+    rows = rows.withColumn("b", base_index(F.col("letter")))
     return rows.groupBy("tid", "contig", F.col("rpos").alias("pos"), "s").agg(*[F.count(F.when(F.col("b") == k, 1)).alias(x.lower()) for k, x in enumerate(BASES)])

@@ -61,7 +61,7 @@ def test_overlap_counts_once_and_formats_agree(spark, files):
     assert all(depth[p, "+"] == 1 for p in range(6, 46)) and min(p for p, _ in depth) == 6 and max(p for p, _ in depth) == 80
     assert all(depth[p, "-"] == 1 for p in range(34, 59))
     reads, reference = open_reads(spark, files["sam"])[0].withColumn("ord", F.col("ord") + (1 << 40)), read_reference(spark, files["fa"])
-    assert rows(emit.composition(site_table(reads, reference, Config(wide_order=True)))) == got[0]
+    assert rows(emit.composition(site_table(reads, reference, Config()))) == got[0]
     for side, sign in (("forward", "+"), ("reverse", "-")):
         assert {r[2] for r in rows(emit.composition(count_sites(spark, files["sam"], files["fa"], Config(strand=side))))} == {sign}
 

@@ -38,11 +38,11 @@ class Output:
     target_base: str | None = None
 
 
-def open_reads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Reads and contigs of a BAM or SAM file, told apart by the first bytes."""
+def open_reads(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reads and contigs of a BAM or SAM file, told apart by the first bytes, elsewhere by the name. A region may leave out reads that don't touch it."""
     local = path.removeprefix("file://")
-    if "://" in local:  # only Spark reads it: SAM text
-        return read_sam(spark, path)
+    if "://" in local:
+        return read_bam(spark, path, region=region) if path.endswith(".bam") else read_sam(spark, path)
     if not os.path.exists(local):
         raise InputError(f"{path}: no such file")
     with open(local, "rb") as f:
@@ -52,7 +52,7 @@ def open_reads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if head[:2] == b"\x1f\x8b":
         with gzip.open(local) as f:
             if f.read(4) == b"BAM\1":
-                return read_bam(spark, local)
+                return read_bam(spark, local, region=region)
     return read_sam(spark, path)
 
 
@@ -62,7 +62,7 @@ def count_sites(spark: SparkSession, reads: str, reference: str, config: Config
         parse(config.read_filter)
     if config.site_filter:
         parse(config.site_filter)
-    rows, contigs = open_reads(spark, reads)
+    rows, contigs = open_reads(spark, reads, config.region)
     if config.region is not None and contigs.where(F.col("contig") == config.region[0]).isEmpty():
         raise RegionError(f"unknown contig {config.region[0]!r}")
     sets = {k: read_intervals(spark, v) for k, v in (("include", include), ("exclude", exclude)) if v}

@@ -220,7 +220,7 @@ class Compiler:
             value = self.tags(key) if len(key) == 2 else None
             if short == "exists":
                 return Value.of("bool", never() if value is None else F.coalesce(value.isNotNull(), never()))
-            return Value.of("nil") if value is None else Value.of("tag", value)
+            return Value.of("nil") if value is None else Value.of("tag", F.when(value["t"] != "B", value))  # arrays are there, but have no value
         if short in ("re_match", "re_find"):
             if len(args) != 2 or args[1][0] != "str":
                 raise UnsupportedExpression(f"{short} needs a quoted pattern")

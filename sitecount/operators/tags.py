@@ -69,7 +69,7 @@ def tag_stats(reads: DataFrame) -> DataFrame:
 
 def sam_lines(reads: DataFrame) -> DataFrame:
     """Reads as SAM lines in contig and position order, without a header."""
-    text = lambda k, v: F.concat(k, F.when(v["t"] == "i", F.concat(F.lit(":i:"), v["i"].cast("string"))).when(v["t"] == "f", F.concat(F.lit(":f:"), v["f"].cast("string"))).otherwise(F.concat(F.lit(":Z:"), v["s"])))
+    text = lambda k, v: F.concat(k, F.when(v["t"] == "i", F.concat(F.lit(":i:"), v["i"].cast("string"))).when(v["t"] == "f", F.concat(F.lit(":f:"), v["f"].cast("string"))).otherwise(F.concat(F.when(v["t"] == "B", ":B:").otherwise(":Z:"), v["s"])))
     tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: text(e["key"], e["value"]))
     cigar = F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), F.substring(F.lit("MIDNSHP=X"), x["op"] + 1, F.lit(1)))), "")
     qual = F.array_join(F.transform("qual", lambda q: F.call_function("chr", q + 33)), "")

@@ -10,15 +10,18 @@ CHUNK, MARGIN = 14, 256
 
 
 def chunked(contigs: DataFrame) -> DataFrame:
-    """(contig, length, chunk, letters) of sequences (contig, seq): upper case, ``MARGIN`` letters more at both ends, N outside."""
-    length = F.length("seq")
-    own = contigs.select("contig", length.alias("length"), F.upper("seq").alias("seq"))
-    own = own.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.shiftright(F.col("length") - 1, CHUNK), F.lit(0)))))
-    start = F.shiftleft("chunk", CHUNK) - MARGIN
-    low = F.greatest(start, F.lit(0))
-    left = F.repeat(F.lit("N"), F.greatest(-start, F.lit(0)))
-    body = F.substring(F.col("seq"), low + 1, start + (1 << CHUNK) + 2 * MARGIN - low)
-    return own.select("contig", "length", "chunk", F.rpad(F.concat(left, body), (1 << CHUNK) + 2 * MARGIN, "N").alias("letters"))
+    """(contig, length, chunk, letters) of sequences (contig, seq): upper case, ``MARGIN`` letters more at both ends, N outside.
+
+    A sequence is cut once, in one pass; a chunk takes its margins from its neighbours.
+    """
+    size = 1 << CHUNK
+    own = contigs.select("contig", F.length("seq").alias("length"), F.upper("seq").alias("seq"))
+    pieces = F.when(F.col("length") > 0, F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).otherwise(F.array(F.lit("")))
+    own = own.select("contig", "length", pieces.alias("_all"))
+    near = lambda i: F.coalesce(F.get("_all", i), F.lit(""))
+    before, after = (lambda i: F.right(near(i - 1), F.lit(MARGIN))), (lambda i: F.left(near(i + 1), F.lit(MARGIN)))
+    with_margins = F.transform("_all", lambda x, i: F.concat(F.lpad(before(i), MARGIN, "N"), F.rpad(F.concat(x, after(i)), size + MARGIN, "N")))
+    return own.select("contig", "length", F.posexplode(with_margins).alias("chunk", "letters"))
 
 
 def letters_at(pos: Column, before: int = 0, after: int = 0) -> Column:

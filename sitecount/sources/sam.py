@@ -22,13 +22,13 @@ def header_lines(lines: DataFrame) -> DataFrame:
 
 
 def _tag(field: Column) -> Column:
-    """XX:T:value as an entry of a map; the letter is i, f or s, null for arrays."""
+    """XX:T:value as an entry of a map; the letter is i, f, s, or B for arrays, which keep their text."""
     kind, value = F.substring(field, 4, 1), F.substring(field, F.lit(6), F.length(field))
-    letter = F.when(kind == "i", "i").when(kind == "f", "f").when(kind.isin("Z", "H", "A"), F.when(kind == "A", "i").otherwise("s"))
+    letter = F.when(kind == "i", "i").when(kind == "f", "f").when(kind.isin("Z", "H", "A"), F.when(kind == "A", "i").otherwise("s")).when(kind == "B", "B")
     number = F.when(kind == "A", F.ascii(value).cast("long")).when(kind == "i", value.try_cast("long"))
     return F.struct(
         F.substring(field, 1, 2).alias("k"),
-        F.struct(letter.alias("t"), number.alias("i"), F.when(kind == "f", value.try_cast("double")).alias("f"), F.when(kind.isin("Z", "H"), value).alias("s")).alias("v"),
+        F.struct(letter.alias("t"), number.alias("i"), F.when(kind == "f", value.try_cast("double")).alias("f"), F.when(kind.isin("Z", "H", "B"), value).alias("s")).alias("v"),
     )
 
 
@@ -40,7 +40,9 @@ def parse(lines: DataFrame, contigs: DataFrame) -> DataFrame:
     code = lambda x: (F.call_function("instr", F.lit(CIGAR_OPS), F.right(x, F.lit(1))) - 1).cast("int")
     cigar = F.transform(ops, lambda x: F.struct(code(x).alias("op"), F.regexp_extract(x, "^[0-9]+", 0).cast("int").alias("len")))
     qual = F.when(part(10) == "*", F.lit(None).cast("array<int>")).otherwise(F.transform(F.split(part(10), ""), lambda x: F.ascii(x) - 33))
-    tags = F.transform(F.filter(F.slice(f, 12, 10_000), lambda x: F.substring(x, 4, 1).isin("A", "i", "f", "Z", "H")), _tag)
+    given = F.filter(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.substring(x, 4, 1).isin("A", "i", "f", "Z", "H", "B"))
+    names = F.transform(given, lambda x: F.left(x, F.lit(2)))
+    tags = F.transform(F.filter(given, lambda x, i: F.array_position(names, F.left(x, F.lit(2))) == i + 1), _tag)  # the first of a name
     rows = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11)).select(
         F.col("place").alias("ord"),
         part(0).alias("qname"),
@@ -54,7 +56,7 @@ def parse(lines: DataFrame, contigs: DataFrame) -> DataFrame:
         part(8).try_cast("int").alias("tlen"),
         part(9).alias("seq"),
         qual.alias("qual"),
-        F.map_from_entries(F.array_distinct(tags)).alias("tags"),
+        F.map_from_entries(tags).alias("tags"),
     )
     known = F.broadcast(contigs.select("tid", "contig"))  # as many rows as the header has contigs
     mates = F.broadcast(contigs.select(F.col("tid").alias("mtid"), F.col("contig").alias("mcontig")))

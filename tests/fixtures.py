@@ -27,9 +27,12 @@ def _block(data):
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def bam(path, contigs, reads, block=97):
+def bam(path, contigs, reads, block=97, index=False):
+    """With ``index``, the index beside it, for reads in order."""
     import re
 
+    places, spans = [], []
+
     names = [n for n, _ in contigs]
     data = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs))
     for n, length in contigs:
@@ -43,8 +46,21 @@ def bam(path, contigs, reads, block=97):
         for k, v in tags.items():
             body += k.encode() + b"C" + struct.pack("<B", v)
         body += b"RGZgroup\0XFf" + struct.pack("<f", 1.5) + b"XBBc" + struct.pack("<i", 2) + b"\1\2"
+        places.append(len(data))
+        spans.append((names.index(contig), pos, pos + sum(n for n, o in ops if o in (0, 2, 3, 7, 8))))
         data += struct.pack("<i", len(body)) + body
-    path.write_bytes(b"".join(_block(data[k : k + block]) for k in range(0, len(data), block)) + _block(b""))
+    blocks = [_block(data[k : k + block]) for k in range(0, len(data), block)]
+    path.write_bytes(b"".join(blocks) + _block(b""))
+    if index:
+        offsets = [sum(map(len, blocks[:k])) for k in range(len(blocks) + 1)]
+        virtual = [offsets[k // block] << 16 | k % block for k in [*places, len(data)]]
+        out = b"BAI\1" + struct.pack("<i", len(contigs))
+        for t, (_, length) in enumerate(contigs):
+            own = [k for k, span in enumerate(spans) if span[0] == t]
+            out += struct.pack("<iIi", 1, 0, 1) + struct.pack("<QQ", virtual[own[0]], virtual[own[-1] + 1]) if own else struct.pack("<i", 0)
+            windows = [min((virtual[k] for k in own if spans[k][1] >> 14 <= w <= spans[k][2] - 1 >> 14), default=0) for w in range((length >> 14) + 1)]
+            out += struct.pack("<i", len(windows)) + struct.pack(f"<{len(windows)}Q", *windows)
+        (path.parent / (path.name + ".bai")).write_bytes(out)
     return str(path)
 
 

@@ -75,6 +75,30 @@ def test_bam_records_and_partitions(spark, files):
     assert [r.qname for r in one.where("contig = 'chr1' AND pos >= 50 AND pos < 61").orderBy("ord").collect()] == ["f2", "f4"]
 
 
+def test_bam_ranges_start_at_any_byte(spark, tmp_path):
+    """Whatever the ranges, each record is read once, at its place; an index narrows a region down."""
+    import random
+
+    rnd = random.Random(5)
+    reads = sorted((read(f"r{k}", 0, rnd.randrange(60_000), "".join(rnd.choice("ACGTN") for _ in range(rnd.randrange(1, 400))), contig=rnd.choice(("a", "b")), tags={"NS": k % 7}) for k in range(300)), key=lambda r: (r[2], r[3]))
+    path = bam(tmp_path / "x.bam", [("a", 70_000), ("none", 10), ("b", 70_000)], reads, block=511, index=True)
+    whole = [tuple(r) for r in read_bam(spark, path)[0].orderBy("ord").select("ord", "qname", "contig", "pos", "seq", "tags").collect()]
+    assert [(r[1], r[2], r[3], r[4]) for r in whole] == [(r[0], r[2], r[3], r[6]) for r in reads] and whole[0][5]["XB"].s == "c,1,2"
+    for step in (37, 1_000, 9_999):
+        assert [tuple(r) for r in read_bam(spark, path, step)[0].orderBy("ord").select("ord", "qname", "contig", "pos", "seq", "tags").collect()] == whole
+    for region in (("a", 0, 500), ("b", 30_000, 45_000), ("b", 59_000, 70_000), ("none", 0, 5)):
+        got = read_bam(spark, path, 2_000, region)[0].collect()
+        touching = {r[0] for r in reads if r[2] == region[0] and r[3] < region[2] and r[3] + len(r[6]) > region[1]}
+        assert touching <= {r.qname for r in got} <= {r[0] for r in reads if r[2] == region[0]} and len(got) < 250
+        assert (region[1] < 20_000) or len(got) < 120
+
+
+def test_array_tags_are_there_without_a_value(spark, files):
+    for expression, depth in (("exists('XB')", 1), ("tag('XB') == nil", 1), ("tag('XB') and 1 or 0", 1), ("not exists('XB')", 0)):
+        got = count_sites(spark, files["bam"], files["fa"], Config(read_filter=expression)).where("pos = 6").collect()
+        assert sum(r.a0 + r.a1 for r in got) == depth, expression
+
+
 def test_router_slots_and_motifs(spark, files):
     sites = count_sites(spark, files["t_bam"], files["t_fa"], Config(read_filter=ROUTER, site_filter="ref == 'A' and (a + g) > 0", motif_pad=2))
     got = {(r.pos + 1, "-" if r.s else "+"): (r.a0, r.a1, r.g0, r.g1) for r in sites.collect()}

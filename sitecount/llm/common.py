@@ -9,9 +9,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +95,15 @@ def fmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values of a column one by one, so that no batch is held twice."""
+    return (x.as_py() for x in column)
+
+
 class WordHash(dict):
     """64-bit hashes by word; forgets all when it holds ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

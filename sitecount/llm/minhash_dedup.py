@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, WordHash, drop, fmix, prefix, windows, written
+from .common import Powers, WordHash, drop, each, fmix, prefix, windows, written
 from .components import components
 
 BANDS, ROWS, MANTISSA = 42, 6, 10
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         shingles, sketch = Shingles(size), Sketch()
         for batch in batches:
             n, digest, registers = [], [], []
-            for t in batch.column(3).to_pylist():
+            for t in each(batch.column(3)):
                 got = shingles.of(t)
                 n.append(len(got))
                 digest.append(xxhash.xxh3_128_digest(got.tobytes()) if len(got) else None)
@@ -136,7 +136,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
+            a, b = (np.stack([np.frombuffer(r.as_buffer(), dtype=np.uint16) for r in batch.column(k)]) for k in (2, 3))
             less, more = (np.asarray(batch.column(k)) for k in (4, 5))
             margin = 6 * np.sqrt(least * (1 - least) / np.minimum(REGISTERS, more))
             yield batch.select([0, 1]).filter(pa.array(estimate(a, b, less / more) >= least - margin))
@@ -148,23 +148,20 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return sized.select("x", "y", "rx", "ry", F.least("nx", "ny").alias("less"), F.greatest("nx", "ny").alias("more")).mapInArrow(run, "x long, y long")
 
 
-def full_sets(docs: DataFrame, reps: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the classes in ``members``; ``docs`` has a, b and t, ``reps`` a, b and node. The only step that moves texts."""
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of the classes in ``wanted`` (node, a, b); ``docs`` has a, b and t. The only step that moves texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.of(t).tobytes() for t in each(batch.column(1))], pa.binary())], names=["node", "hashes"])
 
-    wanted = written(reps.join(members.select("node").distinct(), "node").select("node", "a", "b"), "wanted")
-    found = docs.join(wanted, ["a", "b"]).select("node", "t").mapInArrow(run, "node long, hashes binary")
-    out = written(found.dropDuplicates(["node"]), "sets")  # equal rows are equal sets
-    drop(wanted)
-    return out
+    found = docs.join(wanted.select("node", "a", "b"), ["a", "b"]).select("node", "t").mapInArrow(run, "node long, hashes binary")
+    return written(found.dropDuplicates(["node"]), "sets")  # equal rows are equal sets
 
 
-def _hashes(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=np.uint64)
+def _hashes(x: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), dtype=np.uint64)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,9 +170,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(_hashes(one), _hashes(two), assume_unique=True))
-                keep.append(both > 0 and 800 * both >= percent * (len(one) + len(two) - 8 * both))
+            for one, two in zip(map(_hashes, batch.column(2)), map(_hashes, batch.column(3)), strict=True):
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"h{n}")) for n in "xy")
@@ -196,8 +193,7 @@ def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for own, lead in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                x, p = _hashes(own), _hashes(lead)
+            for x, p in zip(map(_hashes, batch.column(4)), map(_hashes, batch.column(5)), strict=True):
                 d = np.setxor1d(x, p, assume_unique=True)
                 f, reach = whole * len(d) - (100 - percent) * len(x), (100 - percent) * len(p)
                 as_guest = max(1, -(-(f - reach) // 200))
@@ -265,11 +261,13 @@ def linked_classes(reps: DataFrame, docs: DataFrame, size: int, percent: int) ->
     bands = reps.select("node", F.explode(band_keys(F.col("registers"))).alias("key"))
     shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least")).where("many > 1").select("key", "least"), "shared")
     members = written(bands.join(shared, "key"), "buckets")
-    sets = full_sets(docs, reps, members, size)
-    made = [shared, members, sets]
+    # all that follows is about classes that share a bucket
+    met = written(reps.join(members.select("node").distinct(), "node"), "met")
+    sets = full_sets(docs, met, size)
+    made = [shared, members, met, sets]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        able = written(likely(pairs, reps, percent), "likely")
+        able = written(likely(pairs, met, percent), "likely")
         out = written(confirmed(able, sets, percent), "links")
         drop(able)
         made.append(out)
@@ -286,8 +284,8 @@ def linked_classes(reps: DataFrame, docs: DataFrame, size: int, percent: int) ->
         return out
 
     # 1: the least of a bucket, of which the one that is met most
-    met = members.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("many"))
-    first = met.groupBy("node").agg(F.max(F.struct("many", (-F.col("least")).alias("least"))).alias("best"))
+    often = members.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("many"))
+    first = often.groupBy("node").agg(F.max(F.struct("many", (-F.col("least")).alias("least"))).alias("best"))
     labels = _merged(None, linked(first.select((-F.col("best.least")).alias("x"), F.col("node").alias("y"))))
     # 2: one that is drawn
     there = mixed()
@@ -308,12 +306,11 @@ def classes(docs: DataFrame, size: int, percent: int = PERCENT) -> tuple[DataFra
     """Rows (a, b, id, n, digest) of ``docs`` (a, b, id, t), and for each digest its group's ``first``: the row (z, id, a, b) with the least id, nulls last, and the hashes of the row."""
     signed = written(signatures(docs, size), "sketches")
     head = F.struct(F.col("id").isNull().alias("z"), "id", "a", "b")
-    ones = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(head).alias("first"))
+    # equal sets have equal registers
+    ones = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min(head).alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     ones = written(ones.withColumn("node", F.monotonically_increasing_id()), "classes")
-    at = ones.select("digest", "node", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
-    reps = written(signed.join(at, ["digest", "a", "b"]).select("node", "a", "b", "n", "registers").dropDuplicates(["node"]), "reps")
+    reps = ones.select("node", F.col("first.a").alias("a"), F.col("first.b").alias("b"), "n", "registers")
     labels = linked_classes(reps, docs, size, percent)
-    drop(reps)
     tops = ones.join(labels, "node").groupBy("component").agg(F.min("first").alias("top"))
     named = ones.join(labels.join(tops, "component").select("node", "top"), "node", "left")
     return signed.drop("registers"), named.select("digest", F.coalesce("top", "first").alias("first"))

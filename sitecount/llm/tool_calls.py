@@ -1,8 +1,8 @@
 """Tool calls in conversations: linked to their results, ordered, validated, and written as canonical JSON. DataFrame functions only.
 
 A message whose text is a JSON object with ``tool_calls`` makes calls (id, name, arguments, depends_on), one with
-``tool_call_id`` is the result of a call; every other message is plain. Calls and results of a conversation meet in a hash join on
-(conversation, call id). Arguments are validated against the schemas of their tools, which are parameters, by type and by name.
+``tool_call_id`` is the result of a call; every other message is plain. The first call and the first result of an id meet in a hash join on
+(conversation, call id), in which each key has one row a side. Arguments are validated against the schemas of their tools, which are parameters, by type and by name.
 
 Order: by (level, turn, place). Where every dependency stands before its call, turn and place alone are a topological order and the level is 0.
 Only conversations in which some call depends on a later one are levelled: calls whose dependencies all have levels get the next
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import drop, written
 
 #: Types of JSON values by the first word of the variant type's name.
 TYPES = {"BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "STRING": "string", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array", "VOID": "null"}
@@ -70,13 +70,18 @@ def problems(name: Column, args: Column, schemas: dict) -> Column:
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>,tool_call_id:string,content:variant>"
 
 
+def tool_message(text: Column) -> Column:
+    """The parts of a message that is a JSON object with calls or the id of one; null for others."""
+    maybe = text.rlike(r"^[\x20\t\r\n]*\{") & (F.contains(text, F.lit('"tool_calls"')) | F.contains(text, F.lit('"tool_call_id"')))
+    found = F.when(maybe & F.try_parse_json(text).isNotNull(), F.from_json(text, _CALLS))
+    return F.when(found["tool_calls"].isNotNull() | found["tool_call_id"].isNotNull(), found)
+
+
 def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls (conv_id, turn, place, id, name, arguments JSON, depends_on), results (conv_id, turn, id, content JSON) and messages (conv_id, turn, role, content JSON): plain ones, and
     what a call message says besides its calls, if it says something or makes none."""
     text = F.coalesce("text", F.lit(""))
-    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
-    maybe = F.col("text").startswith("{") & (F.contains("text", F.lit('"tool_calls"')) | F.contains("text", F.lit('"tool_call_id"')))
-    rows = rows.withColumn("m", F.when(maybe & F.try_parse_json("text").isNotNull(), F.from_json("text", _CALLS)))
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")).withColumn("m", tool_message(F.col("text")))
     is_call, is_result = F.col("m.tool_calls").isNotNull(), F.col("m.tool_call_id").isNotNull()
     calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("place", "c"))
     calls = calls.select("conv_id", "turn", "place", "c.id", "c.name", F.to_json("c.arguments").alias("arguments"), "c.depends_on")
@@ -97,7 +102,7 @@ def levels(calls: DataFrame) -> DataFrame:
     edges = written(edges.join(there, ["conv_id", "on"], "left"), "dependencies")
     missing = edges.where("on_turn IS NULL").groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("on")), ",").alias("missing"))
     forward = F.struct("on_turn", "on_place") >= F.struct("turn", "place")
-    tangled = edges.where("on_turn IS NOT NULL").where(forward).select("conv_id").distinct()
+    tangled = written(edges.where("on_turn IS NOT NULL").where(forward).select("conv_id").distinct(), "tangled")
     nodes = written(calls.join(tangled, "conv_id", "left_semi").select(*key), "nodes")
     inner = written(edges.where("on_turn IS NOT NULL").join(tangled, "conv_id", "left_semi").select("conv_id", "id", "on"), "inner")
     left, known, level = nodes, None, 0
@@ -106,8 +111,11 @@ def levels(calls: DataFrame) -> DataFrame:
         ready = written(left.join(waits.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level)), "ready")
         if ready.isEmpty():
             break
+        before, passed = known, left
         known = ready if known is None else written(known.unionByName(ready), "known")
         left = written(left.join(ready.select(*key), key, "left_anti"), "left")
+        if before is not None:
+            drop(before, ready, passed)
         level += 1
     found = nodes.withColumn("_in", F.lit(True))
     if known is not None:
@@ -133,11 +141,18 @@ def quoted(text: Column) -> Column:
 KEY = ["conv_id", "id"]
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with their rank by ``order`` among those of the same key, and how many those are. ``salt`` spreads rows without a key, and is 0 for others."""
-    salt = F.when(F.col("conv_id").isNull() | F.col("id").isNull(), F.xxhash64(F.lit(1), *order)).otherwise(F.lit(0).cast("long"))
-    same = Window.partitionBy(*KEY, "salt")
-    return rows.withColumn("salt", salt).withColumn("rank", F.row_number().over(same.orderBy(*order))).withColumn("same", F.count(F.lit(1)).over(same))
+def keyed() -> Column:
+    return F.col("conv_id").isNotNull() & F.col("id").isNotNull()
+
+
+def split(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key by ``order``, with ``same``, how many rows its key has, and the other rows, those without a key among them. Both have ``row``, a number of their own."""
+    every = written(rows.withColumn("row", F.monotonically_increasing_id()), name)
+    best = every.where(keyed()).groupBy(*KEY).agg(F.min(F.struct(*order, "row")).alias("best"), F.count(F.lit(1)).alias("same"))
+    best = written(best.select(*KEY, F.col("best.row").alias("first"), "same"), f"first_{name}")
+    both = every.join(best, KEY)
+    alone = every.where(~keyed()).withColumn("surplus", F.lit(False))
+    return both.where("row = first").drop("first"), alone.unionByName(both.where("row <> first").drop("first", "same").withColumn("surplus", F.lit(True)))
 
 
 def waits(lone: DataFrame, first: DataFrame, levelled: DataFrame) -> DataFrame:
@@ -156,23 +171,16 @@ def waits(lone: DataFrame, first: DataFrame, levelled: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """Every call and every result that isn't in a call's row: conv_id, level, turn, place, kind, id, status and json."""
-    every = ranked(calls, "turn", "place", "name", "arguments", "depends_on")
-    every = written(every.withColumn("row", F.monotonically_increasing_id()), "calls")
-    keyed = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
-    first = every.where(keyed & (F.col("rank") == 1))
-    lone = every.where(~keyed | (F.col("rank") > 1))
+    first, lone = split(calls, "calls", "turn", "place", "name", "arguments", "depends_on")
+    answer, late = split(results, "results", "turn", "content")
+    first = written(first, "first_calls")
     levelled = levels(first)
-    answer = ranked(results, "turn", "content").select(*KEY, "salt", F.struct(F.col("turn").alias("result_turn"), "content").alias("r"), F.col("rank").alias("place_among"), F.when(F.col("conv_id").isNull(), 1).otherwise(F.col("same")).alias("answers"))
-    surplus = F.coalesce(F.col("place_among") > 1, F.lit(False)) & F.col("conv_id").isNotNull()
-    called = first.select(*KEY, "salt", "turn", "place", "name", "arguments", "same").join(levelled, KEY, "left")
-    both = called.join(answer, [*KEY, "salt"], "full_outer").withColumn("surplus", surplus)
-    # a later answer to a call is a row of its own, without the call's part
-    for c in ("turn", "place", "name", "arguments", "same", "level", "missing"):
-        both = both.withColumn(c, F.when(~F.col("surplus"), F.col(c)))
-    both = both.select("conv_id", "id", "turn", "place", "name", "arguments", "same", "level", "missing", "r", "answers", "surplus")
-    if not lone.isEmpty():
-        own = waits(lone, first, levelled).select("conv_id", "id", "turn", "place", "name", "arguments", F.lit(1).cast("long").alias("same"), "level", "missing", (keyed & (F.col("rank") > 1)).alias("surplus"))
-        both = both.unionByName(own, allowMissingColumns=True)
+    said = F.struct(F.col("turn").alias("result_turn"), "content").alias("r")
+    called = first.select(*KEY, "turn", "place", "name", "arguments", "same").join(levelled, KEY, "left")
+    both = called.join(answer.select(*KEY, said, F.col("same").alias("answers")).hint("shuffle_hash"), KEY, "full_outer").withColumn("surplus", F.lit(False))
+    own = waits(lone, first, levelled).select(*KEY, "turn", "place", "name", "arguments", F.lit(1).cast("long").alias("same"), "level", "missing", "surplus")
+    both = both.unionByName(own, allowMissingColumns=True)
+    both = both.unionByName(late.select(*KEY, said, F.lit(1).cast("long").alias("answers"), "surplus"), allowMissingColumns=True)
     args = F.when(F.col("arguments").startswith("{"), F.from_json("arguments", "map<string,variant>"))
     both = both.withColumn("wrong", F.when(F.col("same").isNotNull(), problems(F.col("name"), args, schemas)))
     called = F.col("same").isNotNull()
@@ -207,39 +215,72 @@ def format_chat(messages: DataFrame, schemas: dict = SCHEMAS, duplicates: bool =
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``format_chat`` rows with ``seq``, their place in the conversation; for conversations that fit a task."""
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", "place", "json")))
+    """``format_chat`` rows with ``seq``, their place in the conversation. All rows are sorted by ranges, and a conversation that lies in several
+    parts goes on counting where it did in the part before, so that none has to fit a task."""
+    order = ["conv_id", F.col("level").asc_nulls_last(), "turn", "place", "json"]
+    every = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    parts = every.groupBy("conv_id", "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = written(parts.select(F.col("conv_id").alias("_conv"), F.col("_part").alias("_p"), "_from", before.alias("_before")), "parts")
+    both = every.join(parts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_p")))
+    return both.withColumn("seq", (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_conv", "_p", "_from", "_before")
 
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """Plain conversations in the form above, for tables that hold no tool calls: a user's turn is a call of ``reply`` that depends on the user's turn
-    before it, an assistant's is the result of the turn before it. Other roles, and messages that are tool messages already, stay."""
+    before it, an assistant's is the result of the turn before it. Other roles, and messages that are tool messages already, stay.
+
+    Calls are not all well made: by the remainder of conversation and turn, some depend on a later call, some of these in a circle, some start
+    anew, have arguments of a wrong type, none or unknown ones, name an unknown tool, or come twice.
+    """
     turn = F.col("turn")
+    k = F.coalesce(F.pmod(F.col("conv_id") * 3 + turn + 3, F.lit(11)), F.lit(6))
     ident = lambda t: F.concat(F.lit("t"), t.cast("string"))
-    prompt = F.coalesce("text", F.lit(""))
-    args = canonical(prompt=quoted(prompt), turn=turn.cast("string"))
-    on = F.when(turn >= 2, F.concat(F.lit('["'), ident(turn - 2), F.lit('"]'))).otherwise(F.lit("[]"))
-    call = F.concat(F.lit('{"tool_calls":['), canonical(id=quoted(ident(turn)), name=F.lit('"reply"'), arguments=args, depends_on=on), F.lit("]}"))
-    result = canonical(tool_call_id=quoted(ident(turn - 1)), content=quoted(prompt))
-    tool = F.col("text").startswith('{"tool_call')
-    said = F.when(F.coalesce(tool, F.lit(False)) | turn.isNull(), F.col("text")).when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
+    prompt, number = quoted(F.coalesce("text", F.lit(""))), turn.cast("string")
+    args = F.when(k == 1, canonical(prompt=prompt, turn=F.concat(F.lit('"'), number, F.lit('"')))).when(k == 3, canonical(turn=number))
+    args = args.when(k == 7, canonical(prompt=prompt, tone=F.lit('"x"'), turn=number)).otherwise(canonical(prompt=prompt, turn=number))
+    one = lambda t: F.concat(F.lit('["'), ident(t), F.lit('"]'))
+    on = F.when(k.isin(0, 4), one(turn + 2)).when((turn >= 2) & ~k.isin(2, 8), one(turn - 2)).otherwise(F.lit("[]"))
+    name = F.when(k == 10, F.lit('"lookup"')).otherwise(F.lit('"reply"'))
+    again = canonical(id=quoted(ident(turn)), name=F.lit('"reply"'), arguments=canonical(prompt=F.lit('"again"'), turn=number), depends_on=F.lit("[]"))
+    calls = F.concat(canonical(id=quoted(ident(turn)), name=name, arguments=args, depends_on=on), F.when(k == 9, F.concat(F.lit(","), again)).otherwise(""))
+    call = F.concat(F.lit('{"tool_calls":['), calls, F.lit("]}"))
+    result = canonical(tool_call_id=quoted(ident(turn - 1)), content=prompt)
+    tool = tool_message(F.coalesce("text", F.lit(""))).isNotNull()
+    said = F.when(tool | turn.isNull(), F.col("text")).when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
     return conversations.select("conv_id", "turn", "role", said.alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), duplicates=True).select("conv_id", "level", "turn", "place", "kind", "call_id", "status", "n_ignored", "json")
+    rows = numbered(format_chat(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), duplicates=True))
+    return rows.select("conv_id", "seq", "level", "turn", "place", "kind", "call_id", "status", "n_ignored", "json")
 
 
 ORACLE = """
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-u AS (SELECT * FROM c WHERE role = 'user'),
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce((conv_id * 3 + turn + 3) % 11, 6) AS k FROM conversations),
+u AS (SELECT *, to_json(text) AS p, CASE WHEN k IN (0, 4) THEN turn + 2 WHEN turn >= 2 AND k NOT IN (2, 8) THEN turn - 2 END AS dep FROM c WHERE role = 'user'),
 a AS (SELECT * FROM c WHERE role = 'assistant'),
+e AS (SELECT u.conv_id, u.turn, u.dep FROM u JOIN u AS o ON u.conv_id = o.conv_id AND u.dep = o.turn),
+tangled AS (SELECT DISTINCT conv_id FROM e WHERE dep >= turn),
+g AS (SELECT e.* FROM e JOIN tangled USING (conv_id)),
+reach AS (SELECT conv_id, turn, dep FROM g UNION SELECT r.conv_id, r.turn, g.dep FROM reach AS r JOIN g ON r.conv_id = g.conv_id AND r.dep = g.turn),
+ring AS (SELECT DISTINCT conv_id, turn FROM reach WHERE turn = dep),
+stuck AS (SELECT conv_id, turn FROM ring UNION SELECT r.conv_id, r.turn FROM reach AS r JOIN ring ON r.conv_id = ring.conv_id AND r.dep = ring.turn),
+steps AS (SELECT u.conv_id, u.turn, 0 AS n FROM u JOIN tangled USING (conv_id) ANTI JOIN stuck USING (conv_id, turn)
+  UNION SELECT g.conv_id, g.turn, s.n + 1 FROM steps AS s JOIN g ON s.conv_id = g.conv_id AND s.turn = g.dep ANTI JOIN stuck ON stuck.conv_id = g.conv_id AND stuck.turn = g.turn),
+l AS (SELECT conv_id, turn, max(n) AS n FROM steps GROUP BY ALL),
+args AS (SELECT u.*, CASE k WHEN 1 THEN '{"prompt":' || p || ',"turn":"' || turn || '"}' WHEN 3 THEN '{"turn":' || turn || '}' WHEN 7 THEN '{"prompt":' || p || ',"tone":"x","turn":' || turn || '}'
+    ELSE '{"prompt":' || p || ',"turn":' || turn || '}' END AS args, CASE k WHEN 1 THEN 'type:turn' WHEN 3 THEN 'missing:prompt' WHEN 7 THEN 'unknown:tone' WHEN 10 THEN 'unknown_tool' END AS wrong FROM u),
 j AS (
-  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, 0 AS level, coalesce(u.turn, a.turn) AS turn, 0 AS place, CASE WHEN u.turn IS NULL THEN 'result' ELSE 'call' END AS kind,
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, CASE WHEN s.turn IS NOT NULL THEN NULL ELSE coalesce(l.n, 0) END::INT AS level, coalesce(u.turn, a.turn) AS turn, 0 AS place, CASE WHEN u.turn IS NULL THEN 'result' ELSE 'call' END AS kind,
     't' || coalesce(u.turn, a.turn - 1) AS call_id,
-    CASE WHEN u.turn IS NULL THEN 'orphan_result' WHEN u.turn >= 2 AND p.turn IS NULL THEN 'missing:t' || (u.turn - 2) WHEN a.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status, 0::BIGINT AS n_ignored,
+    CASE WHEN u.turn IS NULL THEN 'orphan_result' WHEN s.turn IS NOT NULL THEN 'cycle' WHEN wrong IS NOT NULL THEN 'invalid:' || wrong WHEN u.dep IS NOT NULL AND p.turn IS NULL THEN 'missing:t' || u.dep
+      WHEN a.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status, CASE WHEN u.k = 9 THEN 1 ELSE 0 END::BIGINT AS n_ignored,
     CASE WHEN u.turn IS NULL THEN '{"content":' || to_json(a.text) || ',"tool_call_id":"t' || (a.turn - 1) || '"}'
-      ELSE '{"arguments":{"prompt":' || to_json(u.text) || ',"turn":' || u.turn || '},"id":"t' || u.turn || '","name":"reply","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' END AS json
-  FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 LEFT JOIN u AS p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2)
-SELECT * FROM j UNION ALL
-SELECT conv_id, 0, turn, -1, 'message', NULL, 'ok', 0, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' FROM c WHERE role NOT IN ('user', 'assistant')"""
+      ELSE '{"arguments":' || args || ',"id":"t' || u.turn || '","name":"' || CASE WHEN u.k = 10 THEN 'lookup' ELSE 'reply' END || '","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' END AS json
+  FROM args AS u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 LEFT JOIN u AS p ON p.conv_id = u.conv_id AND p.turn = u.dep
+    LEFT JOIN stuck AS s ON s.conv_id = u.conv_id AND s.turn = u.turn LEFT JOIN l ON l.conv_id = u.conv_id AND l.turn = u.turn),
+every AS (SELECT * FROM j UNION ALL
+  SELECT conv_id, 0, turn, 1, 'call', 't' || turn, 'duplicate', 0, '{"arguments":{"prompt":"again","turn":' || turn || '},"id":"t' || turn || '","name":"reply","result":null}' FROM u WHERE k = 9 UNION ALL
+  SELECT conv_id, 0, turn, -1, 'message', NULL, 'ok', 0, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' FROM c WHERE role NOT IN ('user', 'assistant'))
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, place, json) AS seq FROM every"""

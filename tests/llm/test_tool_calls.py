@@ -116,3 +116,25 @@ def test_the_query_keeps_turns_without_a_conversation_and_repeated_ones(spark, t
         (1, 2, "call", "no_result", 0),
     ]
     assert sorted(word for r in got for word in ("alone", "later", "said", "a", "b", "c", "d", "e") if f':"{word}"' in r.json) == ["a", "alone", "b", "b", "c", "d", "e", "later", "said"]
+
+
+def test_a_conversation_in_parts_is_numbered_through(spark):
+    rows = [(c, t, "user", f"text {t % 3}") for c in (None, 1, 2) for t in range(400 if c == 1 else 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = tc.numbered(tc.format_chat(df))
+    assert sorted((r.conv_id or 0, r.turn, r.seq) for r in got.collect()) == [(c or 0, t, t + 1) for c, t, _, _ in rows]
+
+
+def test_the_query_meets_every_kind_of_call(spark, tmp_path):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"words {t}") for c in range(30) for t in range(8)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = tc.query(spark, str(tmp_path)).collect()
+    kinds = {r.status.split(":")[0] + ":" + r.status.split(":")[1] if r.status.startswith("invalid") else r.status.split(":")[0] for r in got}
+    assert kinds >= {"ok", "cycle", "missing", "duplicate", "invalid:type", "invalid:missing", "invalid:unknown", "invalid:unknown_tool"}
+    assert {0, 1, None} <= {r.level for r in got} and len(got) == 30 * 4 + sum(r.status == "duplicate" for r in got)
+
+
+def test_white_space_before_a_tool_message(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", ' \n{ "content": null, "tool_calls": [{"id": "a", "name": "g", "arguments": {}}]}'), (1, 1, "tool", '\t{"content": 5, "tool_call_id": "a"}')], "conv_id long, turn long, role string, text string")
+    for rows in (tc.format_chat(df, SCHEMAS), tc.format_chat(tc.as_tool_messages(df), SCHEMAS)):
+        assert [(r.kind, r.status, r.json) for r in rows.collect()] == [("call", "ok", '{"arguments":{},"id":"a","name":"g","result":5}')]

@@ -16,19 +16,26 @@ def base(text):
     return sorted(found)
 
 
-def brute(rows):
-    owners = {}
-    for _, t, source, _ in rows:
+def held(rows):
+    """The owners and the repositories of each value, and whether it is an example."""
+    owners, repos = {}, {}
+    for _, t, source, lang in rows:
         for *_, v in base(t):
             owners.setdefault(v, set()).add(source or "")
+            repos.setdefault(v, set()).add((source or "", "/".join(x for x in (source, lang) if x is not None)))
+    return owners, repos, {v: len(o) >= 3 or len(o) == 2 and len(repos[v]) >= 4 for v, o in owners.items()}
+
+
+def brute(rows):
+    owners, repos, example = held(rows)
     out = []
     for i, t, _, _ in rows:
         found = base(t)
-        live = {(e - len(v), 3, e) for s, k, e, v in found if len(owners[v]) < ss.SPREAD and lively(v)}
-        examples = {(e - len(v), e) for s, k, e, v in found if len(owners[v]) >= ss.SPREAD}
+        live = {(e - len(v), 3, e) for s, k, e, v in found if not example[v] and lively(v)}
+        examples = {(e - len(v), e) for s, k, e, v in found if example[v]}
         names = lambda spans: ",".join(f"{ss.KINDS[k]}:{s}:{e}" for s, k, e in spans)
         bare = [(s, k, e) for s, k, e, _ in found]
-        out.append((str(i), *(sum(x[1] == k for x in bare) for k in range(3)), hashlib.sha256(names(bare).encode()).hexdigest(), names(sorted([*bare, *live])), len(live), len(examples)))
+        out.append((str(i), *(sum(x[1] == k for x in bare) for k in range(3)), hashlib.sha256(names(bare).encode()).hexdigest(), names(sorted([*bare, *live])), len(live), len(examples), max((len(owners[v]) for *_, v in found), default=0), max((len(repos[v]) for *_, v in found), default=0)))
     return sorted(out)
 
 
@@ -50,7 +57,7 @@ def corpus():
 def test_spans_digests_and_ownership_match_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, lang string, found string")
-    got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_live, r.n_example) for r in ss.scan(docs, *ss.places(docs)).collect())
+    got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_live, r.n_example, r.n_owners, r.n_repos) for r in ss.scan(docs, *ss.places(docs)).collect())
     assert got == brute(rows)
     kept = ss.without_live(docs, *ss.places(docs))
     assert kept.columns == docs.columns
@@ -58,11 +65,18 @@ def test_spans_digests_and_ownership_match_brute_force(spark):
 
 
 def brute_row(rows, row):
-    owners = {}
-    for _, t, source, _ in rows:
-        for *_, v in base(t):
-            owners.setdefault(v, set()).add(source or "")
-    return any(len(owners[v]) < ss.SPREAD and lively(v) for *_, v in base(row[1]))
+    example = held(rows)[2]
+    return any(not example[v] and lively(v) for *_, v in base(row[1]))
+
+
+def test_repositories_tell_examples_of_two_owners(spark):
+    """The same value at two owners: live in three repositories, an example in four; at one owner, live in any number of them."""
+    value = "a1b2c3d4e5f60718293a4b5c6d7e8f90"
+    places = {"three": [("o1", "x"), ("o1", "y"), ("o2", "x")], "four": [("o1", "x"), ("o1", "y"), ("o2", "x"), ("o2", "y")], "one": [("o1", c) for c in "abcdef"]}
+    for name, found in places.items():
+        docs = spark.createDataFrame([(k, f"token = {value}", o, r) for k, (o, r) in enumerate(found)], "doc_id long, text string, source string, lang string")
+        got = ss.scan(docs, *ss.places(docs)).collect()
+        assert {(r.n_live, r.n_example, r.n_owners, r.n_repos) for r in got} == {(int(name != "four"), int(name == "four"), len({o for o, _ in found}), len(found))}
 
 
 def test_empty_table(spark):

@@ -2,8 +2,8 @@
 
 The base detectors find e-mail addresses, IPv4 addresses, payment cards and phone numbers in the source. The method then
 runs transducers over a tape (characters, and for each the span of the source that it came from): homoglyphs become ASCII,
-disguised ``at`` and ``dot`` become ``@`` and ``.``, spelled digits become digits. The detectors run on the tape, and spans that
-went through at least one rewrite are mapped back to source characters and added; base spans always stay.
+disguised ``at`` and ``dot`` become ``@`` and ``.``, spelled digits become digits, in English, German, French and Spanish. The detectors run on
+the tape, and spans that went through at least one rewrite are mapped back to source characters and added; base spans always stay.
 
 Null text counts as empty. Every detector is linear in the text, so very long texts need no limit.
 """
@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import each
+
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,20 +98,33 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " ", " ": " ",
 }
-# Digits in words.
-SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digits in words, by language.
+DIGITS = (
+    ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"),
+    ("null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"),
+    ("zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"),
+    ("cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"),
+)
+# Words for the signs, and which dot a bare at may go with ("look at the point" is no address).
+AT_DOT = ((("at",), ("dot", "punkt")), (("arroba",), ("punto", "dot")), (("arobase", "arrobase"), ("point", "dot")))
+PLUS_WORDS = ("plus", "más", "mas")
+SPELLED = {word: str(k) for row in DIGITS for k, word in enumerate(row)} | {"fuenf": "5"}
+AT_WORDS = tuple(w for ats, _ in AT_DOT for w in ats)
+DOT_WORDS = tuple(dict.fromkeys(w for _, dots in AT_DOT for w in dots))
 
 HOMOGLYPHS = {ord(k): v for k, v in LOOKALIKES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 HOMOGLYPH = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + "]")
-_DIGIT = "(?:" + "|".join(SPELLED) + ")"
+_any = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+_DIGIT = _any(SPELLED)
 SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT}|[0-9])(?:[\x20-](?:{_DIGIT}|[0-9](?![0-9])))*+[\x20-]{_DIGIT}(?:[\x20-](?:{_DIGIT}|[0-9](?![0-9])))*+(?![A-Za-z0-9])|(?<![A-Za-z0-9]){_DIGIT}(?:[\x20-](?:{_DIGIT}|[0-9](?![0-9])))++(?![A-Za-z0-9])", re.IGNORECASE)
 SPELLED_WORD = re.compile(rf"{_DIGIT}|[0-9]", re.IGNORECASE)
-BRACKET_AT = re.compile(r"\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?", re.IGNORECASE)
-BRACKET_DOT = re.compile(r"\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?", re.IGNORECASE)
-#: A bare ``at`` counts only where a spelled ``dot`` and one more name follow the next one.
-_NAME = r"(?!dot\x20)(?!dot(?![A-Za-z0-9-]))[A-Za-z0-9-]+"
-BARE = re.compile(rf"(?<=[A-Za-z0-9])\x20at\x20(?={_NAME}(?:\.{_NAME})*\x20dot\x20{_NAME})|(?<=[A-Za-z0-9])\x20dot\x20(?={_NAME})", re.IGNORECASE)
-PLUS = re.compile(r"(?<![A-Za-z0-9])plus\x20(?=\(?[0-9])", re.IGNORECASE)
+BRACKET_AT = re.compile(rf"\x20?[\[({{<]\x20?(?:{_any(AT_WORDS)}|@)\x20?[\])}}>]\x20?", re.IGNORECASE)
+BRACKET_DOT = re.compile(rf"\x20?[\[({{<]\x20?(?:{_any(DOT_WORDS)}|\.)\x20?[\])}}>]\x20?", re.IGNORECASE)
+_NAME = rf"(?!{_any(DOT_WORDS)}(?![A-Za-z0-9-]))[A-Za-z0-9-]+"
+_BARE_AT = "|".join(rf"{_any(ats)}\x20(?={_NAME}(?:\.{_NAME})*\x20{_any(dots)}\x20{_NAME})" for ats, dots in AT_DOT)
+#: A bare at counts only where a spelled dot of its language and one more name follow the next one.
+BARE = re.compile(rf"(?<=[A-Za-z0-9])\x20(?:(?P<at>{_BARE_AT})|{_any(DOT_WORDS)}\x20(?={_NAME}))", re.IGNORECASE)
+PLUS = re.compile(rf"(?<![A-Za-z0-9]){_any(PLUS_WORDS)}\x20(?=\(?[0-9])", re.IGNORECASE)
 #: Shortest run of spelled digits that is rewritten.
 LEAST_SPELLED = 3
 
@@ -167,20 +183,32 @@ def signs(tape: Tape) -> Tape:
     """Disguised at and dot signs, then a spelled plus before digits."""
     for pattern, sign in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")):
         tape = tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(tape.text)])
-    tape = tape.rewrite([(m.start(), m.end(), "@" if "at" in m.group().lower() else ".") for m in BARE.finditer(tape.text)])
+    tape = tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in BARE.finditer(tape.text)])
     return tape.rewrite([(m.start(), m.end(), "+") for m in PLUS.finditer(tape.text)])
 
 
+#: Letters that patterns take for others when they ignore case.
+_ODD_CASE = re.compile("[İıſ\u212a]")
+_ASCII_WORD = re.compile("[a-z]+")
+_ACCENTED = tuple(w for w in SPELLED if not w.isascii())
+
+
+def _may_spell(low: str) -> bool:
+    """Whether a text in lower case has enough spelled digits for a run."""
+    found = sum(map(SPELLED.__contains__, _ASCII_WORD.findall(low)))
+    return found >= LEAST_SPELLED or found + sum(map(low.count, _ACCENTED)) >= LEAST_SPELLED
+
+
 def hidden(source: str) -> dict[str, list[Span]]:
     """Spans of the source that hold an identifier only after rewriting."""
     odd = not source.isascii() and HOMOGLYPH.search(source) is not None
-    low = source.lower() if source.isascii() else None  # a word that a pattern needs; beyond ASCII, more letters than its own match it
-    has = lambda *words: low is None or any(w in low for w in words)
-    if not (
-        odd or BRACKET_AT.search(source) or BRACKET_DOT.search(source) or has(*SPELLED) and SPELLED_RUN.search(source)
-        or has("dot") and BARE.search(source) or has("plus") and PLUS.search(source)
-    ):
-        return {}
+    if not odd:
+        # cheap tests for words that a pattern needs; each pattern is only left out where it can't match
+        low = None if not source.isascii() and _ODD_CASE.search(source) else source.lower()
+        has = lambda words: low is None or any(w in low for w in words)
+        spelled = (low is None or _may_spell(low)) and SPELLED_RUN.search(source)
+        if not (spelled or BRACKET_AT.search(source) or BRACKET_DOT.search(source) or has(DOT_WORDS) and BARE.search(source) or has(PLUS_WORDS) and PLUS.search(source)):
+            return {}
     tape = signs(spelled_digits(homoglyphs(Tape.of(source))))
     if not any(tape.changed):
         return {}
@@ -188,12 +216,13 @@ def hidden(source: str) -> dict[str, list[Span]]:
 
 
 def scan(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """Base spans, and base spans with those that the method adds, by kind, sorted by start. An added span that overlaps a base one of its kind and lies within it is left out."""
+    """Base spans, and base spans with those that the method adds, by kind, sorted by start. An added span that lies within a base one of its kind is left out."""
     text = text or ""
     base, more = detect(text), hidden(text)
     every = {}
     for kind in KINDS:
-        added = [s for s in more.get(kind, ()) if not any(a <= s[0] and s[1] <= b for a, b in base[kind])]
+        starts = [a for a, _ in base[kind]]  # base spans of a kind don't overlap, so the last one that starts before tells
+        added = [s for s in more.get(kind, ()) if not (k := bisect_right(starts, s[0])) or base[kind][k - 1][1] < s[1]]
         every[kind] = sorted({*base[kind], *added})
     return base, every
 
@@ -223,7 +252,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", masked: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t in batch.column(1).to_pylist():
+            for t in each(batch.column(1)):
                 base, every = scan(t)
                 rows.append((*(len(base[k]) for k in KINDS), hashlib.sha256(render(base).encode()).hexdigest(), render(every), sum(map(len, every.values())) - sum(map(len, base.values())), *([mask(t or "", every)] if masked else [])))
             cols = list(zip(*rows, strict=True)) if rows else [()] * (7 + masked)

@@ -80,7 +80,7 @@ def test_each_rewrite_alone(text, kind, found):
     assert found in [text[a:b] for a, b in every[kind]]
 
 
-@pytest.mark.parametrize("parts", [["a", "@", "b", ".", "[", "]", " ", "at", "com"], ["10", "1", ".", "(.)", " [.] ", "one ", "two "], ["plus ", "44", " 20 7946", "0958", "dot", " dot ", "ſix ", "é"]])
+@pytest.mark.parametrize("parts", [["a", "@", "b", ".", "[", "]", " ", "at", "com"], ["10", "1", ".", "(.)", " [.] ", "one ", "two "], ["plus ", "44", " 20 7946", "0958", "dot", " dot ", "ſix ", "é"], ["un ", "DEUX ", "fünf ", "zéro-", "İ", "uno ", "eıns ", "k punkt ", "arroba ", "a ", "más 4", " point de"]])
 def test_no_text_is_left_out_before_the_rewrites(parts):
     rnd = random.Random(5)
     for _ in range(3000):
@@ -88,3 +88,58 @@ def test_no_text_is_left_out_before_the_rewrites(parts):
         tape = pii.signs(pii.spelled_digits(pii.homoglyphs(pii.Tape.of(t))))
         want = {k: got for k, found in pii.detect(tape.text).items() if (got := [(tape.start[a], tape.end[b - 1]) for a, b in found if any(tape.changed[a:b])])}
         assert pii.hidden(t) == want, t
+
+
+def disguised(rnd, kind):
+    """An identifier, written in one of the disguises."""
+    words = rnd.choice(pii.DIGITS)
+    spell = lambda digits: " ".join(words[int(c)] for c in digits)
+    name = lambda: "".join(rnd.choice("abcdefghkmqrt") for _ in range(rnd.randrange(3, 8)))
+    if kind == "email":
+        (ats, dots), parts = rnd.choice(pii.AT_DOT), [name() for _ in range(rnd.randrange(2, 4))]
+        at, dot = rnd.choice(ats), rnd.choice(dots)
+        left, right = rnd.choice((("[", "]"), (" (", ") "), (" {", "} "), (" ", " "), (" < ", " >")))
+        if rnd.random() < 0.2:
+            return name() + "＠" + ".".join(parts)
+        return name() + f"{left}{at}{right}" + f"{left}{dot}{right}".join(parts)
+    if kind == "ip":
+        dot = rnd.choice(("[.]", "(dot)", " [punto] ", " punkt ", "．"))
+        return dot.join(str(rnd.randrange(256)) for _ in range(4))
+    if kind == "card":
+        digits = "".join(rnd.choice("0123456789") for _ in range(rnd.randrange(12, 19)))
+        return spell(digits + next(c for c in "0123456789" if pii.luhn(digits + c)))
+    digits = "".join(rnd.choice("0123456789") for _ in range(rnd.randrange(9, 16)))
+    return rnd.choice((f"{rnd.choice(pii.PLUS_WORDS)} {digits}", f"{rnd.choice(pii.PLUS_WORDS)} {spell(digits)}", f"+{digits[0]} {spell(digits[1:])}"))
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_disguises_are_found_where_they_stand(kind):
+    rnd = random.Random(12)
+    for _ in range(1500):
+        before, after = (rnd.choice(("", "wörter davor; ", "escribe a: ", "x, ", "le voici\n", "(")) for _ in range(2))
+        found = disguised(rnd, kind)
+        text = f"{before}{found};{after}"
+        _, every = pii.scan(text)
+        assert (len(before), len(before) + len(found)) in every[kind], text
+
+
+@pytest.mark.parametrize("text", ["juan arroba correo punto es", "hans [at] firma [punkt] de", "jean arobase poste point fr", "joe@site[.]com"])
+def test_signs_in_four_languages(text):
+    assert pii.scan(text)[1]["email"] == [(0, len(text))]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["look at the point that matters and the dot at the end", "un deux trois, nous irons au bois; six ou sept fois", "Punkt eins, zwei und drei des Plans; null Problem", "uno dos tres, al punto de partida; más de 5 veces", "plus 5 points, mas 20 puntos"],
+)
+def test_prose_in_four_languages_is_left_alone(text):
+    assert pii.render(pii.scan(text)[1]) == ""
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "a@b.co c[at]d.org " * 20_000
+    began = time.process_time()
+    base, every = pii.scan(text)
+    assert len(base["email"]) == 20_000 and len(every["email"]) == 40_000 and time.process_time() - began < 10

@@ -110,7 +110,8 @@ templated("motif_revcomp", "{pos}\\t{strand_code}\\t{motif}", "pos || chr(9) ||
 templated("template_slots", "{{x}\\t{a.0}\\t{n.3}\\t{ins}", "'{x}' || chr(9) || a0 || chr(9) || n3 || chr(9) || 0")
 templated("template_nil_cell", "{pos}|{u}|{depth > 9}|{strand == '+' and 'p' or 'm'}", "pos || '||' || CASE WHEN depth > 9 THEN 'true' ELSE '' END || '|' || CASE WHEN s = 0 THEN 'p' ELSE 'm' END")
 templated("template_ratio", "{chrom}\\t{pos}\\t{round(t / (c + t + 1), 2)}\\t{a + g}", "contig || chr(9) || pos || chr(9) || CASE WHEN r = floor(r) THEN printf('%.1f', r) ELSE rtrim(printf('%.2f', r), '0') END || chr(9) || (a + g)".replace("r = ", "(floor(t / (c + t + 1.0)::DOUBLE * 100 + 0.5) / 100) = ").replace("floor(r)", "floor(floor(t / (c + t + 1.0)::DOUBLE * 100 + 0.5) / 100)").replace(", r)", ", floor(t / (c + t + 1.0)::DOUBLE * 100 + 0.5) / 100)"))
-templated("template_float_text", "{pos}\\t{depth / 3}\\t{sqrt(depth)}\\t{2 ^ depth}", None)
+_FLOAT = "regexp_replace(printf('%.14g', {}), '^(-?[0-9]+)$', '\\1.0')"
+templated("template_float_text", "{pos}\\t{depth / 3}\\t{sqrt(depth)}\\t{2 ^ depth}", " || chr(9) || ".join(["pos", *map(_FLOAT.format, ("depth / 3.0::DOUBLE", "sqrt(depth)", "pow(2.0::DOUBLE, depth)"))]))
 
 
 def _dedup_winner(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash
+from .common import WordHash, each
 
 #: Words of a block of items; pairs of a place in a text and an item that are counted at once.
 BLOCK_WORDS, AT_ONCE = 500_000, 2_000_000
@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
             hashes, index = WordHash(), shared.value
             for batch in batches:
                 rows, take = [], []
-                for k, t in enumerate(batch.column(1).to_pylist()):
+                for k, t in enumerate(each(batch.column(1))):
                     found = index.find(hashes.of(t.lower().split())) if t else []
                     by_item = defaultdict(list)
                     for ident, a, b, d in found:
@@ -232,7 +232,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, index = WordHash(), shared.value
             for batch in batches:
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                texts = each(batch.column(at).cast(pa.binary()))
                 yield batch.filter(pa.array([not t or not index.find(hashes.of(t.lower().split())) for t in texts], pa.bool_()))
 
         return run

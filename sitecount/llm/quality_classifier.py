@@ -7,7 +7,7 @@ on that table estimates how often each labeller votes what on good and on bad do
 The scorer is a logistic regression on hashed features of words (the word, its ending and its shape), averaged over a
 document's words, and one of how many of them repeat the one before. A document's score is the mean of its words' scores and that of its
 echoes, passed through the logistic function. It is fitted to posteriors on
-a bounded sample, ``SAMPLE`` documents at most in expectation, picked by a hash of the id, of which only hashed features reach the driver.
+a bounded sample, ``SAMPLE`` different rows (id and text) at most, those with the least hashes, of which only hashed features reach the driver.
 All documents are scored, whole.
 
 Null text counts as empty; documents without words get score 0 and aren't kept. Repeated rows get the same score each. An
@@ -26,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import each
 from .quality_rules import STOP_WORDS, SYMBOLS
 
-#: Documents of the fitting sample, in expectation; hashed features; passes of the two fits.
+#: Rows of the fitting sample at most; hashed features; passes of the two fits.
 SAMPLE, FEATURES, EM_ROUNDS, FIT_ROUNDS = 3000, 1 << 15, 60, 250
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _SYMBOL = frozenset(SYMBOLS.encode())
@@ -163,14 +164,14 @@ class Scorer(dict):
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = Counter(code(votes(t or b"")) for t in batch.column(0).to_pylist())
+        found = Counter(code(votes(t or b"")) for t in each(batch.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pattern, buckets, values = [], [], []
-        for t in batch.column(0).to_pylist():
+        for t in each(batch.column(0)):
             words = t.split() if t else []
             if not words:
                 continue
@@ -181,14 +182,22 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["pattern", "buckets", "v"])
 
 
+def sampled(docs: DataFrame, total: int, sample: int, id_col: str, text: str) -> DataFrame:
+    """(t) of at most ``sample`` different rows, those with the least hashes of id and text. Of ``total`` rows, only about as many as are wanted are
+    brought together, however often a row is repeated and whether or not rows have ids."""
+    t = F.col(f"`{text}`")
+    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), t).alias("place"), t.cast("binary").alias("t"))
+    part = min(1.0, 1.1 * sample / max(1, total) + 1e-9)
+    few = rows.where(F.shiftrightunsigned("place", 11).cast("double") / float(1 << 53) < part)
+    return few.groupBy("place").agg(F.min("t").alias("t")).orderBy(F.shiftrightunsigned("place", 1), "place").limit(sample).select("t")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights and bias of the scorer, and the labellers' table."""
     t = F.col(f"`{text}`").cast("binary").alias("t")
-    counts = {r.pattern: r.n for r in docs.select(t).mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.pattern: r.n for r in docs.select(t).mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}  # at most 3 ** LABELLERS rows
     posterior, table = fit_labellers(counts) if counts else ({}, np.zeros((LABELLERS, 2, 3)))
-    part = min(1.0, sample / max(1, sum(counts.values())))
-    place = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`")), 11).cast("double") / float(1 << 53)
-    rows = docs.where(place < part).select(t).mapInArrow(_sampled, "pattern long, buckets array<long>, v array<double>").collect()
+    rows = sampled(docs, sum(counts.values()), sample, id_col, text).mapInArrow(_sampled, "pattern long, buckets array<long>, v array<double>").collect()
     rows.sort(key=lambda r: (r.pattern, r.buckets))
     target = np.array([posterior[r.pattern] for r in rows])
     weights, bias = fit_scorer([(r.buckets, r.v) for r in rows], target) if rows else (np.zeros(FEATURES), 0.0)
@@ -203,7 +212,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
         scorer = Scorer(light)
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            for t in each(batch.column(1)):
                 words = t.split() if t else []
                 z = sum(map(scorer.__getitem__, words)) / len(words) + float(light[echo(words)]) + bias if words else -50.0
                 out.append(round(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))), 6) if words else 0.0)

@@ -19,6 +19,7 @@ ORACLES = {
     "op3_secret_scan": secret_scan.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op7_minhash_dedup": minhash_dedup.ORACLE,
+    "op8_token_counts": token_counts.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_tool_calls": tool_calls.ORACLE,
 }

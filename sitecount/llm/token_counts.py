@@ -21,6 +21,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import each
+
 END = 256
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Words that a worker remembers.
@@ -129,7 +131,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
         counter = Counter(shared.value)
         for batch in batches:
             n_words, n_tokens = [], []
-            for t in batch.column(1).to_pylist():
+            for t in each(batch.column(1)):
                 found = (t.lower() if lower else t).split() if t else []
                 n_words.append(len(found))
                 n_tokens.append(sum(map(counter.__getitem__, found)))
@@ -142,3 +144,22 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Greedy matching done piece by piece: all pieces that start at each place of a word, then the longest one from place to place. ``chr(1)`` ends a word.
+ORACLE = rf"""
+WITH RECURSIVE file AS (SELECT content::JSON AS j FROM read_text('{VOCABULARY}')),
+plain AS (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS prints FROM range(256) AS t(b)),
+letters AS (SELECT list(CASE WHEN prints THEN chr(b::INT) ELSE chr((256 + other)::INT) END ORDER BY b) AS names FROM (SELECT *, count(*) FILTER (NOT prints) OVER (ORDER BY b) - 1 AS other FROM plain)),
+pieces AS (SELECT DISTINCT regexp_replace(piece, '</w>$', chr(1)) AS piece FROM (SELECT unnest(json_keys(j->'model'->'vocab')) AS piece FROM file)
+  WHERE piece NOT IN (SELECT unnest(from_json(j->'$.added_tokens[*].content', '["VARCHAR"]')) FROM file)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+each AS (SELECT r, unnest(w) AS word FROM d),
+spelled AS (SELECT word, array_to_string(list_transform(range(1, octet_length(encode(word)) + 1), lambda i: names[('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::INT + 1]), '') || chr(1) AS s FROM (SELECT DISTINCT word FROM each), letters),
+places AS (SELECT word, s, unnest(range(1, length(s) + 1)) AS i FROM spelled),
+starts AS (SELECT word, i, s, unnest(range(1, least(length(s) - i + 1, (SELECT max(length(piece)) FROM pieces)) + 1)) AS n FROM places),
+best AS (SELECT word, i, max(n) AS n FROM starts JOIN pieces ON substr(s, i, n) = piece GROUP BY ALL),
+walk AS (SELECT word, s, 1::BIGINT AS i, 0 AS done FROM spelled UNION ALL SELECT w.word, w.s, w.i + b.n, done + 1 FROM walk AS w JOIN best AS b ON w.word = b.word AND w.i = b.i),
+counted AS (SELECT word, coalesce(max(done) FILTER (i > length(s)), 1) AS n FROM walk GROUP BY word),
+sums AS (SELECT r, sum(n) AS n FROM each JOIN counted USING (word) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_tokens FROM d LEFT JOIN sums USING (r)"""

@@ -52,3 +52,14 @@ def test_held_out_accuracy(spark):
     got = qc.score(docs, weights, bias).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("kept", "quality").collect()
     assert np.mean([r.kept == bool(r.quality) for r in got]) > 0.93
     assert np.mean([r.kept for r in got if r.quality == 1]) > 0.98
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    """Rows without ids, of one id, and one row very many times: never more rows than asked for, and each row at most once."""
+    many = [(None, f"text {k} of its own") for k in range(1500)] + [(7, f"other text {k}") for k in range(1500)] + [(None, "the same row")] * 1500 + [(9, None), (None, "long " * 50_000)]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    got = [bytes(r.t) for r in qc.sampled(docs.where("text IS NOT NULL"), len(many), 100, "doc_id", "text").collect()]
+    assert 40 < len(got) <= 100 and len(set(got)) == len(got)
+    assert qc.sampled(docs, 1, 5000, "doc_id", "text").count() == 3003
+    weights, bias, _ = qc.fit(docs, sample=100)
+    assert qc.score(docs, weights, bias).count() == len(many)

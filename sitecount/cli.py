@@ -11,8 +11,14 @@ from .plans.pileup import Config
 from .schema import DEFAULT_EXCLUDED, CountingError, flag_mask, format_options
 
 
+class _Parser(argparse.ArgumentParser):
+    def error(self, message: str):
+        self.print_usage(sys.stderr)
+        self.exit(1, f"{self.prog}: error: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="sitecount", description="Count bases by site and strand.")
+    p = _Parser(prog="sitecount", description="Count bases by site and strand.")
     p.add_argument("-i", "--input", required=True, help="SAM or BAM file")
     p.add_argument("-r", "--reference", required=True, help="FASTA file")
     p.add_argument("-o", "--output", help="output file; standard output if not given")

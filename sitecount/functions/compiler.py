@@ -227,9 +227,16 @@ class Compiler:
             pattern = java_pattern(args[1][1])
             v = opened(self.compile(args[0]))
             return v.map(lambda k, c: self._fail("bool") if k in ("nil", "bool") else Value.of("bool", never() if pattern is None else text_of(k, c).rlike(pattern)))
+        from .strings import BY_LITERAL  # it builds on this module
+
+        if short in BY_LITERAL:
+            return BY_LITERAL[short](self, args)
         if short not in FUNCTIONS:
             raise UnsupportedExpression(f"unknown function {name!r}")
-        return FUNCTIONS[short](self, [opened(self.compile(a)) for a in args])
+        return FUNCTIONS[short](self, [self.opened(a) for a in args])
+
+    def opened(self, node: tuple) -> Value:
+        return opened(self.compile(node))
 
     def each(self, values: list[Value], f: Callable[..., Value]) -> Value:
         """Apply f to (kind, column) of every argument, over all alternatives."""
@@ -395,16 +402,29 @@ def _repeat(self: Compiler, values: list[Value]) -> Value:
     return self.each(values[:2], lambda s, n: self._whole(*n, lambda x: Value.of("str", F.repeat(s[1], F.greatest(x, F.lit(0)).cast("int")))) if s[0] == "str" else self._fail("str"))
 
 
-def _find(self: Compiler, values: list[Value]) -> Value:
-    """Plain text only: its first place or nil."""
+def _char(self: Compiler, values: list[Value]) -> Value:
+    """The text of ASCII codes; others fail."""
 
-    def run(s, p):
-        if s[0] != "str" or p[0] != "str":
-            return self._fail("int")
-        at = F.locate_column(s[1], p[1]) if hasattr(F, "locate_column") else F.call_function("locate", p[1], s[1])
-        return choose(at > 0, Value.of("int", at.cast("bigint")), Value.of("nil"))
+    def run(*args):
+        def joined(done: list[Column], rest: list, bad: Column) -> Value:
+            if not rest:
+                return Value.of("str", F.concat(F.lit(""), *done), bad)
+            return self._whole(*rest[0], lambda x: joined([*done, F.call_function("char", F.when((x >= 0) & (x < 128), x).otherwise(32))], rest[1:], bad | (x < 0) | (x > 127)))
 
-    return self.each(values[:2], run)
+        return joined([], list(args), never())
+
+    return self.each(values, run)
+
+
+def _below(self: Compiler, values: list[Value]) -> Value:
+    """Whether one whole number is below another, both taken as without a sign."""
+    least = F.lit(-(1 << 63)).cast("bigint")
+    return self.each(values[:2], lambda a, b: self._whole(*a, lambda x: self._whole(*b, lambda y: Value.of("bool", x.bitwiseXOR(least) < y.bitwiseXOR(least)))))
+
+
+def _whole_part(self: Compiler, values: list[Value]) -> Value:
+    """Toward zero; a whole number stays one, others give a float."""
+    return values[0].map(lambda k, c: Value.of("int", c) if k == "int" else self._numeric(k, c, lambda x: Value.of("float", F.when(F.abs(x) == float("inf"), x).when(x < 0, F.ceil(x).cast("double")).otherwise(F.floor(x).cast("double")))))
 
 
 def _tostring(self: Compiler, values: list[Value]) -> Value:
@@ -473,7 +493,7 @@ FUNCTIONS: dict[str, Callable] = {
     "smin": _extreme(F.least, _byte_extreme(F.array_min)), "smax": _extreme(F.greatest, _byte_extreme(F.array_max)),
     "savg": _mean, "avg": _mean, "slen": _length, "length": _length, "string.len": _length,
     "n5": _n_part(False), "n3": _n_part(True), "n_proportion_5_prime": _n_part(False), "n_proportion_3_prime": _n_part(True),
-    "string.lower": _string(F.lower), "string.upper": _string(F.upper), "string.reverse": _string(F.reverse), "string.rep": _repeat, "string.sub": _sub, "string.byte": _byte, "string.find": _find,
+    "string.lower": _string(F.lower), "string.upper": _string(F.upper), "string.reverse": _string(F.reverse), "string.rep": _repeat, "string.sub": _sub, "string.byte": _byte, "string.char": _char, "math.ult": _below, "math.modf": _whole_part,
     "tostring": _tostring, "tonumber": _tonumber, "type": _type,
 }
 

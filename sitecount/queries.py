@@ -77,6 +77,12 @@ for _name, _expression, _sql in (
     ("expr_base_strand", "base == 'A' or base == 'G'", "CASE WHEN s = 1 THEN b IN (3, 1) ELSE b IN (0, 2) END"),
     ("expr_ref_mismatch", "ref == 'A' and strand > 0 or base ~= ref and strand < 0", "(ref = 'A' AND s = 0) OR (s = 1 AND substr('TGCA', (b + 1)::INT, 1) <> ref)"),
     ("expr_strings", "string.upper(rname) .. '/' .. mapq == 'C1/' .. tostring(mapq) or string.sub(qname, -1) == '3'", "cid = 1 OR right(qname, 1) = '3'"),
+    ("expr_find", "string.find(rname, '^c[02]') ~= nil and (string.find(qname, '[1-4]', 3) or 9) < 5 or string.find(qname, '_', 1, true) == 4",
+     "(cid IN (0, 2) AND regexp_matches(qname, '^..[^1-4]{0,1}[1-4]')) OR strpos(qname, '_') = 4"),
+    ("expr_match", "tonumber(string.match(qname, '^q(%d+)')) % 3 == 1 and string.match(qname, '%a_') == nil", "frag % 3 = 1"),
+    ("expr_gsub", "string.gsub(qname, '(%d)%d*', '<%1>') == 'q<1>' or string.gsub(rname, 'c', 'chr') == 'chr2'", "regexp_matches(qname, '^q1[0-9]*$') OR cid = 2"),
+    ("expr_format", "string.format('%s:%05d:%.2f|%x', rname, mapq, bq / 4, 255) == 'c1:00' .. string.format('%03d', mapq) .. ':' .. string.format('%.2f|ff', bq / 4) and bq > 9", "cid = 1 AND bq > 9"),
+    ("expr_char_ult", "string.char(99, 48 + tid) == rname and math.ult(mapq, -1) and not math.ult(-1, mapq) and math.modf(bq / 4) == 5", "bq // 4 = 5"),
     ("expr_not_precedence", "not (mapq >= 20) or !(bq < 10)", "mapq < 20 OR bq >= 10"),
     ("expr_float_router", "mapq / 4", "TRUE_FLOAT"),
 ):

@@ -73,7 +73,7 @@ def observations(reads: DataFrame, config: Tiers) -> DataFrame:
     df = with_rivals(reads.withColumn("s", strand(F.col("flag"))).where(skip_reason(config).isNull()).withColumn("ok", F.lit(True)))
     rows = positions(df).where(F.col("kind") == BASE)
     left, right = F.when(F.col("s") == 1, config.trim_end).otherwise(config.trim_start), F.when(F.col("s") == 1, config.trim_start).otherwise(config.trim_end)
-    rows = rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right)).withColumn("bq", F.coalesce(F.get("qual", F.col("qpos")), F.lit(0))).where(F.col("bq") >= config.min_baseq)
+    rows = rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right)).withColumn("bq", F.greatest("bq", F.lit(0))).where(F.col("bq") >= config.min_baseq)
     code = base_index(F.col("letter")) * 2 + F.col("s")
     order = F.shiftleft(F.col("bq").cast("bigint"), 40).bitwiseOR(F.shiftleft(F.lit(LAST) - F.col("rank").cast("bigint"), CODE_BITS)).bitwiseOR(code.cast("bigint"))
     best = best_by_name(rows, code, order, CODE_BITS)

@@ -28,7 +28,7 @@ def alternative_counts_by_base(reads: DataFrame, ref_base: str, mut_base: str, m
     """The same without a reference: trimmed bases of good quality that are either letter."""
     rows = _aligned(reads)
     left, right = F.when(F.col("s") == 1, trim_end).otherwise(trim_start), F.when(F.col("s") == 1, trim_start).otherwise(trim_end)
-    good = F.coalesce(F.get("qual", F.col("qpos")), F.lit(0)) >= min_baseq
+    good = F.greatest("bq", F.lit(0)) >= min_baseq
     return _by_read(rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right) & good), ref_base, mut_base)
 
 

@@ -45,10 +45,11 @@ def stretches(cigar: Column) -> Column:
 
 
 def positions(reads: DataFrame) -> DataFrame:
-    """A row for each reference position of each read, with ``kind``, ``rpos``, ``qpos`` (null without a base), ``letter`` (upper case, empty without a base) and the read's columns.
+    """A row for each reference position of each read, with ``kind``, ``rpos``, ``qpos`` (null without a base), ``letter`` (upper case, empty without a base), ``bq`` (-1 if not known) and the read's columns.
 
     ``reads`` has ``ok``, whether it passes the flag gates; all positions of one that doesn't are of kind FAIL. Bases past the end of the sequence are left out.
-    Each stretch of the sequence is cut into letters once, so the work is linear in a read's length.
+    Each stretch of the sequence is cut into letters once, so the work is linear in a read's length; what follows needs no sequence or qualities of whole
+    reads, which are not carried into joins and windows.
     """
     each = reads.withColumn("qlen", query_length(F.col("seq"))).select("*", F.inline(stretches(F.col("cigar"))).alias("_op", "_q", "_r", "_len"))
     both = F.col("_op").isin(*CONSUMES_BOTH)
@@ -57,7 +58,8 @@ def positions(reads: DataFrame) -> DataFrame:
     own = F.split(F.upper(F.substring(F.col("seq"), F.col("_q") + 1, F.col("_len"))), "")
     each = each.withColumn("_letters", F.when(F.col("kind") == BASE, own).otherwise(F.array_repeat(F.lit(""), F.col("_len"))))
     each = each.select("*", F.posexplode("_letters").alias("_k", "letter"))
-    return each.withColumn("rpos", F.col("pos") + F.col("_r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_q") + F.col("_k"))).drop("_op", "_q", "_r", "_len", "_letters", "_k")
+    each = each.withColumn("rpos", F.col("pos") + F.col("_r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_q") + F.col("_k")))
+    return each.withColumn("bq", F.coalesce(F.get("qual", F.col("qpos")), F.lit(-1))).drop("_op", "_q", "_r", "_len", "_letters", "_k")
 
 
 def base_index(letter: Column) -> Column:
@@ -126,14 +128,10 @@ def read_scope(bases: bool = True) -> dict[str, tuple[str, Column]]:
         far = c("qlen") - c("qpos")
         one |= {
             "qpos QPOS": ("int", long(c("qpos"))),
-            "bq BQ baseq": ("int", long(base_quality())),
+            "bq BQ baseq": ("int", long(c("bq"))),
             "base BASE": ("str", F.when(c("s") == 1, complement(letter)).otherwise(letter)),
             "ref REF": ("str", c("ref")),
             "dist5 DIST5 distance_from_5prime": ("int", long(F.when(reverse, far).otherwise(c("qpos")))),
             "dist3 DIST3 distance_from_3prime": ("int", long(F.when(reverse, c("qpos")).otherwise(far))),
         }
     return {name: v for group, v in one.items() for name in group.split()}
-
-
-def base_quality() -> Column:
-    return F.coalesce(F.get("qual", F.col("qpos")), F.lit(-1))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.compiler import Compiler, by_base, passes, slot, tag_names, uses_reference
 from ..functions.language import parse
 from ..schema import BASES, COUNTS, DEFAULT_EXCLUDED, EVENTS, SLOTS
-from .bases import BASE, base_index, base_quality, passes_flags, positions, read_scope, reference_length, strand
+from .bases import BASE, base_index, passes_flags, positions, read_scope, reference_length, strand
 from .reference import with_reference
 from .regions import overlapping, reads_touching, within
 
@@ -119,7 +119,7 @@ def packed() -> Column:
     """The number whose maximum is the best base of a read name at a position; its low bits say what is counted."""
     long = lambda c: c.cast("bigint")
     first = F.when(F.col("flag").bitwiseAND(64) != 0, 1).otherwise(0)
-    best = F.shiftleft(long(F.col("mapq")), 49).bitwiseOR(F.shiftleft(long(first), 48)).bitwiseOR(F.shiftleft(long(base_quality() + 1), 39))
+    best = F.shiftleft(long(F.col("mapq")), 49).bitwiseOR(F.shiftleft(long(first), 48)).bitwiseOR(F.shiftleft(long(F.col("bq") + 1), 39))
     return best.bitwiseOR(F.shiftleft(F.lit(_ORD) - long(F.col("rank")), CODE_BITS)).bitwiseOR(long(_code()))
 
 

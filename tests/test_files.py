@@ -177,6 +177,30 @@ def test_streamed_counts_match_the_batch(spark, files):
     assert got == want
 
 
+def test_arrivals_match_mates_within_a_file(spark, files, tmp_path):
+    from sitecount.streaming.directory import count_arrivals, stream_sam, totals
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sam").write_text(open(files["sam"]).read())
+    contigs = open_reads(spark, files["sam"])[1]
+    out, how = str(tmp_path / "out"), {"checkpoint": str(tmp_path / "state"), "availableNow": True}
+    count_arrivals(stream_sam(spark, str(tmp_path / "in"), contigs), out, **how).awaitTermination()
+    want = {(r.pos, r.s): tuple(r[4:]) for r in site_table(open_reads(spark, files["sam"])[0], read_reference(spark, files["fa"]), Config()).drop("ref", "motif").collect()}
+    got = {(r.pos, r.s): tuple(r[4:]) for r in totals(spark, out).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 80} == want
+    (tmp_path / "in" / "b.sam").write_text(open(files["sam"]).read())
+    count_arrivals(stream_sam(spark, str(tmp_path / "in"), contigs), out, **how).awaitTermination()
+    assert {(r.pos, r.s): tuple(r[4:]) for r in totals(spark, out).collect()} == {k: tuple(2 * x for x in v) for k, v in got.items()}
+
+
+def test_plan_of_a_file_in_parts(spark, files):
+    """Reads of a name meet in one window over reads; all aggregates are hash aggregates, and none before the last two is keyed by name outside of overlaps."""
+    sites = count_sites(spark, files["bam"], files["fa"])
+    plan = sites._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and plan.count("HashAggregate") >= 6
+    assert plan.count("Window") >= 1 and "hashpartitioning(tid" in plan and "CASE WHEN" in plan
+
+
 def test_metamorphic(spark, files):
     whole = count_sites(spark, files["t_bam"], files["t_fa"], Config(read_filter="mapq % 4"))
     total = lambda df: df.agg(F.sum(sum((F.col(f"{b}{k}") for b in "acgtn" for k in range(4)), F.lit(0)))).first()[0]

@@ -55,13 +55,16 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """The rows, from a Parquet table in the shared folder: their lineage is cut, and lost executors cost nothing that was done before.
 
-    The table goes when the session ends, or with ``drop``.
+    ``slim`` is for tables of a few numbers a row, without texts or sketches: they are written by fewer tasks, in proportion to the cluster, as
+    their many steps would else be spent on opening files. The table goes when the session ends, or with ``drop``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if slim:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     release(spark)
     fs, at = _hadoop(spark, path)

@@ -15,17 +15,17 @@ from .common import drop, written
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    out = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", slim=True)
+    out = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large", slim=True)
     drop(least)
     return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Edges run from the larger node u to the smaller one v."""
-    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least", slim=True)
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    out = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", slim=True)
     drop(least)
     return out
 
@@ -37,7 +37,7 @@ def _mark(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (x, y: long); the component is its least node. Loops and repeated links don't matter."""
     high, low = F.greatest("x", "y"), F.least("x", "y")
-    edges = written(links.where("x <> y").select(high.alias("u"), low.alias("v")).distinct(), "edges")
+    edges = written(links.where("x <> y").select(high.alias("u"), low.alias("v")).distinct(), "edges", slim=True)
     mark = _mark(edges)
     while mark[0]:
         large = _large(edges)

@@ -214,14 +214,14 @@ def crowded(there: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
     Differences are taken in the order of their frequency in the crowd, so that a pair is met by few rare ones, and a place in that order bounds how many two sets can still share.
     """
-    crowd = written(components(there.select(F.col("node").alias("x"), F.col("least").alias("y"))), "crowds")
+    crowd = written(components(there.select(F.col("node").alias("x"), F.col("least").alias("y"))), "crowds", slim=True)
     weight = there.groupBy("node", "c").agg(F.sum("many").alias("met")).join(crowd, "node").withColumnRenamed("component", "crowd")
-    weight = written(weight, "weights")
-    lead = written(weight.groupBy("crowd").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("best")).select("crowd", (-F.col("best.node")).alias("pivot")), "leads")
+    weight = written(weight, "weights", slim=True)
+    lead = written(weight.groupBy("crowd").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("best")).select("crowd", (-F.col("best.node")).alias("pivot")), "leads", slim=True)
     found = written(differences(weight.join(lead, "crowd").select("crowd", "node", "c", "pivot"), sets, percent), "differences")
     links = found.where("NOT guest AND node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y"))
     each = found.select("crowd", "node", F.explode("tokens").alias("token"))
-    rarity = written(each.groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity")
+    rarity = written(each.groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "rarity", slim=True)
     # a difference that one set alone has comes first and meets nothing
     shared = each.join(rarity, ["crowd", "token"])
     own = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
@@ -235,19 +235,19 @@ def crowded(there: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     able = enough & (F.col("c_x") != F.col("c_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
     on = (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.token") == F.col("y.token")) & able
     pairs = x.alias("x").join(y.alias("y"), on).select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
-    return links, written(pairs, "pairs")
+    return links, written(pairs, "pairs", slim=True)
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after more links; ``labels`` has the nodes that were linked before."""
     if labels is None:
-        return written(components(links), "labels")
+        return written(components(links), "labels", slim=True)
     x, y = (labels.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "xy")
     between = links.join(x, "x", "left").join(y, "y", "left").select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y"))
-    tops = written(components(between), "tops")
+    tops = written(components(between), "tops", slim=True)
     up = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
     moved = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return written(moved.unionByName(tops.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")), "labels")
+    return written(moved.unionByName(tops.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")), "labels", slim=True)
 
 
 def _across(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -267,18 +267,18 @@ def linked_classes(reps: DataFrame, docs: DataFrame, size: int, percent: int) ->
     made = [shared, members, met, sets]
 
     def linked(pairs: DataFrame) -> DataFrame:
-        able = written(likely(pairs, met, percent), "likely")
-        out = written(confirmed(able, sets, percent), "links")
+        able = written(likely(pairs, met, percent), "likely", slim=True)
+        out = written(confirmed(able, sets, percent), "links", slim=True)
         drop(able)
         made.append(out)
         return out
 
     def mixed() -> DataFrame:
         """(key, node, c, many, least, drawn) of buckets with several components."""
-        named = written(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "named")
+        named = written(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "named", slim=True)
         keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.xxhash64("key", "node")).alias("drawn"), F.count(F.lit(1)).alias("many"), F.min("node").alias("least"))
-        keys = written(keys.where("lo < hi").drop("lo", "hi"), "mixed")
-        out = written(named.join(keys, "key"), "there")
+        keys = written(keys.where("lo < hi").drop("lo", "hi"), "mixed", slim=True)
+        out = written(named.join(keys, "key"), "there", slim=True)
         drop(named, keys)
         made.append(out)
         return out
@@ -291,7 +291,7 @@ def linked_classes(reps: DataFrame, docs: DataFrame, size: int, percent: int) ->
     there = mixed()
     if not there.isEmpty():
         lead = there.where(F.xxhash64("key", "node") == F.col("drawn")).select("key", F.col("node").alias("other"), F.col("c").alias("d"))
-        labels = _merged(labels, linked(_across(there.select("key", "node", "c"), written(lead, "drawn"))))
+        labels = _merged(labels, linked(_across(there.select("key", "node", "c"), written(lead, "drawn", slim=True))))
         # 3: all that are left
         there = mixed()
         few = there.where(F.col("many") <= FEW).select("key", "node", "c")

@@ -23,7 +23,7 @@ def reference(spark: SparkSession) -> DataFrame:
 
 
 def _ref_index(p: Column, cid: Column) -> Column:
-    return (p * 7 + F.floor(p / 3) + cid * 5) % 4
+    return (p * 7 + (p - p % 3) / 3 + cid * 5).cast("long") % 4
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,17 +39,18 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     for step, bit in ((23, 1024), (29, 512), (31, 256)):
         flag = flag + F.when(r % step == 0, bit).otherwise(0)
     shape = F.element_at(F.array(*[F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("len")) for op, n in s]) for s in SHAPES]), (r % 5 + 1).cast("int"))
-    # the offset of an aligned base from the read's start, by shape
-    shift = {0: lambda q: q, 1: lambda q: q - 5, 2: lambda q: F.when(q < 10, q).otherwise(q + 2), 3: lambda q: F.when(q < 10, q).otherwise(q - 3), 4: lambda q: F.when(q < 12, q).otherwise(q + 4)}
+    # an aligned base's offset from the read's start: the place in the read and a shift, one before and one after the shape's indel
+    by_shape = lambda values: F.element_at(F.array(*map(F.lit, values)), (r % 5 + 1).cast("int"))
+    out = out.withColumns({"_cut": by_shape((0, 0, 10, 10, 12)), "_first": by_shape((0, 0, 0, 0, 0)), "_rest": by_shape((0, -5, 2, -3, 4))})
 
     def letter(q: Column) -> Column:
-        at = F.coalesce(*[F.when(r % 5 == k, f(q)) for k, f in shift.items()])
-        index = (_ref_index(F.greatest(F.col("pos") + at, F.lit(0)), F.col("cid")) + F.when((r * 7 + q * 3) % 11 == 0, 1).otherwise(0)) % 4
+        p = F.greatest(F.col("pos") + q + F.when(q < F.col("_cut"), F.col("_first")).otherwise(F.col("_rest")), F.lit(0)).cast("long")
+        index = (_ref_index(p, F.col("cid")) + F.when((r * 7 + q * 3) % 11 == 0, 1).otherwise(0)) % 4
         return F.when((r * 5 + q) % 97 == 0, "N").otherwise(F.substring(F.lit("ACGT"), (index + 1).cast("int"), F.lit(1)))
 
+    places = F.sequence(F.lit(0), F.lit(READ - 1))
     paired = ~single
     there = ((frag * 37) % 400 + (1 - mate) * (frag % 41)).cast("int")
-    places = F.sequence(F.lit(0), F.lit(READ - 1))
     none = F.lit(None)
     tag = lambda v: F.struct(F.lit("i").alias("t"), v.cast("long").alias("i"), none.cast("double").alias("f"), none.cast("string").alias("s"))
     tags = F.map_from_entries(F.concat(F.when(r % 10 != 9, F.array(F.struct(F.lit("NS").alias("k"), tag(r % 4).alias("v")))).otherwise(F.array()), F.array(F.struct(F.lit("Yf").alias("k"), tag(r % 3).alias("v")), F.struct(F.lit("Zf").alias("k"), tag(r % 6).alias("v")))))

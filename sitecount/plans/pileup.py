@@ -4,7 +4,7 @@ Reads of one name meet once, as reads: a window over (contig, name) gives each i
 cover the same positions. One generator unnests the reads. The first aggregate counts what lies outside of that stretch by position
 and code, combined before the shuffle; only inside of it are bases keyed by name, too, and the best one is the largest of packed whole numbers
 (mapping quality, first read, base quality, earliest read; below them what is counted), so that all stays one hash aggregate. Events (deletions,
-skips, rejected reads) never compete. The second counts by position and code, the third lays the codes out as columns.
+skips, rejected reads) never compete. The second lays the codes out as columns.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def sites(reads: DataFrame, reference: DataFrame | None, config: Config) -> Data
     """(tid, contig, pos, s, 20 counts by base and group, del, ref_skip, fail), a row for each position and strand with anything to count."""
     own = gated(reads, config)
     rows = routed(with_rivals(own) if config.dedup else own, reference, config)
-    counted = winners(rows, config.dedup).groupBy("tid", "contig", "rpos", "code").agg(F.sum("n").alias("n"))
+    counted = winners(rows, config.dedup)
     is_base, kind = F.col("code") < 64, F.shiftright(F.col("code"), 1)
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     columns = [total(is_base & (F.col("code").bitwiseAND(62) == g * 16 + b * 2)).alias(f"{BASES[b].lower()}{g}") for b in range(5) for g in range(SLOTS)]

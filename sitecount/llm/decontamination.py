@@ -6,7 +6,8 @@ is a candidate wherever enough of its own stand close enough together to lie in
 nothing within the bound is missed, however long the item and whichever edits it has. Candidates are confirmed by exact
 edit distance (with the best start and end).
 
-Items travel in blocks of bounded size (``BLOCK_WORDS``); documents are scanned once for each block, whole, without a shuffle. An item
+Items travel in blocks of bounded size (``BLOCK_WORDS``), one at a time: it is built on the driver, broadcast, and gone before the next one. Documents are scanned
+once for each block, whole, without a shuffle; where there are several, each scan's result is written. An item
 allows ``floor(L / 5)`` edits, fewer where L < 10 and none where L < 6. ``leaks`` reports items by id and leaves out those with a null one; ``clean`` uses them too. Null and empty texts have no hits.
 Repeated rows get the same hits each; repeated items are reported each.
 """
@@ -14,14 +15,15 @@ Repeated rows get the same hits each; repeated items are reported each.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, each
+from .common import WordHash, drop, each, written
 
 #: Words of a block of items; pairs of a place in a text and an item that are counted at once.
 BLOCK_WORDS, AT_ONCE = 500_000, 2_000_000
@@ -185,9 +187,19 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text: str = "text", li
         yield block
 
 
-def _indexes(spark: SparkSession, benchmark: DataFrame, nameless: bool = False) -> Iterable:
-    for block in blocks(benchmark, nameless=nameless):
-        yield spark.sparkContext.broadcast(Index(block))
+def _passes(spark: SparkSession, benchmark: DataFrame, scan: Callable[[Broadcast], DataFrame], nameless: bool = False) -> Iterator[DataFrame]:
+    """The result of ``scan`` for each block; that of the only one as a plan, those of several as written tables, with one block alive at a time."""
+    found = blocks(benchmark, nameless=nameless)
+    block, following = next(found, None), next(found, None)
+    only = following is None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Index(block))
+        out = scan(shared)
+        if not only:
+            out = written(out, "scanned")
+            shared.destroy()
+        yield out
+        block, following = following, next(found, None)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,8 +229,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         return own.mapInArrow(run, schema)
 
     out = None
-    for shared in _indexes(docs.sparkSession, benchmark):
-        out = scan(shared) if out is None else out.unionByName(scan(shared))
+    for found in _passes(docs.sparkSession, benchmark, scan):
+        out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("id", id_col)
@@ -228,6 +240,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """The rows of ``docs`` in which no item is found, with the columns of ``docs``."""
     at = docs.columns.index(text)
 
+    left = docs
+
     def sift(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, index = WordHash(), shared.value
@@ -235,11 +249,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
                 texts = each(batch.column(at).cast(pa.binary()))
                 yield batch.filter(pa.array([not t or not index.find(hashes.of(t.lower().split())) for t in texts], pa.bool_()))
 
-        return run
+        return left.mapInArrow(run, docs.schema)
 
-    for shared in _indexes(docs.sparkSession, benchmark, nameless=True):
-        docs = docs.mapInArrow(sift(shared), docs.schema)
-    return docs
+    for kept in _passes(docs.sparkSession, benchmark, sift, nameless=True):
+        if left is not docs:
+            drop(left)
+        left = kept
+    return left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,3 +128,40 @@ def test_short_items_and_ones_without_an_id(spark):
     assert got == [(1, 10, "0:2,5:7"), (1, 11, "0:1,5:6"), (2, 12, "1:4"), (2, 13, "0:4"), (3, 12, "0:3"), (4, 11, "0:1")]
     assert dc.clean(docs, bench).count() == 0
     assert [r.doc_id for r in dc.clean(docs, bench.where("item_id IS NULL")).collect() if r.doc_id == 5] == []
+
+
+def test_query_rows_match_an_exhaustive_search(spark):
+    """Each document against each item, at every window: the pairs within the bound, and the least distance."""
+    rnd = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.choice((1, 2, 3, 5, 7, 12, 25)))] for _ in range(14)]
+    texts = []
+    for k in range(60):
+        parts = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 30))]
+        for _ in range(rnd.randrange(0, 3)):
+            ws = rnd.choice(items)
+            parts += changed(rnd, ws, rnd.randrange(0, 1 + dc.allowed(len(ws)) + (k % 4 == 0)), vocabulary) + [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 12))]
+        texts.append(parts)
+    want = {}
+    for d, t in enumerate(texts):
+        for i, ws in enumerate(items):
+            least = min(edit(ws, t[a:b]) for a in range(len(t) + 1) for b in range(a, min(len(t), a + len(ws) + dc.allowed(len(ws))) + 1))
+            if least <= dc.allowed(len(ws)):
+                want[d, i] = least
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.distance for r in dc.leaks(docs, bench).collect()} == want
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == set(range(60)) - {d for d, _ in want}
+
+
+def test_several_blocks_and_a_very_long_text(spark, monkeypatch):
+    rnd = random.Random(4)
+    items = [[f"i{k}w{j}" for j in range(20)] for k in range(9)]
+    long = [f"x{rnd.randrange(500)}" for _ in range(40_000)] + items[3] + ["y"] * 30_000
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(items[8][:19])), (3, "nothing"), (4, " ".join(items[0] + items[5]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(items)], "item_id long, text string").coalesce(1)
+    one = sorted(map(tuple, dc.leaks(docs, bench).collect()))
+    assert [x[:4] for x in one] == [(1, 3, 1, 0), (2, 8, 1, 1), (4, 0, 1, 0), (4, 5, 1, 0)] and one[0][4] == "40000:40020"
+    whole = dc.blocks
+    monkeypatch.setattr(dc, "blocks", lambda b, **how: whole(b, limit=45, **how))
+    assert sorted(map(tuple, dc.leaks(docs, bench).collect())) == one and [r.doc_id for r in dc.clean(docs, bench).collect()] == [3]

@@ -46,10 +46,7 @@ def _literal(schemas: dict) -> Column:
 
 def kind_of(value: Column) -> Column:
     first = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
-    out = F.lit("other")
-    for name, kind in TYPES.items():
-        out = F.when(first == name, F.lit(kind)).otherwise(out)
-    return out
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), first), F.lit("other"))
 
 
 def problems(name: Column, args: Column, schemas: dict) -> Column:
@@ -58,7 +55,8 @@ def problems(name: Column, args: Column, schemas: dict) -> Column:
 
     def field(p):
         value = F.element_at(args, p["name"])
-        wrong = value.isNotNull() & (kind_of(value) != p["type"]) & ~((p["type"] == "number") & (kind_of(value) == "integer"))
+        fitting = F.array(p["type"], F.when(p["type"] == "number", "integer").otherwise(p["type"]))
+        wrong = value.isNotNull() & ~F.array_contains(fitting, kind_of(value))
         return F.when(value.isNull() & p["required"], F.concat(F.lit("missing:"), p["name"])).when(wrong, F.concat(F.lit("type:"), p["name"]))
 
     known = F.transform(spec, lambda p: p["name"])
@@ -82,14 +80,14 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     what a call message says besides its calls, if it says something or makes none."""
     text = F.coalesce("text", F.lit(""))
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")).withColumn("m", tool_message(F.col("text")))
-    is_call, is_result = F.col("m.tool_calls").isNotNull(), F.col("m.tool_call_id").isNotNull()
-    calls = rows.where(is_call).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("place", "c"))
-    calls = calls.select("conv_id", "turn", "place", "c.id", "c.name", F.to_json("c.arguments").alias("arguments"), "c.depends_on")
-    said = F.to_json("m.content")
-    results = rows.where(is_result).select("conv_id", "turn", F.col("m.tool_call_id").alias("id"), said.alias("content"))
-    is_call, is_result = F.coalesce(is_call, F.lit(False)), F.coalesce(is_result, F.lit(False))
-    speaks = is_call & ~is_result & ((F.coalesce(said, F.lit("null")) != "null") | (F.size("m.tool_calls") == 0))
-    content = F.when(is_call, F.coalesce(said, F.lit("null"))).otherwise(quoted(F.col("text")))
+    made = F.transform("m.tool_calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), F.to_json(c["arguments"]).alias("arguments"), c["depends_on"].alias("depends_on")))
+    # parsed once, and written: every part below reads the result
+    rows = written(rows.select("conv_id", "turn", "role", made.alias("calls"), F.col("m.tool_call_id").alias("answers"), F.to_json("m.content").alias("said"), F.when(F.col("m").isNull(), quoted(F.col("text"))).alias("content")), "messages")
+    calls = rows.where("calls IS NOT NULL").select("conv_id", "turn", F.posexplode("calls").alias("place", "c")).select("conv_id", "turn", "place", "c.*")
+    results = rows.where("answers IS NOT NULL").select("conv_id", "turn", F.col("answers").alias("id"), F.col("said").alias("content"))
+    is_call, is_result = F.col("calls").isNotNull(), F.col("answers").isNotNull()
+    speaks = is_call & ~is_result & ((F.coalesce("said", F.lit("null")) != "null") | (F.size("calls") == 0))
+    content = F.when(is_call, F.coalesce("said", F.lit("null"))).otherwise(F.col("content"))
     plain = rows.where(~is_call & ~is_result | speaks).select("conv_id", "turn", "role", content.alias("content"))
     return calls, results, plain
 
@@ -149,7 +147,7 @@ def split(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame
     """The first row of each key by ``order``, with ``same``, how many rows its key has, and the other rows, those without a key among them. Both have ``row``, a number of their own."""
     every = written(rows.withColumn("row", F.monotonically_increasing_id()), name)
     best = every.where(keyed()).groupBy(*KEY).agg(F.min(F.struct(*order, "row")).alias("best"), F.count(F.lit(1)).alias("same"))
-    best = written(best.select(*KEY, F.col("best.row").alias("first"), "same"), f"first_{name}")
+    best = written(best.select(*KEY, F.col("best.row").alias("first"), "same"), f"heads_{name}")
     both = every.join(best, KEY)
     alone = every.where(~keyed()).withColumn("surplus", F.lit(False))
     return both.where("row = first").drop("first"), alone.unionByName(both.where("row <> first").drop("first", "same").withColumn("surplus", F.lit(True)))
@@ -218,6 +216,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     """``format_chat`` rows with ``seq``, their place in the conversation. All rows are sorted by ranges, and a conversation that lies in several
     parts goes on counting where it did in the part before, so that none has to fit a task."""
     order = ["conv_id", F.col("level").asc_nulls_last(), "turn", "place", "json"]
+    rows = written(rows, "formatted")  # sorting by ranges reads its input twice
     every = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
     parts = every.groupBy("conv_id", "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

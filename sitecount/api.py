@@ -21,6 +21,7 @@ from .plans.pileup import Config, site_table
 from .plans.regions import parse_region
 from .schema import InputError, RegionError
 from .sources.bam import read_bam
+from .sources.bam_writer import header_text, write_bam
 from .sources.fasta import read_intervals, read_reference
 from .sources.sam import read_sam
 
@@ -121,14 +122,23 @@ def run_tiers(spark: SparkSession, reads: str, reference: str, out: str | None =
 
 
 def tag_reads(spark: SparkSession, reads: str, out: str, ref_base: str, mut_base: str, reference: str | None = None, region: str | None = None) -> DataFrame:
-    """Write the reads as SAM lines with the tags Yc and Zc: counted at the reference's letters, or without a reference by the bases alone. Returns the tagged reads."""
-    rows, _ = open_reads(spark, reads)
+    """Write the reads with the tags Yc and Zc: counted at the reference's letters, or without a reference by the bases alone. Returns the tagged reads.
+
+    ``out`` is a sorted and indexed file if it ends with .bam, a file with a header if it ends with .sam, else a folder of SAM lines.
+    """
+    rows, contigs = open_reads(spark, reads)
     if reference is None:
         counts, swapped = alternative_counts_by_base(rows, ref_base, mut_base), True
     else:
         counts, swapped = alternative_counts(rows, read_reference(spark, reference), ref_base, mut_base, parse_region(region) if region else None), False
     got = tagged(rows, counts, swapped)
-    sam_lines(got).write.text(out)
+    if out.endswith(".bam"):
+        write_bam(got, contigs, out)
+    elif out.endswith(".sam"):
+        head = header_text([(r.contig, r.length) for r in contigs.orderBy("tid").collect()])
+        write_lines(sam_lines(got).withColumnRenamed("value", "line"), head, out, ordered=True)
+    else:
+        sam_lines(got).write.text(out)
     return got
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +36,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """(contig, start, end) from 0, end exclusive. Three fields are an interval; two, or an end before the start, a position counted from 1; a
-    lone name and comments are nothing."""
+    lone name and comments are nothing. ``-`` is standard input."""
+    lines = spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string") if path == "-" else spark.read.text(path)
     f = F.split(F.trim(F.col("value")), r"\s+")
     start, end = F.get(f, F.lit(1)).try_cast("int"), F.get(f, F.lit(2)).try_cast("int")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.get(f, F.lit(0)).alias("contig"), start.alias("a"), end.alias("b")).where("a IS NOT NULL")
+    rows = lines.where(~F.col("value").startswith("#")).select(F.get(f, F.lit(0)).alias("contig"), start.alias("a"), end.alias("b")).where("a IS NOT NULL")
     point = F.col("b").isNull() | (F.col("b") < F.col("a"))
     return rows.select("contig", F.when(point, F.col("a") - 1).otherwise(F.col("a")).alias("start"), F.when(point, F.col("a")).otherwise(F.col("b")).alias("end"))
 

@@ -93,6 +93,40 @@ def test_bam_ranges_start_at_any_byte(spark, tmp_path):
         assert (region[1] < 20_000) or len(got) < 120
 
 
+def test_written_bam_is_sorted_indexed_and_reads_back(spark, tmp_path):
+    import random
+
+    from sitecount.api import tag_reads
+    from sitecount.sources.bam_writer import bin_of, write_bam
+
+    rnd = random.Random(6)
+    reads = [read(f"r{k}", 0, rnd.randrange(60_000), "".join(rnd.choice("ACGTN") for _ in range(rnd.choice((1, 30, 70_000 if k == 5 else 99)))), contig=rnd.choice(("a", "b")), tags={"NS": k % 7}) for k in range(500)]
+    rows, contigs = read_bam(spark, bam(tmp_path / "in.bam", [("a", 200_000), ("none", 10), ("b", 200_000)], reads))
+    columns = ("qname", "flag", "tid", "contig", "pos", "mapq", "cigar", "mtid", "mpos", "tlen", "seq", "qual", "tags")
+    assert write_bam(rows.repartition(5), contigs, str(tmp_path / "out.bam")) == 500
+    whole, names = read_bam(spark, str(tmp_path / "out.bam"), 5_000)
+    assert names.collect() == contigs.collect()
+    got = whole.orderBy("ord").select(*columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, rows.select(*columns).collect()))
+    assert [(r.tid, r.pos) for r in got] == sorted((r.tid, r.pos) for r in got)
+    for region in (("a", 0, 500), ("b", 30_000, 45_000), ("b", 59_000, 70_000)):
+        found = {r.qname for r in read_bam(spark, str(tmp_path / "out.bam"), 5_000, region)[0].collect()}
+        assert {r.qname for r in got if r.contig == region[0] and r.pos < region[2] and r.pos + len(r.seq) > region[1]} <= found and len(found) < 300
+    assert [bin_of(*x) for x in ((0, 1), (0, 1 << 14), (0, (1 << 14) + 1), (1 << 26, (1 << 26) + 5), (0, 1 << 29))] == [4681, 4681, 585, 4681 + 4096, 0]
+    for name in ("t.bam", "t.sam"):
+        tagged = tag_reads(spark, str(tmp_path / "out.bam"), str(tmp_path / name), "C", "T")
+        back = open_reads(spark, str(tmp_path / name))[0]
+        tags = lambda df: sorted((r.qname, r.tags["Yc"].i, r.tags["Zc"].i, r.tags["XB"].s) for r in df.collect())
+        assert tags(back) == tags(tagged)
+
+
+def test_intervals_from_standard_input(spark, monkeypatch):
+    import io
+
+    monkeypatch.setattr("sys.stdin", io.StringIO("# x\nc0 5 9\nc1 7\n"))
+    assert [tuple(r) for r in read_intervals(spark, "-").collect()] == [("c0", 5, 9), ("c1", 6, 7)]
+
+
 def test_array_tags_are_there_without_a_value(spark, files):
     for expression, depth in (("exists('XB')", 1), ("tag('XB') == nil", 1), ("tag('XB') and 1 or 0", 1), ("not exists('XB')", 0)):
         got = count_sites(spark, files["bam"], files["fa"], Config(read_filter=expression)).where("pos = 6").collect()

@@ -105,7 +105,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows with counts, ``base_failed``, ``failed_rules`` (names, comma-joined) and ``kept``."""
+    """The rows with counts, ``base_failed``, ``failed_rules`` (names, comma-joined) and ``kept``; columns of ``docs`` with these names give way to them."""
     df = counts(docs.drop("base_failed", "failed_rules", "kept"), text)
     compiled = compile_rules(rules)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

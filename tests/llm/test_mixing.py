@@ -76,3 +76,12 @@ def test_many_ranges_take_the_same_documents(spark, monkeypatch):
     got = sorted((str(r.doc_id), r.domain, r.lang, r.source, r.n_tokens, r.n_epochs) for r in mx.mix(docs, F.col("dom"), 0.37, 1, 9, {}).collect())
     assert got == brute(rows, 0.37, 1, 9, {})
     assert mx.mix(docs.limit(0), F.col("dom")).count() == 0
+
+
+def test_very_long_and_repeated_documents(spark):
+    long = "w " * 250_000
+    rows = [(1, long, "d0", "en", "s1"), (1, long, "d0", "en", "s1"), (2, "", "d0", "en", "s1"), (None, "a b", None, None, None), (3, None, "d1", "de", "s1")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dom string, lang string, source string, budget string")
+    for share in (0.4, 1.0, 3.0):
+        got = sorted((str(r.doc_id), r.domain, r.lang, r.source, r.n_tokens, r.n_epochs) for r in mx.mix(docs, F.col("dom"), share, 2, 1, {}).collect())
+        assert got == brute(rows, share, 2, 1, {})

@@ -35,3 +35,13 @@ def test_verdicts_and_kept_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 3]
     assert qr.keep(docs.limit(0)).count() == 0
     assert "symbols_per_word" in qr.score(docs).where("doc_id = 2").first().failed_rules
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    rnd = random.Random(4)
+    long = " ".join(f"w{rnd.randrange(200)}" + ("\n" if k % 40 == 39 else "") for k in range(30_000))
+    one = "x" * 200_000
+    docs = spark.createDataFrame([(1, long, "mine"), (1, long, "mine"), (2, one, None), (None, long, "mine")], "doc_id long, text string, n_lines string")
+    got = [tuple(r[c] for c in qr.COUNTS) for r in qr.score(docs).orderBy(qr.F.col("doc_id").asc_nulls_last()).collect()]
+    assert got == [brute(long), brute(long), brute(one), brute(long)]
+    assert qr.keep(docs).columns == docs.columns

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -83,10 +84,16 @@ def drop(*tables: DataFrame) -> None:
                 fs.delete(at, True)
 
 
+#: Seconds between two collections, and when the last one was.
+_EVERY, _last = 4.0, [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now; without it they stay until the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of finished steps now, every few seconds; without it they stay until the driver's heap fills."""
+    if time.monotonic() - _last[0] >= _EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _last[0] = time.monotonic()
 
 
 def fmix(x: np.ndarray) -> np.ndarray:

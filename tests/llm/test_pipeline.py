@@ -46,5 +46,13 @@ def test_rows_match_stages_done_by_hand(spark, tmp_path, empty):
     assert got == mixed_by_hand(named, mx.SHARE, mx.EPOCHS, mx.SEED, mx.WEIGHTS)
 
 
-def test_stages_keep_the_columns_of_documents(spark):
+def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_dedup", "decontamination", "secret_scan", "mixing"]
+    docs, items = corpus()
+    rows = [(i, t, lang, src, None if t is None else len(t), k) for k, (i, t, lang, src) in enumerate(docs)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node int")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, table, str(tmp_path))
+        assert left.schema == table.schema and 0 < left.count() < len(rows)
+        assert left.exceptAll(table).isEmpty()

@@ -6,24 +6,22 @@ unreadable bases. The SQL twin is in ``oracles.READS`` and ``oracles.entries``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.reference import chunked
 
-CONTIGS, LENGTH, READ = 4, 500, 30
+CONTIGS, LENGTH, READ, CLIP = 4, 500, 30, 5
 #: (operation, length) of each shape.
-SHAPES = (((0, 30),), ((4, 5), (0, 25)), ((0, 10), (2, 2), (0, 20)), ((0, 10), (1, 3), (0, 17)), ((0, 12), (3, 4), (0, 18)))
+SHAPES = (((0, 30),), ((4, CLIP), (0, 25)), ((0, 10), (2, 2), (0, 20)), ((0, 10), (1, 3), (0, 17)), ((0, 12), (3, 4), (0, 18)))
 
 
-def reference(spark: SparkSession) -> DataFrame:
-    rows = spark.range(CONTIGS).select(F.col("id").alias("cid"))
-    seq = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda p: F.substring(F.lit("ACGT"), (_ref_index(p, F.col("cid")) + 1).cast("int"), F.lit(1))), "")
-    return chunked(rows.select(F.concat(F.lit("c"), "cid").alias("contig"), seq.alias("seq")))
+def _letters(cid: int) -> str:
+    return "".join("ACGT"[(p * 7 + p // 3 + cid * 5) % 4] for p in range(LENGTH))
 
 
-def _ref_index(p: Column, cid: Column) -> Column:
-    return (p * 7 + (p - p % 3) / 3 + cid * 5).cast("long") % 4
+def reference(spark: SparkSession) -> DataFrame:
+    return chunked(spark.createDataFrame([(f"c{cid}", _letters(cid)) for cid in range(CONTIGS)], "contig string, seq string"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,16 +37,21 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     for step, bit in ((23, 1024), (29, 512), (31, 256)):
         flag = flag + F.when(r % step == 0, bit).otherwise(0)
     shape = F.element_at(F.array(*[F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("len")) for op, n in s]) for s in SHAPES]), (r % 5 + 1).cast("int"))
-    # an aligned base's offset from the read's start: the place in the read and a shift, one before and one after the shape's indel
+    # a sequence is one or two stretches of the reference: up to the shape's indel, and from there on with a shift; ahead of the reference stand copies of its first letter
     by_shape = lambda values: F.element_at(F.array(*map(F.lit, values)), (r % 5 + 1).cast("int"))
-    out = out.withColumns({"_cut": by_shape((0, 0, 10, 10, 12)), "_first": by_shape((0, 0, 0, 0, 0)), "_rest": by_shape((0, -5, 2, -3, 4))})
-
-    def letter(q: Column) -> Column:
-        p = F.greatest(F.col("pos") + q + F.when(q < F.col("_cut"), F.col("_first")).otherwise(F.col("_rest")), F.lit(0)).cast("long")
-        index = (_ref_index(p, F.col("cid")) + F.when((r * 7 + q * 3) % 11 == 0, 1).otherwise(0)) % 4
-        return F.when((r * 5 + q) % 97 == 0, "N").otherwise(F.substring(F.lit("ACGT"), (index + 1).cast("int"), F.lit(1)))
+    whole = F.element_at(F.array(*[F.lit(_letters(c)[0] * CLIP + _letters(c)) for c in range(CONTIGS)]), (F.col("cid") + 1).cast("int"))
+    out = out.withColumns({"_cut": by_shape((0, 0, 10, 10, 12)), "_rest": by_shape((0, -CLIP, 2, -3, 4)), "_whole": whole})
+    at = F.col("pos") + CLIP + 1
+    out = out.withColumn("_seq", F.concat(F.substring(F.col("_whole"), at, F.col("_cut")), F.substring(F.col("_whole"), at + F.col("_cut") + F.col("_rest"), READ - F.col("_cut"))))
+    # every eleventh base is the next letter, from the place where (7 rid + 3 place) % 11 is 0; 4 is the inverse of 3
+    first = ((11 - (r * 7) % 11) * 4 % 11).cast("int")
+    seq = F.rpad("_seq", 100, "-")  # room for changes beyond the end, which are cut off
+    for step in range(0, READ, 11):
+        place = first + step + 1
+        seq = F.overlay(seq, F.translate(F.substring(F.col("_seq"), place, F.lit(1)), "ACGT", "CGTA"), place)
+    seq = F.substring(F.overlay(seq, F.lit("N"), ((97 - (r * 5) % 97) % 97 + 1).cast("int")), 1, READ)
+    qualities = F.element_at(F.array(*[F.array(*[F.lit((k + q * 17) % 40 + 2) for q in range(READ)]) for k in range(40)]), ((r * 31) % 40 + 1).cast("int"))
 
-    places = F.sequence(F.lit(0), F.lit(READ - 1))
     paired = ~single
     there = ((frag * 37) % 400 + (1 - mate) * (frag % 41)).cast("int")
     none = F.lit(None)
@@ -67,7 +70,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(paired, F.concat(F.lit("c"), "cid")).otherwise("").alias("mcontig"),
         F.when(paired, there).otherwise(-1).alias("mpos"),
         F.when(paired, (1 - 2 * mate) * (frag % 41 + READ)).otherwise(0).cast("int").alias("tlen"),
-        F.array_join(F.transform(places, letter), "").alias("seq"),
-        F.transform(places, lambda q: ((r * 31 + q * 17) % 40 + 2).cast("int")).alias("qual"),
+        seq.alias("seq"),
+        qualities.alias("qual"),
         tags.alias("tags"),
     )

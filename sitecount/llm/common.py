@@ -11,7 +11,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +72,25 @@ def written(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    for made in _scopes[-1:]:
+        made.append(out)
     return out
 
 
+_scopes: list[list] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list]:
+    """The tables that are ``written`` meanwhile, for ``drop``."""
+    made: list = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete ``written`` tables that nothing reads any more."""
     for df in tables:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop, written
+from .common import drop, scratch, written
 
 #: Types of JSON values by the first word of the variant type's name.
 TYPES = {"BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "STRING": "string", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array", "VOID": "null"}
@@ -171,12 +171,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """Every call and every result that isn't in a call's row: conv_id, level, turn, place, kind, id, status and json."""
     first, lone = split(calls, "calls", "turn", "place", "name", "arguments", "depends_on")
     answer, late = split(results, "results", "turn", "content")
-    first = written(first, "first_calls")
-    levelled = levels(first)
+    places = written(first.select(*KEY, "turn", "place", "depends_on"), "first_calls")  # texts stay behind
+    levelled = levels(places)
     said = F.struct(F.col("turn").alias("result_turn"), "content").alias("r")
     called = first.select(*KEY, "turn", "place", "name", "arguments", "same").join(levelled, KEY, "left")
     both = called.join(answer.select(*KEY, said, F.col("same").alias("answers")).hint("shuffle_hash"), KEY, "full_outer").withColumn("surplus", F.lit(False))
-    own = waits(lone, first, levelled).select(*KEY, "turn", "place", "name", "arguments", F.lit(1).cast("long").alias("same"), "level", "missing", "surplus")
+    own = waits(lone, places, levelled).select(*KEY, "turn", "place", "name", "arguments", F.lit(1).cast("long").alias("same"), "level", "missing", "surplus")
     both = both.unionByName(own, allowMissingColumns=True)
     both = both.unionByName(late.select(*KEY, said, F.lit(1).cast("long").alias("answers"), "surplus"), allowMissingColumns=True)
     args = F.when(F.col("arguments").startswith("{"), F.from_json("arguments", "map<string,variant>"))
@@ -216,10 +216,11 @@ def numbered(rows: DataFrame) -> DataFrame:
     """``format_chat`` rows with ``seq``, their place in the conversation. All rows are sorted by ranges, and a conversation that lies in several
     parts goes on counting where it did in the part before, so that none has to fit a task."""
     order = ["conv_id", F.col("level").asc_nulls_last(), "turn", "place", "json"]
-    rows = written(rows, "formatted")  # sorting by ranges reads its input twice
+    rows = rows if hasattr(rows, "_table") else written(rows, "formatted")  # sorting by ranges reads its input twice
     every = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
     parts = every.groupBy("conv_id", "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drop(rows)
     parts = written(parts.select(F.col("conv_id").alias("_conv"), F.col("_part").alias("_p"), "_from", before.alias("_before")), "parts")
     both = every.join(parts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_p")))
     return both.withColumn("seq", (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_conv", "_p", "_from", "_before")
@@ -251,8 +252,10 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = numbered(format_chat(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), duplicates=True))
-    return rows.select("conv_id", "seq", "level", "turn", "place", "kind", "call_id", "status", "n_ignored", "json")
+    with scratch() as made:
+        rows = written(format_chat(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), duplicates=True), "formatted")
+    drop(*(t for t in made if t is not rows))
+    return numbered(rows).select("conv_id", "seq", "level", "turn", "place", "kind", "call_id", "status", "n_ignored", "json")
 
 
 ORACLE = """

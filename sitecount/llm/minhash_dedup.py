@@ -296,8 +296,12 @@ def linked_classes(reps: DataFrame, docs: DataFrame, size: int, percent: int) ->
         there = mixed()
         few = there.where(F.col("many") <= FEW).select("key", "node", "c")
         pairs = _across(few, few.select("key", F.col("node").alias("other"), F.col("c").alias("d")))
-        links, more = crowded(there.where(F.col("many") > FEW), sets, percent)
-        labels = _merged(labels, linked(pairs.unionByName(more).distinct()).unionByName(links))
+        many = there.where(F.col("many") > FEW)
+        if many.isEmpty():
+            labels = _merged(labels, linked(pairs))
+        else:
+            links, more = crowded(many, sets, percent)
+            labels = _merged(labels, linked(pairs.unionByName(more).distinct()).unionByName(links))
     drop(*made)
     return labels
 

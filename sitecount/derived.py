@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .plans.reference import chunked
 
 CONTIGS, LENGTH, READ, CLIP = 4, 500, 30, 5
+#: Reads that one task unnests at most, about.
+PART = 1 << 17
 #: (operation, length) of each shape.
 SHAPES = (((0, 30),), ((4, CLIP), (0, 25)), ((0, 10), (2, 2), (0, 20)), ((0, 10), (1, 3), (0, 17)), ((0, 12), (3, 4), (0, 18)))
 
@@ -21,15 +23,22 @@ def _letters(cid: int) -> str:
 
 
 def reference(spark: SparkSession) -> DataFrame:
-    return chunked(spark.createDataFrame([(f"c{cid}", _letters(cid)) for cid in range(CONTIGS)], "contig string, seq string"))
+    """Four short contigs, broadcast: Spark doesn't know the size of rows from Python, and would sort all reads for the join."""
+    return F.broadcast(chunked(spark.createDataFrame([(f"c{cid}", _letters(cid)) for cid in range(CONTIGS)], "contig string, seq string")))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many parts the reads go, by their number, which Parquet's footers tell: what a task holds doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // PART))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("rid")
     ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("rid"))
-    # a few bytes become a read: spread them before they grow, as one file's part holds very many
-    ids = ids.repartition(spark.sparkContext.defaultParallelism)
-    ids = ids.withColumn("frag", F.floor(r / 2)).withColumn("mate", r % 2)
+    # a few bytes become a read: spread them before they grow, as one file's part holds very many; by id, as what is counted by read then stays where it is
+    ids = ids.repartition(parts(spark, sf_dir), "rid")
+    # the part's number, which is never below 0, keeps Spark from testing what is made of the ids before they are spread
+    ids = ids.withColumn("frag", F.floor(r / 2) + F.when(F.spark_partition_id() < 0, 1).otherwise(0)).withColumn("mate", r % 2)
     frag, mate = F.col("frag"), F.col("mate")
     single = frag % 7 == 0
     out = ids.withColumn("cid", frag % CONTIGS).withColumn("pos", ((frag * 37) % 400 + mate * (frag % 41)).cast("int"))

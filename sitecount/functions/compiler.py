@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -65,14 +65,70 @@ def _float(c: Column) -> Column:
     return c.cast("double")
 
 
+class Steps:
+    """The parts of an expression as columns that the whole refers to by name, so that each is evaluated once: what only needs the read as columns of reads, the rest as columns
+    of bases. Nested in each other they would be copied wherever a rule looks at a value twice, and make code that is too long to be compiled to machine code."""
+
+    def __init__(self):
+        self._reads: list[tuple[str, Column]] = []
+        self._bases: list[tuple[str, Column]] = []
+
+    def keep(self, v: Value, of_base: bool) -> Value:
+        into, letter = (self._bases, "b") if of_base else (self._reads, "r")
+
+        def one(c: Column | None) -> Column | None:
+            if c is None:
+                return None
+            into.append((f"_step_{letter}{len(into)}", c))
+            return F.col(into[-1][0])
+
+        return Value([(one(condition), kind, one(c)) for condition, kind, c in v.alternatives], one(v.failed))
+
+    def of_reads(self, reads: DataFrame) -> DataFrame:
+        return _with_each(reads, self._reads)
+
+    def of_bases(self, rows: DataFrame) -> DataFrame:
+        return _with_each(rows, self._bases)
+
+
+def _with_each(rows: DataFrame, columns: list[tuple[str, Column]]) -> DataFrame:
+    for name, column in columns:
+        rows = rows.withColumn(name, column)
+    return rows
+
+
+def _bits(node: tuple) -> int:
+    """How many bits a whole number of an expression may have, with its sign: 64 unless it is known to be small."""
+    if node[0] == "num" and isinstance(node[1], int):
+        return node[1].bit_length() + 1
+    if node[0] == "var":
+        return 34
+    if node[0] == "bin" and node[1] in ("+", "-", "*", "//", "%"):
+        a, b = _bits(node[2]), _bits(node[3])
+        return a + b if node[1] == "*" else max(a, b) + 1
+    return 64
+
+
+def _wrapped(c: Column) -> Column:
+    """A decimal number as the whole number of 64 bits that is left of it."""
+    half = F.lit(str(1 << 63)).cast("decimal(38,0)")
+    return (F.pmod(c.cast("decimal(38,0)") + half, F.lit(str(1 << 64)).cast("decimal(38,0)")) - half).cast("bigint")
+
+
 class Compiler:
-    """``tags`` gives the column of a tag by its name; None where there are no tags."""
+    """``tags`` gives the column of a tag by its name; None where there are no tags. With ``steps``, parts become columns of their own."""
 
-    def __init__(self, scope: Scope, tags: Callable[[str], Column] | None = None):
-        self.scope, self.tags = scope, tags
+    def __init__(self, scope: Scope, tags: Callable[[str], Column] | None = None, steps: Steps | None = None):
+        self.scope, self.tags, self.steps = scope, tags, steps
+        self._kept: dict[str, Value] = {}
 
     def compile(self, node: tuple) -> Value:
-        return getattr(self, f"_{node[0]}")(*node[1:])
+        if self.steps is None or node[0] in ("num", "str", "bool", "nil"):
+            return getattr(self, f"_{node[0]}")(*node[1:])
+        key = repr(node)
+        if key not in self._kept:
+            self._kept[key] = self.steps.keep(getattr(self, f"_{node[0]}")(*node[1:]), by_base(node))
+        return self._kept[key]
 
     def _num(self, v) -> Value:
         return Value.of("int", F.lit(v).cast("bigint")) if isinstance(v, int) else Value.of("float", F.lit(float(v)))
@@ -117,7 +173,9 @@ class Compiler:
         if op in ("and", "or"):
             return connected(x, y, op)
         x, y = opened(x), opened(y)
-        return x.map(lambda k, c: self._after(y, lambda j, d: self._apply(op, k, c, j, d)))
+        wide = max(_bits(a), _bits(b), _bits(("bin", op, a, b))) > 63
+        above = b[0] == "num" and isinstance(b[1], int) and b[1] > 0
+        return x.map(lambda k, c: self._after(y, lambda j, d: self._apply(op, k, c, j, d, wide, above)))
 
     @staticmethod
     def _after(y: Value, f: Callable) -> Value:
@@ -148,7 +206,8 @@ class Compiler:
         v = f(F.when(good, n.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
         return Value(v.alternatives, either(~good, v.failed))
 
-    def _apply(self, op: str, k: str, c: Column | None, j: str, d: Column | None) -> Value:
+    def _apply(self, op: str, k: str, c: Column | None, j: str, d: Column | None, wide: bool = True, above: bool = False) -> Value:
+        """``wide`` if whole numbers may go beyond 64 bits, where they wrap around; ``above`` if the right one is above 0."""
         if op in ("==", "~="):
             if k in NUMBER and j in NUMBER:
                 same = c == d if k == j else _float(c) == _float(d)
@@ -175,7 +234,15 @@ class Compiler:
         if op in ("&", "|", "~", "<<", ">>"):
             return self._whole(k, c, lambda x: self._whole(j, d, lambda y: Value.of("int", self._bits(op, x, y))))
         if k == j == "int" and op in ("+", "-", "*"):
-            return Value.of("int", {"+": lambda: c + d, "-": lambda: c - d, "*": lambda: c * d}[op]())
+            plain = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op]
+            if not wide:
+                return Value.of("int", plain(c, d))
+            tried = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](c, d)
+            long = lambda x: x.cast("decimal(19,0)")
+            return Value.of("int", F.coalesce(tried, _wrapped(plain(long(c), long(d)))))
+        if k == j == "int" and op in ("//", "%") and above:
+            left = F.pmod(c, d)
+            return Value.of("int", left if op == "%" else F.call_function("div", c - left, d))
         if k == j == "int" and op in ("//", "%"):
             zero = d == 0
             by = F.when(zero, F.lit(1).cast("bigint")).otherwise(d)

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.bases import BASE, complement, positions, strand
-from ..plans.reference import with_reference
+from ..plans.bases import BASE, complement, positions, reference_length, strand
+from ..plans.regions import reads_touching
 
 
-def _aligned(reads: DataFrame) -> DataFrame:
-    rows = positions(reads.withColumn("s", strand(F.col("flag"))).withColumn("ok", F.lit(True))).where(F.col("kind") == BASE)
+def _aligned(reads: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    rows = positions(reads.withColumn("s", strand(F.col("flag"))).withColumn("ok", F.lit(True)), reference).where(F.col("kind") == BASE)
     letter = F.when(F.col("letter").isin("A", "C", "G", "T"), F.col("letter")).otherwise("N")
     return rows.withColumn("letter", F.when(F.col("s") == 1, complement(letter)).otherwise(letter))
 
 
 def alternative_counts(reads: DataFrame, reference: DataFrame, ref_base: str, mut_base: str, region: tuple[str, int, int] | None = None) -> DataFrame:
     """(ord, alt_ref, alt_mut) by read: bases at positions whose letter, in the molecule's direction, is ``ref_base``, that keep it or are ``mut_base``. Reads without any are left out."""
-    rows = with_reference(_aligned(reads), reference, "rpos")
+    if region is not None:
+        reads = reads_touching(reads, region, reference_length(F.col("cigar")))
+    rows = _aligned(reads, reference)
     if region is not None:
         rows = rows.where((F.col("contig") == region[0]) & (F.col("rpos") >= region[1]) & (F.col("rpos") < region[2]))
     rows = rows.where(F.when(F.col("s") == 1, complement(F.col("ref"))).otherwise(F.col("ref")) == ref_base)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FLAGS
+from .reference import CHUNK, MARGIN
 
 CONSUMES_BOTH, DELETION, SKIP = (0, 7, 8), 2, 3
 #: Kinds of position.
@@ -27,6 +28,11 @@ def reference_length(cigar: Column) -> Column:
     return F.aggregate(F.filter(cigar, lambda x: x["op"].isin(0, 2, 3, 7, 8)), F.lit(0), lambda a, x: a + x["len"])
 
 
+def consumed(cigar: Column) -> Column:
+    """The length of a sequence that goes with the operations."""
+    return F.aggregate(F.filter(cigar, lambda x: x["op"].isin(0, 1, 4, 7, 8)), F.lit(0), lambda a, x: a + x["len"])
+
+
 def query_length(seq: Column) -> Column:
     return F.when((seq == "*") | seq.isNull(), 0).otherwise(F.length(seq))
 
@@ -44,20 +50,38 @@ def stretches(cigar: Column) -> Column:
     return F.aggregate(F.coalesce(cigar, F.array().cast("array<struct<op:int,len:int>>")), start, add, lambda a: a["out"])
 
 
-def positions(reads: DataFrame) -> DataFrame:
+def _in_chunks(each: DataFrame, reference: DataFrame) -> DataFrame:
+    """Stretches with ``_refs``, their letters of the reference: cut where a chunk ends, and without what is off the reference."""
+    own = reference.select(F.col("contig"), F.col("length").alias("_length"), "chunk", "letters")
+    start, end = F.col("pos") + F.col("_r"), F.col("pos") + F.col("_r") + F.col("_len")
+    each = each.withColumn("chunk", F.explode_outer(F.sequence(F.shiftright(start, CHUNK), F.shiftright(end - 1, CHUNK)))).join(own, ["contig", "chunk"])
+    low = F.greatest(start, F.shiftleft("chunk", CHUNK))
+    each = each.withColumns({"_skip": low - start, "_to": F.least(end, F.shiftleft(F.col("chunk") + 1, CHUNK), F.col("_length").cast("int"))})
+    each = each.withColumns({"_q": F.col("_q") + F.col("_skip"), "_r": F.col("_r") + F.col("_skip"), "_len": F.col("_to") - start - F.col("_skip")}).where("_len > 0")
+    at = F.col("pos") + F.col("_r") - F.shiftleft("chunk", CHUNK) + MARGIN + 1
+    return each.withColumn("_refs", F.split(F.substring(F.col("letters"), at, F.col("_len")), "")).drop("chunk", "letters", "_length", "_skip", "_to")
+
+
+def positions(reads: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """A row for each reference position of each read, with ``kind``, ``rpos``, ``qpos`` (null without a base), ``letter`` (upper case, empty without a base), ``bq`` (-1 if not known) and the read's columns.
 
     ``reads`` has ``ok``, whether it passes the flag gates; all positions of one that doesn't are of kind FAIL. Bases past the end of the sequence are left out.
     Each stretch of the sequence is cut into letters once, so the work is linear in a read's length; what follows needs no sequence or qualities of whole
-    reads, which are not carried into joins and windows.
+    reads, which are not carried into joins and windows. With a ``reference`` there is ``ref``, its letter, looked up once for a stretch; positions off it are gone.
+    The generators are outer ones, as Spark otherwise asks for their arrays' sizes first, far below, which makes the arrays twice and in as few tasks as read the file.
     """
-    each = reads.withColumn("qlen", query_length(F.col("seq"))).select("*", F.inline(stretches(F.col("cigar"))).alias("_op", "_q", "_r", "_len"))
+    each = reads.withColumn("qlen", F.coalesce(query_length(F.col("seq")), F.lit(0))).select("*", F.inline_outer(stretches(F.col("cigar"))).alias("_op", "_q", "_r", "_len")).where("_op IS NOT NULL")
     both = F.col("_op").isin(*CONSUMES_BOTH)
     kind = F.when(~F.col("ok"), FAIL).when(both, BASE).when(F.col("_op") == DELETION, DEL).otherwise(REF_SKIP)
-    each = each.withColumn("kind", kind).where((F.col("kind") != BASE) | (F.col("qlen") > F.col("_q")))
+    each = each.withColumn("kind", kind)
+    if reference is not None:
+        each = _in_chunks(each, reference)
+    each = each.where((F.col("kind") != BASE) | (F.col("qlen") > F.col("_q")))
     own = F.split(F.upper(F.substring(F.col("seq"), F.col("_q") + 1, F.col("_len"))), "")
     each = each.withColumn("_letters", F.when(F.col("kind") == BASE, own).otherwise(F.array_repeat(F.lit(""), F.col("_len"))))
-    each = each.select("*", F.posexplode("_letters").alias("_k", "letter"))
+    each = each.select("*", F.posexplode_outer("_letters").alias("_k", "letter")).where("_k IS NOT NULL")
+    if reference is not None:
+        each = each.withColumn("ref", F.get("_refs", F.col("_k"))).drop("_refs")
     each = each.withColumn("rpos", F.col("pos") + F.col("_r") + F.col("_k")).withColumn("qpos", F.when(F.col("kind") == BASE, F.col("_q") + F.col("_k")))
     return each.withColumn("bq", F.coalesce(F.get("qual", F.col("qpos")), F.lit(-1))).drop("_op", "_q", "_r", "_len", "_letters", "_k")
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compiler import Compiler, by_base, passes, slot, tag_names, uses_reference
+from ..functions.compiler import Compiler, Steps, by_base, passes, slot, tag_names, uses_reference
 from ..functions.language import parse
 from ..schema import BASES, COUNTS, DEFAULT_EXCLUDED, EVENTS, SLOTS
-from .bases import BASE, base_index, passes_flags, positions, read_scope, reference_length, strand
+from .bases import BASE, base_index, consumed, passes_flags, positions, query_length, read_scope, reference_length, strand
 from .reference import with_reference
 from .regions import overlapping, reads_touching, within
 
@@ -57,34 +57,34 @@ def _guards(node: tuple) -> list[tuple]:
 
 
 def routed(reads: DataFrame, reference: DataFrame | None, config: Config) -> DataFrame:
-    """Positions with ``slot``; bases that the read filter drops are gone. What only depends on the read is evaluated once for it."""
+    """Positions with ``slot``; bases that the read filter drops are gone, or have none. What only depends on the read is evaluated once for it.
+
+    Dropped bases aren't filtered out here: Spark would push that filter down through all steps of the expression and evaluate them twice.
+    """
     if config.read_filter is None:
         return _capped(positions(reads), config).withColumn("slot", F.when(F.col("kind") == BASE, 0))
     tree = parse(config.read_filter)
     named = {t: f"_tag_{t}" for t in tag_names(tree) if len(t) == 2}
     tags = lambda t: F.col(named[t])
     reads = reads.withColumns({c: F.try_element_at("tags", F.lit(t)) for t, c in named.items()})
-    if not by_base(tree):
-        value = Compiler(read_scope(False), tags).compile(tree)
-        reads = reads.withColumn("_slot", slot(value))
-        out = _capped(positions(reads), config)
-        return out.where((F.col("kind") != BASE) | F.col("_slot").isNotNull()).withColumn("slot", F.when(F.col("kind") == BASE, F.col("_slot"))).drop("_slot")
+    steps = Steps()
+    compiler = Compiler(read_scope(), tags, steps)
+    value = compiler.compile(tree)
     guard = None
     for g in _guards(tree):
         if not by_base(g):
-            test = passes(Compiler(read_scope(False), tags).compile(g))
+            test = passes(compiler.compile(g))
             guard = test if guard is None else guard & test
+    reads = steps.of_reads(reads)
+    if not by_base(tree):
+        out = _capped(positions(reads.withColumn("_slot", slot(value))), config)
+        return out.where((F.col("kind") != BASE) | F.col("_slot").isNotNull()).withColumn("slot", F.when(F.col("kind") == BASE, F.col("_slot"))).drop("_slot")
     if guard is not None:
         reads = reads.withColumn("_guard", guard)
-    out = _capped(positions(reads), config)
+    out = _capped(positions(reads, reference if uses_reference(tree) else None), config)
     if guard is not None:
         out = out.where((F.col("kind") != BASE) | F.col("_guard")).drop("_guard")
-    if uses_reference(tree):
-        out = with_reference(out, reference, "rpos")
-    else:
-        out = out.withColumn("ref", F.lit(None).cast("string"))
-    value = Compiler(read_scope(), tags).compile(tree)
-    return out.withColumn("slot", F.when(F.col("kind") == BASE, slot(value))).where((F.col("kind") != BASE) | F.col("slot").isNotNull())
+    return steps.of_bases(out).withColumn("slot", F.when(F.col("kind") == BASE, slot(value)))
 
 
 def _capped(rows: DataFrame, config: Config) -> DataFrame:
@@ -96,11 +96,27 @@ def _capped(rows: DataFrame, config: Config) -> DataFrame:
     return rows.withColumn("_place", place).where(F.col("_place") <= config.max_depth).drop("_place")
 
 
-def with_rivals(reads: DataFrame) -> DataFrame:
+def may_count(reads: DataFrame, config: Config) -> DataFrame:
+    """Reads that may be among the first ``max_depth`` at a position: of those that cover the very same positions, the first ones in file order. The others have that many before them everywhere.
+
+    Reads whose sequence ends early leave out positions and all stay.
+    """
+    if not config.max_depth:
+        return reads
+    end = F.col("pos") + reference_length(F.col("cigar"))
+    early = F.when(F.col("ok") & (query_length(F.col("seq")) < consumed(F.col("cigar"))), F.col("ord"))
+    same = reads.withColumns({"_end": end, "_early": early})
+    place = F.row_number().over(Window.partitionBy("tid", "pos", "_end", "_early").orderBy("ord"))
+    return same.withColumn("_place", place).where(F.col("_place") <= config.max_depth).drop("_place", "_end", "_early")
+
+
+def with_rivals(reads: DataFrame, parts: int | None = None) -> DataFrame:
     """Reads with ``rank``, their place in file order among those of their name and contig, and the stretch ``[rival_from, rival_to)`` outside of which no other of these has a base.
 
-    Two reads tell each other's stretch; of three and more, each takes its own as a whole.
+    Two reads tell each other's stretch; of three and more, each takes its own as a whole. ``parts`` says by how many tasks they are unnested; else Spark does.
     """
+    if parts is not None:
+        reads = reads.repartition(parts, "tid", "qname", "ok")
     name = Window.partitionBy("tid", "qname", "ok").orderBy("ord")
     every = name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = reads.withColumn("_end", F.col("pos") + reference_length(F.col("cigar")))
@@ -115,36 +131,39 @@ def _code() -> Column:
     return F.when(F.col("kind") == BASE, F.col("slot") * 16 + base_index(F.col("letter")) * 2 + F.col("s")).otherwise(64 + (F.col("kind") - 1) * 2 + F.col("s"))
 
 
-def packed() -> Column:
-    """The number whose maximum is the best base of a read name at a position; its low bits say what is counted."""
+def packed(code: Column) -> Column:
+    """The number whose maximum is the best base of a read name at a position; its low bits, ``code``, say what is counted."""
     long = lambda c: c.cast("bigint")
     first = F.when(F.col("flag").bitwiseAND(64) != 0, 1).otherwise(0)
     best = F.shiftleft(long(F.col("mapq")), 49).bitwiseOR(F.shiftleft(long(first), 48)).bitwiseOR(F.shiftleft(long(F.col("bq") + 1), 39))
-    return best.bitwiseOR(F.shiftleft(F.lit(_ORD) - long(F.col("rank")), CODE_BITS)).bitwiseOR(long(_code()))
+    return best.bitwiseOR(F.shiftleft(F.lit(_ORD) - long(F.col("rank")), CODE_BITS)).bitwiseOR(long(code))
 
 
 def best_by_name(rows: DataFrame, code: Column, best: Column, bits: int) -> DataFrame:
     """(tid, contig, rpos, code, n): how often a code wins at a position. Bases of one name compete by ``best``, a whole number whose low ``bits`` are the code; events don't.
-    Rows of a position and code aren't summed up yet."""
+    Rows of a position and code aren't summed up yet; those without a code are left out, after they have met in one row of their position."""
     place = ["tid", "contig", "rpos"]
-    rival = (F.col("kind") == BASE) & (F.col("rpos") >= F.col("rival_from")) & (F.col("rpos") < F.col("rival_to"))
+    rows = rows.withColumn("_rival", (F.col("kind") == BASE) & code.isNotNull() & (F.col("rpos") >= F.col("rival_from")) & (F.col("rpos") < F.col("rival_to")))
+    rival = F.col("_rival")
     keyed = rows.select(*place, F.when(rival, F.col("qname")).alias("name"), F.when(~rival, code).alias("code"), F.when(rival, best).alias("p"))
     won = keyed.groupBy(*place, "name", "code").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
     own = F.col("p").bitwiseAND((1 << bits) - 1).cast("int")
-    return won.select(*place, F.coalesce("code", own).alias("code"), F.when(F.col("p").isNull(), F.col("n")).otherwise(1).cast("long").alias("n"))
+    return won.select(*place, F.coalesce("code", own).alias("code"), F.when(F.col("p").isNull(), F.col("n")).otherwise(1).cast("long").alias("n")).where("code IS NOT NULL")
 
 
 def winners(rows: DataFrame, dedup: bool = True) -> DataFrame:
     """(tid, contig, rpos, code, n) of routed rows, whose reads have rivals if ``dedup`` is set."""
+    rows = rows.withColumn("_code", _code())
+    code = F.col("_code")
     if dedup:
-        return best_by_name(rows, _code(), packed(), CODE_BITS)
-    return rows.groupBy("tid", "contig", "rpos", _code().alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        return best_by_name(rows, code, packed(code), CODE_BITS)
+    return rows.groupBy("tid", "contig", "rpos", code.alias("code")).agg(F.count(code).alias("n")).where("n > 0")
 
 
-def sites(reads: DataFrame, reference: DataFrame | None, config: Config) -> DataFrame:
+def sites(reads: DataFrame, reference: DataFrame | None, config: Config, parts: int | None = None) -> DataFrame:
     """(tid, contig, pos, s, 20 counts by base and group, del, ref_skip, fail), a row for each position and strand with anything to count."""
-    own = gated(reads, config)
-    rows = routed(with_rivals(own) if config.dedup else own, reference, config)
+    own = may_count(gated(reads, config), config)
+    rows = routed(with_rivals(own, parts) if config.dedup else own, reference, config)
     counted = winners(rows, config.dedup)
     is_base, kind = F.col("code") < 64, F.shiftright(F.col("code"), 1)
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
@@ -184,9 +203,9 @@ def site_scope(strandless: bool = False, motif: bool = False) -> dict[str, tuple
     return {name: v for group, v in one.items() for name in group.split()}
 
 
-def site_table(reads: DataFrame, reference: DataFrame, config: Config, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def site_table(reads: DataFrame, reference: DataFrame, config: Config, include: DataFrame | None = None, exclude: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Sites that pass: with ``ref`` (and ``motif``, forward), on known positions of known contigs, inside and outside of interval sets, by the site filter of each strand."""
-    out = sites(reads, reference, config)
+    out = sites(reads, reference, config, parts)
     if include is not None:
         out = overlapping(out, include)
     if exclude is not None:

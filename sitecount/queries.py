@@ -19,7 +19,7 @@ ROUTER_SQL = "CASE WHEN ns <= 2 THEN CASE WHEN yf >= 1 AND zf <= 3 AND bq >= 20
 
 
 def table(spark: SparkSession, sf_dir: str, config: Config, **sets) -> DataFrame:
-    return site_table(derived.reads(spark, sf_dir), derived.reference(spark), config, **sets)
+    return site_table(derived.reads(spark, sf_dir), derived.reference(spark), config, parts=derived.parts(spark, sf_dir), **sets)
 
 
 def register(name: str, run: Callable, sql: str | None = None) -> None:
@@ -121,7 +121,7 @@ templated("template_float_text", "{pos}\\t{depth / 3}\\t{sqrt(depth)}\\t{2 ^ dep
 
 
 def _dedup_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routed(with_rivals(gated(derived.reads(spark, sf_dir), Config())), None, Config())
+    rows = routed(with_rivals(gated(derived.reads(spark, sf_dir), Config()), derived.parts(spark, sf_dir)), None, Config())
     n = F.col("n")
     return winners(rows).where("code < 64").groupBy("contig", F.col("rpos").cast("long").alias("pos")).agg(F.sum(n).alias("winners"), F.sum(F.col("code").bitwiseAND(1) * n).alias("minus"), F.sum(F.shiftright("code", 1) * n).alias("base_sum"))
 

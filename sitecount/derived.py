@@ -13,7 +13,7 @@ from .plans.reference import chunked
 
 CONTIGS, LENGTH, READ, CLIP = 4, 500, 30, 5
 #: Reads that one task unnests at most, about.
-PART = 1 << 17
+PART = 1 << 16
 #: (operation, length) of each shape.
 SHAPES = (((0, 30),), ((4, CLIP), (0, 25)), ((0, 10), (2, 2), (0, 20)), ((0, 10), (1, 3), (0, 17)), ((0, 12), (3, 4), (0, 18)))
 

@@ -67,10 +67,10 @@ def skip_counters(reads: DataFrame, config: Tiers = Tiers()) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_reads"), F.count(F.when(F.col("why").isNull(), 1)).alias("used"), *each)
 
 
-def observations(reads: DataFrame, config: Tiers) -> DataFrame:
+def observations(reads: DataFrame, config: Tiers, parts: int | None = None) -> DataFrame:
     """The best base, by quality, then file order, of each read name at each position: tid, contig, pos, s, base (in the molecule's letters) and n, how many.
     Trimmed bases and those of low quality don't compete."""
-    df = with_rivals(reads.withColumn("s", strand(F.col("flag"))).where(skip_reason(config).isNull()).withColumn("ok", F.lit(True)))
+    df = with_rivals(reads.withColumn("s", strand(F.col("flag"))).where(skip_reason(config).isNull()).withColumn("ok", F.lit(True)), parts)
     rows = positions(df).where(F.col("kind") == BASE)
     left, right = F.when(F.col("s") == 1, config.trim_end).otherwise(config.trim_start), F.when(F.col("s") == 1, config.trim_start).otherwise(config.trim_end)
     rows = rows.where((F.col("qpos") >= left) & (F.col("qlen") - F.col("qpos") > right)).withColumn("bq", F.greatest("bq", F.lit(0))).where(F.col("bq") >= config.min_baseq)
@@ -82,13 +82,13 @@ def observations(reads: DataFrame, config: Tiers) -> DataFrame:
     return best.select("tid", "contig", F.col("rpos").cast("long").alias("pos"), s.alias("s"), F.when(s == 1, complement(letter)).otherwise(letter).alias("base"), "n")
 
 
-def tiers(reads: DataFrame, reference: DataFrame, config: Tiers = Tiers()) -> DataFrame:
+def tiers(reads: DataFrame, reference: DataFrame, config: Tiers = Tiers(), parts: int | None = None) -> DataFrame:
     """chrom, pos (from 1), strand, motif, u0..u2, m0..m2, o0..o2 and mutation_rate, at positions whose reference letter is ``ref_base``, on either strand.
     All that is counted is of tier 1: bases of low quality and badly converted reads are gone before."""
     kind = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     base = F.col("base")
     zero = F.lit(0).cast("long")
-    grouped = observations(reads, config).groupBy("tid", "contig", "pos", "s").agg(kind(base == config.ref_base).alias("u1"), kind(base == config.mut_base).alias("m1"), kind(~base.isin(config.ref_base, config.mut_base)).alias("o1"))
+    grouped = observations(reads, config, parts).groupBy("tid", "contig", "pos", "s").agg(kind(base == config.ref_base).alias("u1"), kind(base == config.mut_base).alias("m1"), kind(~base.isin(config.ref_base, config.mut_base)).alias("o1"))
     sited = with_reference(grouped.where("u1 + m1 > 0"), reference, "pos", config.pad).where(F.col("ref") == config.ref_base)
     motif = F.when(F.col("s") == 1, reverse_complement(F.col("motif"))).otherwise(F.col("motif"))
     return sited.select(

@@ -93,7 +93,7 @@ def _capped(rows: DataFrame, config: Config) -> DataFrame:
     if not config.max_depth:
         return rows
     place = F.row_number().over(Window.partitionBy("tid", "rpos").orderBy("ord"))
-    return rows.withColumn("_place", place).where(F.col("_place") <= config.max_depth).drop("_place")
+    return rows.withColumn("_place", place).where(F.col("_place") <= config.max_depth).drop("_place", "home")
 
 
 def may_count(reads: DataFrame, config: Config) -> DataFrame:
@@ -113,11 +113,14 @@ def may_count(reads: DataFrame, config: Config) -> DataFrame:
 def with_rivals(reads: DataFrame, parts: int | None = None) -> DataFrame:
     """Reads with ``rank``, their place in file order among those of their name and contig, and the stretch ``[rival_from, rival_to)`` outside of which no other of these has a base.
 
-    Two reads tell each other's stretch; of three and more, each takes its own as a whole. ``parts`` says by how many tasks they are unnested; else Spark does.
+    Two reads tell each other's stretch; of three and more, each takes its own as a whole. ``parts`` says by how many tasks they are unnested, each of which is the ``home``
+    of its names: what is counted by name then stays there, as long as nothing else spreads the rows. Else Spark says by how many.
     """
+    names = ["tid", "qname", "ok"]
     if parts is not None:
-        reads = reads.repartition(parts, "tid", "qname", "ok")
-    name = Window.partitionBy("tid", "qname", "ok").orderBy("ord")
+        reads = reads.withColumn("home", F.pmod(F.hash(*names), F.lit(parts))).repartitionById(parts, "home")
+        names = ["home", *names]
+    name = Window.partitionBy(*names).orderBy("ord")
     every = name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = reads.withColumn("_end", F.col("pos") + reference_length(F.col("cigar")))
     out = out.withColumns({"rank": F.row_number().over(name), "_n": F.count(F.lit(1)).over(every), "_pos": F.sum("pos").over(every), "_ends": F.sum("_end").over(every)})
@@ -141,12 +144,14 @@ def packed(code: Column) -> Column:
 
 def best_by_name(rows: DataFrame, code: Column, best: Column, bits: int) -> DataFrame:
     """(tid, contig, rpos, code, n): how often a code wins at a position. Bases of one name compete by ``best``, a whole number whose low ``bits`` are the code; events don't.
-    Rows of a position and code aren't summed up yet; those without a code are left out, after they have met in one row of their position."""
+    Rows of a position and code aren't summed up yet; those without a code are left out, after they have met in one row of their position. Rows with a ``home`` aren't shuffled:
+    all bases of a name are in one part, and a task holds no more than its reads give."""
     place = ["tid", "contig", "rpos"]
+    home = ["home"] if "home" in rows.columns else []
     rows = rows.withColumn("_rival", (F.col("kind") == BASE) & code.isNotNull() & (F.col("rpos") >= F.col("rival_from")) & (F.col("rpos") < F.col("rival_to")))
     rival = F.col("_rival")
-    keyed = rows.select(*place, F.when(rival, F.col("qname")).alias("name"), F.when(~rival, code).alias("code"), F.when(rival, best).alias("p"))
-    won = keyed.groupBy(*place, "name", "code").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
+    keyed = rows.select(*home, *place, F.when(rival, F.col("qname")).alias("name"), F.when(~rival, code).alias("code"), F.when(rival, best).alias("p"))
+    won = keyed.groupBy(*home, *place, "name", "code").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"))
     own = F.col("p").bitwiseAND((1 << bits) - 1).cast("int")
     return won.select(*place, F.coalesce("code", own).alias("code"), F.when(F.col("p").isNull(), F.col("n")).otherwise(1).cast("long").alias("n")).where("code IS NOT NULL")
 

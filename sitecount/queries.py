@@ -175,7 +175,7 @@ SELECT {shown} FROM v"""
 
 def _tiers(save_rest: bool) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return legacy.tiers(derived.reads(spark, sf_dir), derived.reference(spark)).select(*legacy.headers(save_rest))
+        return legacy.tiers(derived.reads(spark, sf_dir), derived.reference(spark), parts=derived.parts(spark, sf_dir)).select(*legacy.headers(save_rest))
 
     return run
 

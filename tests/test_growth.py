@@ -94,3 +94,19 @@ def test_reads_of_a_task_are_bounded_and_made_after_the_spread(spark, monkeypatc
         below = text[text.rindex("RepartitionByExpression") :].split("Relation")[0]
         assert below.count("\n") and "substring" not in below and "aggregate" not in below, name
     assert f", {n}" in plan(queries.QUERIES["flag_keep_all"](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["allele_table", "flag_keep_all", "router_two_group", "expr_logs", "expr_ref_mismatch", "dedup_winner", "legacy_tiers"])
+def test_bases_of_a_name_are_not_shuffled(spark, name):
+    text = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    spread = re.findall(r"Exchange \w+\((.*?)\)", text)
+    assert spread and not any("name#" in keys for keys in spread) and "direct_shuffle_partition_id" in text
+
+
+def test_names_are_resolved_at_home_as_without_one(spark, tmp_path):
+    rnd = random.Random(5)
+    made = [read(f"r{rnd.randrange(60)}", rnd.choice((0, 16, 65, 129, 1024)), rnd.randrange(12), "".join(rnd.choice("ACGTN") for _ in range(16)), mapq=rnd.randrange(3) * 20, cigar=rnd.choice(("16M", "8M4D8M", "4S12M"))) for _ in range(300)]
+    reads = open_reads(spark, sam(tmp_path / "n.sam", [("chr1", 60)], made))[0]
+    for config in (Config(), Config(excluded=0), Config(read_filter="bq >= 20 and mapq > 10 or base == 'A'"), Config(max_depth=4)):
+        rows = [sorted(map(tuple, sites(reads, None, config, parts).collect())) for parts in (None, 1, 7)]
+        assert rows[0] and rows[0] == rows[1] == rows[2], config

@@ -130,6 +130,14 @@ class Compiler:
             self._kept[key] = self.steps.keep(getattr(self, f"_{node[0]}")(*node[1:]), by_base(node))
         return self._kept[key]
 
+    def kept(self, key: tuple, v: Value, node: tuple) -> Value:
+        """A part that is no node of its own, made of ``node``: evaluated once, too, where there are steps."""
+        if self.steps is None:
+            return v
+        if repr(key) not in self._kept:
+            self._kept[repr(key)] = self.steps.keep(v, by_base(node))
+        return self._kept[repr(key)]
+
     def _num(self, v) -> Value:
         return Value.of("int", F.lit(v).cast("bigint")) if isinstance(v, int) else Value.of("float", F.lit(float(v)))
 

@@ -172,35 +172,36 @@ _SPEC = re.compile(r"%([-+ #0]*)(\d{0,2})(?:\.(\d{0,2}))?([a-zA-Z%])")
 def format_text(self: Compiler, args: list[tuple]) -> Value:
     """C's formats d, i, u, x, X, o, c, f, e, E and s, each with flags, width and precision."""
     template = _literal(args, 0, "a format")
-    values, java, specs, at = [self.opened(a) for a in args[1:]], "", [], 0
+    values, fields, between, at = [self.opened(a) for a in args[1:]], [], [""], 0
     for m in _SPEC.finditer(template):
-        java += template[at : m.start()].replace("%", "%%")
+        between[-1] += template[at : m.start()]
         at = m.end()
         flags, width, digits, kind = m.groups()
         if kind == "%":
-            java += "%%"
+            between[-1] += "%"
             continue
         if kind not in "diuxXocfeEs":
             raise UnsupportedExpression(f"%{kind} isn't offered in formats")
-        specs.append(kind)
         point = f".{digits or 0}" if digits is not None and kind in "feEs" else ""
-        java += f"%{flags}{width}{point}{ {'i': 'd', 'u': 'd'}.get(kind, kind)}"
+        fields.append((kind, f"%{flags}{width}{point}{ {'i': 'd', 'u': 'd'}.get(kind, kind)}"))
+        between.append("")
     if "%" in template[at:]:
         raise ExpressionError("a format ends within a field")
-    java += template[at:]
-    if len(values) < len(specs):
+    between[-1] += template[at:]
+    if len(values) < len(fields):
         raise ExpressionError("a format has more fields than there are values")
 
-    def filled(done: list[Column], rest: list) -> Value:
-        if not rest:
-            return Value.of("str", F.format_string(java, *done) if done else F.lit(java.replace("%%", "%")))
-        (k, c), kind = rest[0], specs[len(done)]
-        more = lambda x: filled([*done, x], rest[1:])
+    def printed(kind: str, java: str, k: str, c: Column | None) -> Value:
+        one = lambda x: Value.of("str", F.format_string(java, x))
         if kind == "s":
-            return more(text_of(k, c))
-        return self._numeric(k, c, more, "str") if kind in "feE" else self._whole(k, c, lambda x: more(x.cast("int") if kind == "c" else x))
+            return Value.of("str", F.coalesce(text_of(k, c), F.lit("null"))) if java == "%s" else one(text_of(k, c))
+        return self._numeric(k, c, one, "str") if kind in "feE" else self._whole(k, c, lambda x: one(x.cast("int") if kind == "c" else x))
 
-    return self.each(values[: len(specs)], lambda *found: filled([], list(found)))
+    def field(spec: tuple[str, str], v: Value, node: tuple) -> Value:
+        return self.kept(("field", *spec, node), v.map(lambda k, c: printed(*spec, k, c)), node)
+
+    parts = [field(spec, v, node) for spec, v, node in zip(fields, values, args[1:])]
+    return self.each(parts, lambda *found: Value.of("str", F.concat(F.lit(between[0]), *[x for (_, c), text in zip(found, between[1:]) for x in (c, F.lit(text))])))
 
 
 BY_LITERAL: dict[str, Callable[[Compiler, list[tuple]], Value]] = {"string.find": find, "string.match": match, "string.gsub": gsub, "string.format": format_text}

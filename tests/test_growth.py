@@ -110,3 +110,11 @@ def test_names_are_resolved_at_home_as_without_one(spark, tmp_path):
     for config in (Config(), Config(excluded=0), Config(read_filter="bq >= 20 and mapq > 10 or base == 'A'"), Config(max_depth=4)):
         rows = [sorted(map(tuple, sites(reads, None, config, parts).collect())) for parts in (None, 1, 7)]
         assert rows[0] and rows[0] == rows[1] == rows[2], config
+
+
+def test_fields_of_a_format_are_evaluated_once_and_by_read_where_they_can_be(spark):
+    steps = Steps()
+    Compiler(read_scope(), lambda t: F.col(f"_tag_{t}"), steps).compile(parse("string.format('%s:%05d:%.2f|%x', rname, mapq, bq / 4, 255) == string.format('%.2f|%05d', bq / 4, mapq) and bq > 9"))
+    once = lambda columns, field: sum(field in str(c) for _, c in columns)
+    assert (once(steps._bases, "%.2f"), once(steps._reads, "%.2f")) == (1, 0)
+    assert (once(steps._bases, "%05d"), once(steps._reads, "%05d")) == (0, 1)
